@@ -1,0 +1,58 @@
+"""Queries of the training-data operators over the engine's tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsloom.llm import mainbody, repeats, templates
+from newsloom.plans.materialize import materialize
+from newsloom.sources.tables import table
+
+
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(templates.residue(table(spark, d, "articles")), "residue")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that stand in at least eight articles of their hostname."""
+    return repeats.repeated_lines(table(spark, d, "articles"), table(spark, d, "urls"), _residue(spark, d)).select("article_id", "line_no")
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every article without the lines that its site repeats."""
+    return repeats.without_repeated(table(spark, d, "articles"), p1_found(spark, d))
+
+
+def p1_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated lines and the articles they stand in, for each source."""
+    found = repeats.repeated_lines(table(spark, d, "articles"), table(spark, d, "urls"), _residue(spark, d))
+    return found.groupBy("source").agg(F.count_distinct("key").alias("lines"), F.count_distinct("article_id").alias("articles"), F.count("*").alias("places"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of articles that are no part of the story."""
+    return mainbody.off_lines(table(spark, d, "articles"), _residue(spark, d))
+
+
+def p3_body(spark: SparkSession, d: str) -> DataFrame:
+    """Each article with its main body only."""
+    return mainbody.main_bodies(table(spark, d, "articles"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Articles that are template residue, filler or an error page."""
+    return templates.residue(table(spark, d, "articles")).select("article_id")
+
+
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """How many articles are left out for which reason."""
+    return templates.residue(table(spark, d, "articles")).groupBy("reason").agg(F.count("*").alias("articles"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p1_clean, p1_by_source, p3_found, p3_body, p4_found, p4_reasons)
+}
+ORACLE_SQL: dict[str, str] = {}
