@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import mainbody, repeats, templates
+from newsloom.llm import confusable, encode, mainbody, neardup, repeats, templates
 from newsloom.plans.materialize import materialize
 from newsloom.sources.tables import table
 
@@ -52,7 +52,42 @@ def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     return templates.residue(table(spark, d, "articles")).groupBy("reason").agg(F.count("*").alias("articles"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of articles that tell the same story."""
+    return neardup.near_duplicate_pairs(table(spark, d, "articles"), _residue(spark, d))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each article with the class of its story."""
+    return neardup.near_duplicate_classes(table(spark, d, "articles"), _residue(spark, d))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of each document."""
+    return encode.encoded(table(spark, d, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each document comes back from its ids."""
+    return encode.round_trip(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents that look the same but are written with different characters."""
+    return confusable.same_look_pairs(table(spark, d, "documents"))
+
+
+def p9_text(spark: SparkSession, d: str) -> DataFrame:
+    """Each document in its one consistent form."""
+    return confusable.consistent(table(spark, d, "documents"))
+
+
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with the class of its look."""
+    return confusable.look_classes(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p1_by_source, p3_found, p3_body, p4_found, p4_reasons)
+    f.__name__: f for f in (p1_found, p1_clean, p1_by_source, p3_found, p3_body, p4_found, p4_reasons, p5_found, p5_classes, p7_ids, p7_round_trip, p9_found, p9_text, p9_classes)
 }
 ORACLE_SQL: dict[str, str] = {}
