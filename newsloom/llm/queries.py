@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import confusable, encode, mainbody, neardup, repeats, templates
+from newsloom.llm import confusable, encode, mainbody, names, neardup, repeats, templates
 from newsloom.plans.materialize import materialize
 from newsloom.sources.tables import table
 
@@ -62,6 +62,16 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_classes(table(spark, d, "articles"), _residue(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Articles whose university_name is another spelling of a listed institution."""
+    return names.variant_spellings(table(spark, d, "articles"), table(spark, d, "institutions"))
+
+
+def p6_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Each article with the entry of institutions that its university_name means."""
+    return names.entries(table(spark, d, "articles"), table(spark, d, "institutions"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of each document."""
     return encode.encoded(table(spark, d, "documents"))
@@ -88,6 +98,6 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p1_by_source, p3_found, p3_body, p4_found, p4_reasons, p5_found, p5_classes, p7_ids, p7_round_trip, p9_found, p9_text, p9_classes)
+    f.__name__: f for f in (p1_found, p1_clean, p1_by_source, p3_found, p3_body, p4_found, p4_reasons, p5_found, p5_classes, p6_found, p6_entries, p7_ids, p7_round_trip, p9_found, p9_text, p9_classes)
 }
 ORACLE_SQL: dict[str, str] = {}
