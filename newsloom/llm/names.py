@@ -81,7 +81,7 @@ def _plain(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
 
 
-_KIND_WORDS = [(w, v) for w, v in _KINDS.items() if len(w) >= 5 and v != "uni?" and w not in ("poly",)]
+_KIND_WORDS = [(w, v, 2 if len(w) > 6 else 1) for w, v in _KINDS.items() if len(w) >= 4]
 _KNOWN: dict[str, str | None] = {}
 
 
@@ -93,8 +93,7 @@ def kind_of(token: str) -> str | None:
         return _KNOWN[token]
     best, least = None, 9
     if len(token) >= 4:
-        for w, v in _KIND_WORDS:
-            k = 1 if len(w) <= 6 else 2
+        for w, v, k in _KIND_WORDS:
             d = osa(token, w, k)
             if d <= k and d < least:
                 best, least = v, d

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import confusable, encode, mainbody, names, neardup, repeats, templates
+from newsloom.llm import censor, confusable, encode, mainbody, names, neardup, repeats, templates
 from newsloom.plans.materialize import materialize
 from newsloom.sources.tables import table
 
@@ -32,6 +32,20 @@ def p1_by_source(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("source").agg(F.count_distinct("key").alias("lines"), F.count_distinct("article_id").alias("articles"), F.count("*").alias("places"))
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return censor.judged(*(table(spark, d, t) for t in ("ai_analyses", "articles", "urls")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries that stop before their text is complete."""
+    return _judged(spark, d).where("cut").select("analysis_id", "field").distinct()
+
+
+def p2_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Share of cut values for each hostname and field."""
+    return censor.cut_by_source(_judged(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines of articles that are no part of the story."""
     return mainbody.off_lines(table(spark, d, "articles"), _residue(spark, d))
@@ -98,6 +112,6 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p1_by_source, p3_found, p3_body, p4_found, p4_reasons, p5_found, p5_classes, p6_found, p6_entries, p7_ids, p7_round_trip, p9_found, p9_text, p9_classes)
+    f.__name__: f for f in (p1_found, p1_clean, p1_by_source, p2_found, p2_by_source, p3_found, p3_body, p4_found, p4_reasons, p5_found, p5_classes, p6_found, p6_entries, p7_ids, p7_round_trip, p9_found, p9_text, p9_classes)
 }
 ORACLE_SQL: dict[str, str] = {}
