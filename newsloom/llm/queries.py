@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import censor, confusable, encode, mainbody, names, neardup, repeats, templates
+from newsloom.llm import censor, confusable, encode, mainbody, names, neardup, pack, repeats, templates
 from newsloom.plans.materialize import materialize
 from newsloom.sources.tables import table
 
@@ -96,6 +96,16 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return encode.round_trip(table(spark, d, "documents"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each container, for every spec."""
+    return pack.packed(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+def p8_use(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of each spec and the share of their room in use."""
+    return pack.use_of_room(p8_containers(spark, d), table(spark, d, "pack_specs"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look the same but are written with different characters."""
     return confusable.same_look_pairs(table(spark, d, "documents"))
@@ -112,6 +122,6 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p1_by_source, p2_found, p2_by_source, p3_found, p3_body, p4_found, p4_reasons, p5_found, p5_classes, p6_found, p6_entries, p7_ids, p7_round_trip, p9_found, p9_text, p9_classes)
+    f.__name__: f for f in (p1_found, p1_clean, p1_by_source, p2_found, p2_by_source, p3_found, p3_body, p4_found, p4_reasons, p5_found, p5_classes, p6_found, p6_entries, p7_ids, p7_round_trip, p8_containers, p8_use, p9_found, p9_text, p9_classes)
 }
 ORACLE_SQL: dict[str, str] = {}
