@@ -16,13 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.encode import TOKENIZERS, encoder, serialised_model, vocabulary
+from newsloom.llm.encode import TOKENIZERS, encoder, pre_tokens, serialised_model, vocabulary
 from newsloom.plans.materialize import materialize
 
 #: Documents of a shard, on average; it bounds the memory of a task at any size of the corpus.
@@ -33,46 +32,75 @@ K1, B = 1.2, 0.75
 CLOSED, TOGETHER = 0.99, 64
 #: Terms in more than this share of a shard tell documents apart too little to be looked up.
 COMMON = 0.2
-_WORDS = regex.compile(r"\p{L}{3,}").findall
 
 
-class PieceSizes(dict):
-    """Number of sentencepiece tokens of each run of spaces with the word after it, met so far.
+class _Terms(dict):
+    """Hash of the word in each pre-token, met so far; 0 for what is no word of three letters or more."""
 
-    No piece of the vocabulary has a space after another character, so these runs are encoded apart.
+    def __missing__(self, pre: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        w = pre.strip().lower()
+        h = self[pre] = (xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) - 0x80000000 or 1) if len(w) > 2 and w.isalpha() else 0
+        return h
+
+
+class PieceSizes:
+    """Counts sentencepiece tokens of texts by their words.
+
+    No piece of such a vocabulary has a space after another character, so a word and the space before it
+    are encoded apart from the rest; no piece holds a line end. Where a vocabulary has such pieces, or a
+    line has several spaces in a row, the line or text is encoded as a whole.
     """
 
+    class _Words(dict):
+        def __init__(self, size, before: str):
+            super().__init__()
+            self.size, self.before = size, before
+
+        def __missing__(self, word: str) -> int:
+            if len(self) > 1_000_000:
+                self.clear()
+            n = self[word] = self.size(self.before + word)
+            return n
+
     def __init__(self, model: bytes):
-        super().__init__()
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
-        self.apart = not any("▁" in p.lstrip("▁") for p in names)
-        self.split = regex.compile(" *[^ \n]+|\n| +").findall if not any("\n" in p for p in names) else regex.compile(" *[^ ]+| +").findall
-        self.lead = len(self.pieces.encode("\n")) - len(self.pieces.encode("\n\n")) + len(self.pieces.encode("\n"))
-
-    def __missing__(self, run: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        # after a line end no space is put before the text, so the size of a run is the difference it makes
-        n = len(self.pieces.encode("\n" + run)) - len(self.pieces.encode("\n"))
-        if len(run) < 64:
-            self[run] = n
-        return n
+        self.apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in names)
+        # after a line end no space is put before a text: what follows one counts by the difference it makes
+        end = len(self.pieces.encode("\n"))
+        self.line_end = len(self.pieces.encode("\n\n")) - end
+        self.first = self._Words(lambda x: len(self.pieces.encode(x)), "")
+        self.first[""] = end - self.line_end  # a line end that opens a text has a space put before it
+        self.bare = self._Words(lambda x: len(self.pieces.encode("\n" + x)) - end, "")
+        self.spaced = self._Words(lambda x: len(self.pieces.encode("\n" + x)) - end, " ")
 
     def size(self, text: str) -> int:
         """Number of tokens of a text."""
-        runs = self.split(text) if self.apart else []
-        if not runs:
+        if not self.apart or not text:
             return len(self.pieces.encode(text))
-        return len(self.pieces.encode(runs[0])) + sum(map(self.__getitem__, runs[1:]))
+        lines = text.split("\n")
+        total = self.line_end * (len(lines) - 1)
+        spaced = self.spaced.__getitem__
+        opening = self.first
+        for line in lines:
+            if "  " in line or line[:1] == " " or line[-1:] == " ":
+                total += opening[line]
+            elif line or (opening is self.first and len(lines) > 1):
+                words = line.split(" ")
+                total += opening[words[0]] + sum(map(spaced, words[1:]))
+            opening = self.bare
+        return total
 
 
 _SIZERS: dict[int, PieceSizes] = {}
 
 
 def _sizer(kind: str, model: bytes):
+    """What sizes a pre-token (byte-level BPE: its ids) or a whole text (sentencepiece)."""
     if kind == "bpe":
-        return encoder(model).size
+        return encoder(model).__getitem__
     key = hash(model)
     if key not in _SIZERS:
         _SIZERS[key] = PieceSizes(model)
@@ -97,23 +125,16 @@ def sized(documents: DataFrame, tokenizers: list[str], folder: str = TOKENIZERS)
     models = documents.sparkSession.sparkContext.broadcast([tokenizer_model(t, folder) for t in tokenizers])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizers = [_sizer(*m) for m in models.value]
-        hashes: dict[str, int] = {}
+        sizers = [(kind, _sizer(kind, model)) for kind, model in models.value]
+        term = _Terms().__getitem__
         for b in batches:
             sizes, terms, counts = [], [], []
             for t in b.column("text").to_pylist():
-                sizes.append([s(t) if t else 0 for s in sizers])
-                h = []
-                for w in _WORDS(t.lower()) if t else ():
-                    x = hashes.get(w)
-                    if x is None:
-                        if len(hashes) > 1_000_000:
-                            hashes.clear()
-                        x = hashes[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) - 0x80000000
-                    h.append(x)
-                u, c = np.unique(np.array(h, dtype=np.int32), return_counts=True)
-                terms.append(u)
-                counts.append(np.minimum(c, 255).astype(np.int16))
+                pre = pre_tokens(t) if t else []
+                sizes.append([(sum(map(len, map(s, pre))) if kind == "bpe" else s(t)) if t else 0 for kind, s in sizers])
+                u, c = np.unique(np.fromiter(map(term, pre), dtype=np.int32, count=len(pre)), return_counts=True)
+                terms.append(u[u != 0])
+                counts.append(np.minimum(c[u != 0], 255).astype(np.int16))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(sizes, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int16()))],
                 names=["doc_id", "sizes", "terms", "counts"],
@@ -149,10 +170,11 @@ class Index:
 
     def scores(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents that share a term with the seed, and their scores."""
-        spans = [(self.start[t], self.start[t + 1]) for t in self.of[seed]]
-        if not spans:
+        terms = self.of[seed]
+        if not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
-        at = np.concatenate([np.arange(a, b) for a, b in spans])
+        first, size = self.start[terms], self.start[terms + 1] - self.start[terms]
+        at = np.arange(size.sum()) + np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size)
         total = np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n)
         found = np.flatnonzero(total)
         return found, total[found]
@@ -191,6 +213,7 @@ def fill(index: Index, sizes: np.ndarray, capacity: int) -> list[list[int]]:
     place = np.empty(len(sizes), dtype=np.int64)
     place[room.order] = np.arange(len(sizes))
     used = np.zeros(len(sizes), dtype=bool)
+    least = room.sorted[0] if room.sorted else 0
     out: list[list[int]] = []
 
     def take(d: int, box: list[int]) -> int:
@@ -202,15 +225,15 @@ def fill(index: Index, sizes: np.ndarray, capacity: int) -> list[list[int]]:
     while (seed := room.largest(capacity)) is not None:
         box: list[int] = []
         rest = capacity - take(seed, box)
-        if rest >= room.sorted[0]:
+        if rest >= least:
             found, score = index.scores(seed)
             free = ~used[found] & (sizes[found] <= rest)
             found, score = found[free], score[free]
-            # neighbours fill the box but for what one more document of any size can close
-            for d in found[np.lexsort((found, -score))]:
-                if sizes[d] <= rest:
-                    rest -= take(int(d), box)
-                    if rest < room.sorted[0]:
+            best = found[np.argsort(-score, kind="stable")]
+            for d, size in zip(best.tolist(), sizes[best].tolist()):
+                if size <= rest:
+                    rest -= take(d, box)
+                    if rest < least:
                         break
         while (d := room.largest(rest)) is not None:
             rest -= take(d, box)
