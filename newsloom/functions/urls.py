@@ -126,8 +126,8 @@ def listing_title(title: Column) -> Column:
 def correction(url: Column) -> Column:
     """First correction to try for an address that failed: the other scheme, else the slash at the end."""
     return (
-        F.when(url.startswith("http://"), F.replace(url, F.lit("http://"), F.lit("https://")))
-        .when(url.startswith("https://"), F.replace(url, F.lit("https://"), F.lit("http://")))
+        F.when(url.rlike("(?i)^http://"), F.regexp_replace(url, "(?i)^http://", "https://"))
+        .when(url.rlike("(?i)^https://"), F.regexp_replace(url, "(?i)^https://", "http://"))
         .when(url.endswith("/"), F.regexp_replace(url, "/+$", ""))
         .otherwise(F.concat(url, F.lit("/")))
     )

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Shorter texts are no articles.
 LEAST_TEXT = 50
@@ -84,7 +85,7 @@ def read_page(body: str | None) -> dict:
     return out
 
 
-PAGE = "title string, author string, published string, description string, sitename string, language string, text string"
+PAGE = T.StructType([T.StructField(c, T.StringType()) for c in ("title", "author", "published", "description", "sitename", "language", "text")])
 
 
 @F.pandas_udf(PAGE)
@@ -103,7 +104,7 @@ def plain_text(body: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """Text with every HTML entity resolved."""
     return text.map(entities.unescape, na_action="ignore")
