@@ -27,7 +27,7 @@ def _encoded(x: Column) -> Column:
 def normal_query(query: Column) -> Column:
     """A query string without tracking and blank parameters, repeated keys together in first-seen order."""
     pairs = F.transform(
-        F.filter(F.split(query, "&"), lambda p: p.contains("=") & ~p.endswith("=") & ~p.rlike("^[^=]*=$")),
+        F.filter(F.split(query, "&"), lambda p: p.contains("=") & ~p.rlike("^[^=]*=$")),
         lambda p: F.struct(_decoded(F.regexp_extract(p, "^([^=]*)=", 1)).alias("k"), _decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("v")),
     )
     kept = F.filter(pairs, lambda p: ~p["k"].isin(*TRACKING) & (p["v"] != ""))

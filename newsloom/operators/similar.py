@@ -39,8 +39,9 @@ def similar_names(left: DataFrame, right: DataFrame, limit: float = RATIO) -> Da
         # a name of n letters differs from a similar one in at most (1 - limit) * n * (1 + longest / n) letters
         most = F.floor((1 - limit) * F.col("size") * (1 + (2 - limit) / limit)) * 2 + 1
         listed = df.join(order, "gram").groupBy(column, "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-        return listed.select(column, F.explode(F.slice("g", F.lit(1), most.cast("int"))).alias("p")).select(column, "p.gram")
+        return listed.select(column, F.explode(F.slice("g", F.lit(1), most.cast("int"))).alias("p")).select(column, "p.gram", F.length(column).alias(f"n_{column}"))
 
-    met = rarest(a, "l").join(rarest(b, "r"), "gram").select("l", "r").distinct()
-    sized = met.where(2 * F.least(F.length("l"), F.length("r")) >= limit * (F.length("l") + F.length("r")))
-    return sized.withColumn("ratio", ratio("l", "r")).where(F.col("ratio") >= limit)
+    met = rarest(a, "l").join(rarest(b, "r"), "gram").where(2 * F.least("n_l", "n_r") >= limit * (F.col("n_l") + F.col("n_r"))).select("l", "r").distinct()
+    # letters left unmatched are edits, so an edit distance beyond their number rules a pair out
+    near = met.where(F.levenshtein("l", "r") <= (1 - limit) * (F.length("l") + F.length("r")))
+    return near.withColumn("ratio", ratio("l", "r")).where(F.col("ratio") >= limit)

@@ -159,11 +159,15 @@ def pages_from(start: DataFrame, bodies: DataFrame, depth: int = 10) -> DataFram
 
     ``bodies``: (url, body). Each step joins only the addresses found last, and pages met before fall away.
     """
-    step = bodies.select("url", absolute(F.col("url"), next_page(F.col("body"))).alias("next")).where(F.col("next").isNotNull())
-    found = start.select("url").distinct().withColumn("depth", F.lit(0))
-    last = found
+    from newsloom.plans.materialize import materialize
+
+    step = materialize(bodies.select("url", absolute(F.col("url"), next_page(F.col("body"))).alias("next")).where(F.col("next").isNotNull()), "steps")
+    found = last = materialize(start.select("url").distinct().withColumn("depth", F.lit(0)), "found")
     for i in range(1, depth + 1):
         last = last.join(step, "url").select(F.col("next").alias("url"), F.lit(i).alias("depth")).distinct().join(found.select("url"), "url", "left_anti")
+        last = materialize(last, "found")
+        if last.isEmpty():
+            break
         found = found.unionByName(last)
     return found
 
