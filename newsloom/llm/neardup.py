@@ -84,6 +84,8 @@ def sketch(doc: np.ndarray, token: np.ndarray, docs: int, seed: int) -> np.ndarr
         hit = full[row, ask]
         out[row[hit], col[hit]] = out[row[hit], ask[hit]]
         row, col = row[~hit], col[~hit]
+    if len(row):  # stories of a few words may ask in vain; the smallest value of all stands in
+        out[row, col] = np.where(full, out, _EMPTY).min(axis=1)[row]
     return out
 
 
