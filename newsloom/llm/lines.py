@@ -41,7 +41,7 @@ MENU = frozenset(
 _BEGINS = _list(
     """back to top|nach oben|zum seitenanfang|volver arriba|haut de page|retour en haut|skip to |jump to |zum inhalt|ir al contenido|saltar al contenido
     aller au contenu|open menu|close menu|open the menu|close the menu|menü öffnen|menü schließen|abrir menú|abrir el menú|cerrar menú|ouvrir le menu
-    fermer le menu|datenschutz bei |su privacidad|votre vie privée|vie privée sur |share:|share this|share on |share via |beitrag teilen|artikel teilen|artikel weiterleiten|beitrag weiterleiten
+    fermer le menu|datenschutz bei |su privacidad|votre vie privée|vie privée sur |share:|share this|share on |share via |beitrag teilen|artikel teilen|artikel weiterleiten|beitrag weiterleiten|difunda |faire suivre
     diesen beitrag teilen|diesen artikel teilen|teilen:|teilen (|compartir:|compartir est|partager:|partager :|partager cet|pass it on|spread the word|send it on
     send this |send to a |envoyer à |enviar a |enviar por |weitersagen|an freunde |per mail senden|did you like |found this |enjoyed this|enjoying |worth the read|like this
     liked this|subscribe |reciba |recevez |help us report|support our|like our |jetzt spenden|spenden |done |haga un donativo|apoye |faites un don
@@ -124,6 +124,7 @@ _BY_FORM = re.compile(
     re.VERBOSE,
 )
 _TEASER_TAIL = re.compile(r"(?:–|-|\()\s*(?:\d+\s*min(?:ute)?s?\b.{0,8}|lesezeit\b.*|lectura\b.*|lecture\b.*|\d+\s*minuten.*)\)?$")
+_COUNTED = re.compile(r"^[^\d.?!(]{3,45} \(\d+\)$")
 _DATED = re.compile(r"^\d{1,2}/\d{1,2}\b|^\d{1,2}\. ?\d{1,2}\. ")
 _SEP = re.compile(r"\s*[|•·/›»>]\s*|\s{2,}|\t")
 _NO_FORM = re.compile(r"[.!?:|]")
@@ -215,6 +216,8 @@ def local_class(low: str) -> int:
                 return BY
             if _BY_FORM.search(bare):
                 return BY
+        if low.endswith((")", ")!", "):", ").")) and _COUNTED.search(bare):
+            return FURN  # a prompt with the number of those who followed it
         if _DATED.search(low) and size < 100 and (":" in low or "–" in low):
             return FURN
     hits = 0

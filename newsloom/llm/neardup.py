@@ -28,6 +28,8 @@ SIMILARITY = 0.75
 #: meets in a band with probability 1 - (1 - s**12)**60: 0.998 at 0.83 and 0.99999 at 0.88.
 SKETCHES, BINS, BAND = 5, 144, 12
 _PROBES = 96
+#: Shared buckets are broadcast up to this many (24 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_BUCKETS = 1_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WORDS = re.compile(r"\w+").findall
 
@@ -154,8 +156,8 @@ def shared_words(a: Column, b: Column) -> Column:
 
 def star_edges(keyed: DataFrame) -> DataFrame:
     """Candidate edges (a, b), a < b, of rows (id, key): in each bucket from its smallest and its largest id."""
-    ends = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") != F.col("hi"))
-    met = keyed.join(ends, "key").select("id", "lo", "hi")
+    ends = materialize(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") != F.col("hi")), "buckets")
+    met = keyed.join(F.broadcast(ends) if ends.count() <= BROADCAST_BUCKETS else ends, "key").select("id", "lo", "hi")
     low = met.select(F.col("lo").alias("a"), F.col("id").alias("b"))
     high = met.select(F.col("id").alias("a"), F.col("hi").alias("b"))
     return low.unionByName(high).where(F.col("a") < F.col("b")).distinct()

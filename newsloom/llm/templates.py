@@ -80,8 +80,11 @@ _LATIN_MARKS = frozenset(("lorem", "ipsum", "dolor", "amet", "sit", "consectetur
 # Words that any line of prose in a covered language is likely to hold.
 _FUNCTION = frozenset(
     """the of and to a in is that for it with as was on by at from said der die das und ist von mit auf für ein eine den dem wird el la los las de del y que en un una
-    por con se su le les des du et est une dans pour sur au aux il elle с и на""".split()
+    por con se su le les des du et est une dans pour sur au aux il elle с и на zu im um aus nach bei am so wie nur no or not has have be are were
+    this they he she we you can what how why where when which who para más según como lo qui que pas plus par ce cette""".split()
 )
+#: Prose of so many words without a single function word is filler.
+LEAST_FILLER = 8
 
 # A template with a cue gets the verdict of the first pattern that it matches as a whole.
 _WHOLE = [
@@ -222,7 +225,18 @@ def latin_filler(low: str) -> bool:
         return False
     function = sum(w in _FUNCTION for w in words)
     known = sum(w in _LATIN for w in words)
-    return function <= 0.08 * len(words) and (known >= 0.15 * len(words) or marks >= 2)
+    return function <= 0.08 * len(words) and (known >= 0.15 * len(words) or marks >= 2 or (function == 0 and len(words) >= LEAST_FILLER))
+
+
+def wordless(title: str | None, content: str, low: str) -> bool:
+    """True if the story of a page has no word that prose of a covered language needs."""
+    words = low.split()
+    if sum(w in _FUNCTION for w in words) > 0.08 * len(words):
+        return False
+    lines = page_lines(content)
+    prose = [x for x, off in zip(lines, furniture(title, lines)) if not off and local_class(normal(x)) == STORY and normal(x) != normal(title or "")]
+    words = _WORD.findall(" ".join(prose).lower())
+    return len(words) >= LEAST_FILLER and not any(w in _FUNCTION for w in words)
 
 
 def verdict(template: str) -> str | None:
@@ -241,7 +255,7 @@ _ROWS = pa.schema(
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Articles with a cue: whether a slot is unfilled, and the templates of the lines with message cues.
 
-    ``prose`` counts the characters of story prose; ``sizes`` says how many of them are a template's own.
+    ``slot`` is also true where the story is filler as a whole. ``prose`` counts the characters of story prose; ``sizes`` says how many of them are a template's own.
     """
     tree = Tree()
     held: list[tuple] = []
@@ -249,7 +263,11 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for aid, title, content in zip(*(b.column(c).to_pylist() for c in ("article_id", "title", "content"))):
             text = f"{title or ''}\n{content or ''}"
-            slots, message = cues(text.lower())
+            low_text = text.lower()
+            slots, message = cues(low_text)
+            if content and wordless(title, content, low_text):
+                out.append((aid, True, 0, [], []))
+                continue
             if not slots and not message:
                 continue
             if slots and has_slot(text, slots):
@@ -342,5 +360,5 @@ def residue(articles: DataFrame) -> DataFrame:
         .where(F.col("filler") | (F.col("rest") < STORY_CHARS))
         .select("article_id", F.when(F.col("filler"), F.lit("filler")).otherwise(F.col("verdict")).alias("reason"))
     )
-    slots = rows.where("slot").select("article_id", F.lit("slot").alias("reason"))
+    slots = rows.where("slot").select("article_id", F.lit("slot or filler").alias("reason"))
     return slots.unionByName(told).groupBy("article_id").agg(F.min("reason").alias("reason"))
