@@ -101,21 +101,48 @@ def furniture(title: str | None, lines: list[str], repeated: list[bool] | None =
             if on:
                 inside.add(i)
         story_names = topic(inside)
+        headline = names_of(title or "")
         i = 0
         while i < n:
             if kind[i] != BLOCK:
                 i += 1
                 continue
             j = i + 1
-            fellow: set[str] = set()
+            titles: set[str] = set()  # names in the titles of the other stories
+            fellow: set[str] = set()  # names in their teasers
+            prose: list[int] = []
+            ended = False
             while j < n and kind[j] in (STORY, BLANK, BLOCK):
                 if kind[j] == STORY:
                     low = lows[j]
-                    prose = len(low) > 45 and low.endswith(_STOP_AT_END) and not teaser_tail(low)
-                    if prose and (named(j) & story_names) and not (named(j) & fellow - story_names):
-                        break
-                    fellow |= named(j)
+                    if len(low) > 45 and low.endswith(_STOP_AT_END) and not teaser_tail(low):
+                        own_names = named(j) - titles
+                        if own_names & headline or (own_names & story_names and not own_names & (fellow - story_names)):
+                            ended = True
+                            break
+                        fellow |= named(j)
+                        prose.append(j)
+                    else:
+                        # a subhead or list item of the story names nothing but what the story is about
+                        about = named(j) & story_names
+                        opening = lows[j].split(" ", 1)[0]
+                        if (about & headline or len(about) > 1) and not named(j) - story_names - {opening}:
+                            ended = True
+                            break
+                        titles |= named(j)
+                        prose.clear()
                 j += 1
+            if ended:
+                # prose right before belongs to the story if it shares names with what goes on
+                after: set[str] = set()
+                for x in range(j, n):
+                    if kind[x] in (FURN, BLOCK, BY):
+                        break
+                    if kind[x] == STORY:
+                        after |= named(x)
+                while prose and named(prose[-1]) & after - titles:
+                    j = prose.pop()
+                    after |= named(j)
             for x in range(i, j):
                 if kind[x] == STORY:
                     kind[x] = BLOCK

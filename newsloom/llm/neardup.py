@@ -192,7 +192,7 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
 
 
 def groups(articles: DataFrame, excluded: DataFrame | None = None, limit: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables of near-duplicates: copies (article_id, rep), words (id, words) of the representatives, and components (id, component).
+    """Tables of near-duplicates: copies (article_id, rep), words (id, words) of the representatives that met another one, and components (id, component).
 
     Copies are stories of the same words; only the smallest article_id of each, its representative, is
     compared with others, so a text that fills a third of the table is one story here.
@@ -201,9 +201,10 @@ def groups(articles: DataFrame, excluded: DataFrame | None = None, limit: float
     copies = materialize(rows.select("article_id", "copy").join(rows.groupBy("copy").agg(F.min("article_id").alias("rep")), "copy").select("article_id", "rep"), "copies")
     reps = rows.join(copies.where(F.col("article_id") == F.col("rep")).select("article_id"), "article_id", "left_semi")
     words = reps.select(F.col("article_id").alias("id"), "words")
-    edges = star_edges(reps.select(F.col("article_id").alias("id"), F.explode("bands").alias("key")))
-    sure = verified(materialize(edges, "candidates"), words, limit)
-    return copies, words, components(sure)
+    edges = materialize(star_edges(reps.select(F.col("article_id").alias("id"), F.explode("bands").alias("key"))), "candidates")
+    met = materialize(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "met")
+    words = materialize(words.join(F.broadcast(met) if met.count() <= BROADCAST_BUCKETS else met, "id", "left_semi").select("id", "words"), "words")
+    return copies, words, components(verified(edges, words, limit))
 
 
 def near_duplicate_pairs(articles: DataFrame, excluded: DataFrame | None = None, limit: float = SIMILARITY) -> DataFrame:
