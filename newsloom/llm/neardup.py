@@ -28,8 +28,8 @@ SIMILARITY = 0.75
 #: meets in a band with probability 1 - (1 - s**12)**60: 0.998 at 0.83 and 0.99999 at 0.88.
 SKETCHES, BINS, BAND = 5, 144, 12
 _PROBES = 96
-#: Shared buckets are broadcast up to this many (24 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_BUCKETS = 1_000_000
+#: Tables of ids or shared buckets are broadcast up to so many rows (24 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WORDS = re.compile(r"\w+").findall
 
@@ -154,10 +154,15 @@ def shared_words(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def _sent(small: DataFrame) -> DataFrame:
+    """A written table of numbers, marked for broadcast if it has few enough rows."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def star_edges(keyed: DataFrame) -> DataFrame:
     """Candidate edges (a, b), a < b, of rows (id, key): in each bucket from its smallest and its largest id."""
     ends = materialize(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") != F.col("hi")), "buckets")
-    met = keyed.join(F.broadcast(ends) if ends.count() <= BROADCAST_BUCKETS else ends, "key").select("id", "lo", "hi")
+    met = keyed.join(_sent(ends), "key").select("id", "lo", "hi")
     low = met.select(F.col("lo").alias("a"), F.col("id").alias("b"))
     high = met.select(F.col("id").alias("a"), F.col("hi").alias("b"))
     return low.unionByName(high).where(F.col("a") < F.col("b")).distinct()
@@ -199,11 +204,12 @@ def groups(articles: DataFrame, excluded: DataFrame | None = None, limit: float
     """
     rows = materialize(signed(articles, excluded), "signed")
     copies = materialize(rows.select("article_id", "copy").join(rows.groupBy("copy").agg(F.min("article_id").alias("rep")), "copy").select("article_id", "rep"), "copies")
-    reps = rows.join(copies.where(F.col("article_id") == F.col("rep")).select("article_id"), "article_id", "left_semi")
+    others = copies.where(F.col("article_id") != F.col("rep")).select("article_id")
+    reps = rows.join(_sent(others), "article_id", "left_anti")
     words = reps.select(F.col("article_id").alias("id"), "words")
     edges = materialize(star_edges(reps.select(F.col("article_id").alias("id"), F.explode("bands").alias("key"))), "candidates")
     met = materialize(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "met")
-    words = materialize(words.join(F.broadcast(met) if met.count() <= BROADCAST_BUCKETS else met, "id", "left_semi").select("id", "words"), "words")
+    words = materialize(words.join(_sent(met), "id", "left_semi").select("id", "words"), "words")
     return copies, words, components(verified(edges, words, limit))
 
 
