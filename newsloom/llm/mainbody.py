@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from newsloom.llm.lines import BLANK, BLOCK, BY, FURN, STORY, local_class, normal, teaser_tail
 
 _NAME = re.compile(r"\b[A-ZÀ-ÖØ-ÞŒŠŽ]\w*(?:[-’']\w+)*")
+#: A sentence that goes on with another one: other stories are announced in one sentence.
+_TWO_SENTENCES = re.compile(r"[.!?][”“\"»]? [“\"«„A-ZÀ-ÖØ-ÞŒŠŽ¿¡]")
 _LOWER = re.compile(r"\b[a-zß-öø-ÿœšž]{2,}")
 _STOP_AT_END = (".", "!", "?", "”", '"', "“", "»", ":", "…")
 #: A sibling is kept from this share of the best container's points on.
@@ -44,8 +46,23 @@ _NO_NAMES = frozenset(
 
 
 def names_of(line: str) -> set[str]:
-    """Capitalised words of a line that are no common openings, in lower case."""
-    return {w.lower() for w in _NAME.findall(line) if len(w) > 2} - _NO_NAMES
+    """Capitalised words of a line that are no common openings, in lower case.
+
+    Of two such words in a row the first is taken for a first name, which many people share, and left out.
+    """
+    out: set[str] = set()
+    run: list[str] = []
+    end = -1
+    for m in _NAME.finditer(line):
+        w = m.group().lower()
+        if m.start() != end + 1 or w in _NO_NAMES:
+            out.update(run[-1:] if len(run) == 2 else run)
+            run = []
+        if len(w) > 2 and w not in _NO_NAMES:
+            run.append(w)
+        end = m.end()
+    out.update(run[-1:] if len(run) == 2 else run)
+    return out
 
 
 def points(line: str, link_density: float) -> float:
@@ -117,7 +134,7 @@ def furniture(title: str | None, lines: list[str], repeated: list[bool] | None =
                     low = lows[j]
                     if len(low) > 45 and low.endswith(_STOP_AT_END) and not teaser_tail(low):
                         own_names = named(j) - titles
-                        if own_names & headline or (own_names & story_names and not own_names & (fellow - story_names)):
+                        if own_names & headline or _TWO_SENTENCES.search(" ".join(lines[j].split())) or (own_names & story_names and not own_names & (fellow - story_names)):
                             ended = True
                             break
                         fellow |= named(j)
