@@ -134,7 +134,8 @@ def furniture(title: str | None, lines: list[str], repeated: list[bool] | None =
                     low = lows[j]
                     if len(low) > 45 and low.endswith(_STOP_AT_END) and not teaser_tail(low):
                         own_names = named(j) - titles
-                        if own_names & headline or _TWO_SENTENCES.search(" ".join(lines[j].split())) or (own_names & story_names and not own_names & (fellow - story_names)):
+                        # one sentence announces another story: what follows it, or has two, is the story itself
+                        if own_names & headline or prose or _TWO_SENTENCES.search(" ".join(lines[j].split())) or (own_names & story_names and not own_names & (fellow - story_names)):
                             ended = True
                             break
                         fellow |= named(j)
