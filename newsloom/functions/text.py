@@ -178,3 +178,11 @@ def picks(text: Column) -> Column:
             F.coalesce(F.nullif(r["category"], F.lit("")), F.lit("Scientific Breakthrough")).alias("category"),
         ),
     )
+
+
+def short_response(text: Column) -> Column:
+    """A short labelled response as a struct: summary and verdict; without a label the text is the summary and the verdict is yes."""
+    labelled = F.contains(text, F.lit("AI_RELATED:"))
+    head, tail = F.split_part(text, F.lit("AI_RELATED:"), F.lit(1)), F.split_part(text, F.lit("AI_RELATED:"), F.lit(2))
+    summary = F.when(labelled & F.contains(head, F.lit("SUMMARY:")), _stripped(F.replace(head, F.lit("SUMMARY:"), F.lit("")))).otherwise(text)
+    return F.struct(summary.alias("summary"), F.when(labelled, F.contains(F.lower(tail), F.lit("yes"))).otherwise(True).alias("is_ai_related"))

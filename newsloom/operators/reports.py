@@ -29,6 +29,14 @@ def analysed(articles: DataFrame, as_of: Column, lookback_days: int, age_days: i
     )
 
 
+def selected(articles: DataFrame, only_related: bool = False, days: tuple[Column, Column] | None = None, min_confidence: float = 0.0) -> DataFrame:
+    """Articles of a report on request: related ones, those of a span of days, those of at least a confidence (which implies related)."""
+    out = articles.where("is_ai_related") if only_related or min_confidence > 0 else articles
+    if days is not None:
+        out = out.where(F.col("published_date").between(*days))
+    return out.where(F.col("ai_confidence_score") >= min_confidence) if min_confidence > 0 else out
+
+
 def daily(articles: DataFrame, analyses: DataFrame, urls: DataFrame, day: str, classes: DataFrame) -> DataFrame:
     """The articles of a daily page: related ones of its days, one row per address (the newest), with display defaults and class.
 

@@ -90,3 +90,25 @@ def test_windows(spark):
     assert {(r.event_type, r.events, r.total) for r in incremental.tumbling(e).collect()} == {("a", 2, 3.0), ("b", 1, None)}
     assert incremental.sliding(e).where("events = 3").count() == 3
     assert incremental.sessions(e).count() == 2
+
+
+def test_token_bucket_on_a_stream(spark, tmp_path):
+    rows = [("h", i, s * 1_000_000) for i, s in enumerate([0, 1, 1, 2, 60])] + [("g", 9, 0)]
+    src = str(tmp_path / "in")
+    spark.createDataFrame(rows, "key string, id long, t long").coalesce(1).write.parquet(src)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = incremental.limited(spark.readStream.schema("key string, id long, t long").parquet(src), 0.1, 2.0)
+    q = out.writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r.id: r.allowed for r in spark.table("limited").collect()} == {0: True, 1: True, 2: False, 3: False, 4: True, 9: True}
+
+
+def test_windows_of_a_stream_drop_late_rows(spark, tmp_path):
+    src = str(tmp_path / "in")
+    schema = "ts timestamp, event_type string, user_id long, value double"
+    for i, days in enumerate(([1, 2], [10], [1], [20])):
+        spark.createDataFrame([(datetime(2024, 1, x), "a", 1, 1.0) for x in days], schema).coalesce(1).write.mode("append").parquet(src)
+        q = incremental.tumbling(spark.readStream.schema(schema).parquet(src), "1 day", "2 days").writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {str(r.start)[:10]: r.events for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert got == {"2024-01-01": 1, "2024-01-02": 1, "2024-01-10": 1}  # the late row of the first day came after its window was closed
