@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.ordered import even_parts, numbered
+
 
 def host_coverage(articles: DataFrame, urls: DataFrame, hosts: DataFrame, since: Column) -> DataFrame:
     """Coverage of each host (hostname): counts of articles, newest dates and a status.
@@ -99,10 +101,9 @@ def completeness_bin(score: Column) -> Column:
 
 def batches(df: DataFrame, order: list[Column], parts: int, size: int) -> DataFrame:
     """Rows with a batch of ``parts`` even ones (the first ones take the remainder) and one of fixed ``size``."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy(*order)
-    return df.withColumn("part", F.ntile(parts).over(w)).withColumn("batch", (F.floor((F.row_number().over(w) - 1) / size) + 1).cast("long"))
+    rows = numbered(df, order, "_n")
+    part = even_parts(F.col("_n"), rows.agg(F.count("*")).scalar(), parts)
+    return rows.withColumn("part", part).withColumn("batch", (F.floor((F.col("_n") - 1) / size) + 1).cast("long")).drop("_n")
 
 
 def issues(rules: dict[str, Column]) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.consensus import composite
+from newsloom.operators.ordered import numbered
 
 
 def impacts(articles: DataFrame) -> DataFrame:
@@ -31,4 +32,4 @@ def candidates(articles: DataFrame, most: int = 50) -> DataFrame:
 def picked(picks: DataFrame, articles: DataFrame) -> DataFrame:
     """Picks (rank, article_id, note, category) joined to their articles and numbered anew in pick order."""
     joined = picks.join(articles.select("article_id", "title"), "article_id")
-    return joined.withColumn("position", F.row_number().over(Window.orderBy("rank", "article_id")))
+    return numbered(joined, [F.col("rank"), F.col("article_id")], "position")

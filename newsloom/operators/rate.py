@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.ordered import previous
+
 
 def gaps(requests: DataFrame, key: str, at: str, tie: str, delay_s: float) -> DataFrame:
     """Requests with the seconds since the last one of their key, whether that is enough, and how long to wait if not."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    gap = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))) / 1e6
-    return requests.withColumn("gap_s", gap).withColumn("allowed", F.coalesce(F.col("gap_s") >= delay_s, F.lit(True))).withColumn(
+    rows = previous(requests, key, at, tie)
+    gap = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col("previous").cast("timestamp"))) / 1e6
+    return rows.withColumn("gap_s", gap).drop("previous").withColumn("allowed", F.coalesce(F.col("gap_s") >= delay_s, F.lit(True))).withColumn(
         "wait_s", F.when(F.col("allowed"), 0.0).otherwise(delay_s - F.col("gap_s"))
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import given
 from newsloom.operators.dedup import first_of_each
+from newsloom.operators.ordered import numbered
 
 #: A daily page shows the articles of so many days.
 PAGE_DAYS = 5
@@ -65,7 +66,9 @@ def daily(articles: DataFrame, analyses: DataFrame, urls: DataFrame, day: str, c
 
 def ranked(df: DataFrame, order: list[Column], most: int | None = None, name: str = "rank") -> DataFrame:
     """Rows with their rank in a total order; with a limit only the top rows are ever gathered."""
-    top = df.orderBy(*order).limit(most) if most is not None else df
+    if most is None:
+        return numbered(df, order, name)
+    top = df.orderBy(*order).limit(most)
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
@@ -80,11 +83,19 @@ def category_counts(rows: DataFrame, categories: list[str]) -> DataFrame:
     return every.join(rows.groupBy("category").agg(F.count("*").alias("n")), "category", "left").select("category", F.coalesce("n", F.lit(0)).cast("long").alias("articles"))
 
 
+#: A page of a nested layout holds so many items on average.
+PAGE_ITEMS = 500
+
+
 def nested(rows: DataFrame, outer: str, inner: str, key: str, label: str) -> DataFrame:
-    """(outer, inner, items): a JSON array of {key, label} for each pair of groups, ordered by key."""
-    return rows.groupBy(outer, inner).agg(
-        F.to_json(F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), F.coalesce(F.col(label), F.lit("")).alias("title"))))).alias("items")
-    )
+    """(outer, inner, page, items): JSON arrays of {id, title} for each pair of groups, ordered by id within a page.
+
+    A group larger than a page is dealt to pages by the hash of the key, so no row grows without bound.
+    """
+    sizes = rows.groupBy(outer, inner).agg(F.ceil(F.count("*") / PAGE_ITEMS).alias("_pages"))
+    paged = rows.join(sizes, [outer, inner]).withColumn("page", F.pmod(F.xxhash64(key), F.col("_pages")))
+    item = F.struct(F.col(key).alias("id"), F.coalesce(F.col(label), F.lit("")).alias("title"))
+    return paged.groupBy(outer, inner, "page").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("items"))
 
 
 def top_topics(articles: DataFrame, most: int = 20, per_article: int = 4) -> DataFrame:
@@ -96,10 +107,8 @@ def top_topics(articles: DataFrame, most: int = 20, per_article: int = 4) -> Dat
 def month_bars(articles: DataFrame) -> DataFrame:
     """(month, day, articles, bar): articles a day, scaled to the busiest day."""
     days = articles.where(F.col("published_date").isNotNull()).groupBy(F.col("published_date").alias("day")).agg(F.count("*").alias("articles"))
-    most = days.agg(F.max("articles").alias("most"))
-    return days.join(F.broadcast(most)).select(  # one row
-        F.date_format("day", "yyyy-MM").alias("month"), "day", "articles", (F.col("articles") * 100.0 / F.col("most")).alias("bar")
-    )
+    most = days.agg(F.max("articles")).scalar()
+    return days.select(F.date_format("day", "yyyy-MM").alias("month"), "day", "articles", (F.col("articles") * 100.0 / most).alias("bar"))
 
 
 def visible(rows: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:

@@ -24,7 +24,7 @@ def json_envelope(articles: DataFrame, analyses: DataFrame, date: str, stamp: st
     """
     a = articles.agg(F.count("*").alias("article_count"), F.array_sort(F.collect_list(F.struct("article_id", *[c for c in articles.columns if c != "article_id"]))).alias("articles"))
     b = analyses.agg(F.array_sort(F.collect_list(F.struct("analysis_id", *[c for c in analyses.columns if c != "analysis_id"]))).alias("ai_analyses"))
-    return a.join(F.broadcast(b)).select(F.to_json(F.struct(F.lit(date).alias("date"), F.lit(stamp).alias("timestamp"), "article_count", "articles", "ai_analyses")).alias("value"))
+    return a.select(F.to_json(F.struct(F.lit(date).alias("date"), F.lit(stamp).alias("timestamp"), "article_count", "articles", b.scalar().alias("ai_analyses"))).alias("value"))
 
 
 def _numbered(articles: DataFrame, order: list[Column]) -> DataFrame:

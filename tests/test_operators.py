@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import audit, bloom, classify, consensus, curate, dedup, latest, rate, reconcile, reports, similar
+from newsloom.operators import audit, bloom, classify, consensus, corrections, curate, dedup, latest, ordered, rate, reconcile, reports, similar
 
 
 def rows(df, *order):
@@ -21,12 +21,12 @@ def test_first_seen_and_upsert(spark):
 
 
 def test_latest_and_as_of(spark):
-    a = spark.createDataFrame([(1, 10, 5, "p"), (1, 10, 6, "q"), (1, 12, 7, "r"), (2, None, 8, "s")], "k long, at int, id long, v string")
-    assert rows(latest.latest_per(a, "k", "at", "id")) == [(1, 12, 7, "r")]
-    assert rows(latest.latest_per(a, "k", "at", "id", F.lit(11))) == [(1, 10, 6, "q")]
-    left = spark.createDataFrame([(1, 9), (1, 10), (1, 20), (3, 5)], "k long, t int")
-    got = latest.as_of_join(left, a, "k", "t", "at", "id", ["v"])
-    assert rows(got, "k", "t") == [(1, 9, None), (1, 10, "q"), (1, 20, "r"), (3, 5, None)]
+    a = spark.createDataFrame([(1, 10, 5, "p"), (1, 10, 6, "q"), (1, 12, 7, "r"), (2, None, 8, "s")], "k long, at int, id long, v string").withColumn("at", F.timestamp_seconds(F.col("at") * 1_000_000))
+    assert rows(latest.latest_per(a, "k", "at", "id").select("id", "v")) == [(7, "r")]
+    assert rows(latest.latest_per(a, "k", "at", "id", F.timestamp_seconds(F.lit(11_000_000))).select("id", "v")) == [(6, "q")]
+    left = spark.createDataFrame([(1, 9), (1, 10), (1, 20), (3, 5), (1, None)], "k long, t int").withColumn("at", F.timestamp_seconds(F.col("t") * 1_000_000))
+    got = latest.as_of_join(left, a, "k", "at", "at", "id", ["v"]).select("k", "t", "v")
+    assert rows(got, "k", "t") == [(1, None, None), (1, 9, None), (1, 10, "q"), (1, 20, "r"), (3, 5, None)]
 
 
 def test_consensus(spark):
@@ -122,3 +122,42 @@ def test_reports(spark):
     assert rows(v.select("i", "position", "more"), "i") == [(0, 1, 2), (1, 2, 2), (2, 3, 2)]
     m = spark.createDataFrame([(1, '{"impact_scores": {"scientific": 6}}'), (2, None), (3, "broken")], "article_id long, article_metadata string")
     assert {r.article_id: r.composite for r in curate.candidates(m).collect()} == {1: 4.0, 2: 3.0, 3: 3.0}
+
+
+def test_order_over_whole_tables(spark):
+    df = spark.range(1000).select(F.pmod(F.col("id") * 7919, F.lit(1000)).alias("v"), F.lit(1).alias("n1")).repartition(7)
+    assert all(r.n == r.v + 1 for r in ordered.numbered(df, [F.col("v")]).collect())
+    assert ordered.numbered(df.limit(0), [F.col("v")]).count() == 0
+    for total, parts in ((17, 5), (3, 5), (20, 4), (1, 1)):
+        got = [r[0] for r in spark.range(1, total + 1).select(ordered.even_parts(F.col("id"), F.lit(total), parts)).collect()]
+        assert got == sorted(got) and [got.count(p) for p in range(1, parts + 1)] == [total // parts + (p <= total % parts) for p in range(1, parts + 1)]
+
+
+def test_slices_of_time_change_nothing(spark):
+    import random
+
+    random.seed(1)
+    data = [(random.choice("hhhg"), i, datetime(2024, 1, 1) + timedelta(hours=random.randrange(400)), random.choice([None, i])) for i in range(300)] + [("z", 900, None, 1)]
+    df = spark.createDataFrame(data, "k string, id long, at timestamp, v long")
+    want_previous, want_carried, last, value = {}, {}, {}, {}
+    for k, i, at, v in sorted((x for x in data if x[2]), key=lambda x: (x[2], x[1])):
+        want_previous[i], last[k] = last.get(k), at
+        value[k] = v if v is not None else value.get(k)
+        want_carried[i] = value[k]
+    want_previous[900] = want_carried[900] = None
+    assert {r.id: r.previous for r in ordered.previous(df, "k", "at", "id", 3600 * 30).collect()} == want_previous
+    assert {r.id: r.carried for r in ordered.carried(df, "k", "at", ["id"], "v", 3600 * 50).collect()} == want_carried
+
+
+def test_corrections(spark):
+    a = spark.createDataFrame([("A U", "old", "new"), ("B", "o", "")], "institution string, original_url string, corrected_url string")
+    b = spark.createDataFrame([("C College", None)], "name string, new_url string")
+    assert rows(corrections.unified([a, b])) == [("A U", "old", "new", None)]
+    records = spark.createDataFrame([(1, "The A-U", "x"), (2, "A U Annex", "y"), (3, "None", "z"), (4, None, "w")], "seq int, name string, url string")
+    got = {r.seq: (r.new_url, r.changed) for r in corrections.matched(records, corrections.unified([a])).collect()}
+    assert got == {1: ("new", True), 2: ("new", True), 3: ("z", False), 4: ("w", False)}
+    c = spark.createDataFrame([(1, ["p", "q"]), (2, ["r"])], "id int, urls array<string>")
+    p = spark.createDataFrame([("q", True), ("p", None), ("r", False)], "url string, ok boolean")
+    assert rows(corrections.first_working(c, p)) == [(1, "q", 1)]
+    u = spark.createDataFrame([("u/topic/ai", "u"), ("u", "u"), (None, "u")], "a string, b string")
+    assert [r[0] for r in u.select(corrections.repaired_filter(F.col("a"), F.col("b"))).collect()] == ["u", "u", None]
