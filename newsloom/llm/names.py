@@ -122,7 +122,7 @@ def _read(tokens: list[str]) -> tuple[list[str], str]:
     """Parts of place and sorted kinds of a list of tokens."""
     places, kinds = [], []
     for t in tokens:
-        if t in _LINKS:
+        if t in _LINKS or (len(t) == 1 and t != "u"):
             continue
         k = kind_of(t)
         if k is None:
@@ -165,13 +165,13 @@ def readings(name: str) -> list[tuple[str, str, str, str]]:
         places, kinds = _read(order)
         if not places:
             continue
-        out["name", "".join(places), kinds, ""] = None
+        out["name", " ".join(places), kinds, ""] = None
         if len(places) > 1:
-            out["name", "".join(reversed(places)), kinds, ""] = None
+            out["name", " ".join(reversed(places)), kinds, ""] = None
             if places[0] in NICKNAMES:
-                out["name", "".join(places[1:]), kinds, places[0]] = None
+                out["name", " ".join(places[1:]), kinds, places[0]] = None
             if places[0].startswith("u") and "-" in head and not kinds:
-                out["name", "".join(places)[1:], "uni?", ""] = None
+                out["name", " ".join(places)[1:], "uni?", ""] = None
     if len(cut) <= 2 and len(letters) >= 10:
         out["glued", letters, "", ""] = None
     return list(out)
@@ -183,7 +183,7 @@ def listed_forms(name: str, abbreviation: str | None, domain: str | None) -> lis
     places, kinds = _read(tokens)
     out = [("glued", _plain("".join(tokens)), "", "")]
     if places:
-        out.append(("name", "".join(places), kinds, ""))
+        out.append(("name", " ".join(places), kinds, ""))
         if len(places) == 2 and "at" not in tokens and kinds == "university":
             out.append(("name", places[1], kinds, places[0]))
     if abbreviation and abbreviation.strip():
@@ -236,9 +236,9 @@ def score(edits: int, form: str, kinds: str, lead: str, listed_kinds: str, liste
     return edits * 16 + cost
 
 
-def allowed(form: str, size: int) -> int:
-    """Edits allowed in a part of so many letters."""
-    return 3 if form == "glued" else EDITS if size >= 6 else 1
+def allowed(form: str, part: str) -> int:
+    """Edits allowed in a typed part: one a word, two in all; three in a name written without spaces."""
+    return 3 if form == "glued" else min(EDITS, 1 + part.count(" "))
 
 
 def shifts(segment: int, delta: int, k: int) -> tuple[int, int]:
@@ -314,7 +314,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for form, part, listed in zip(*(b.column(c).to_pylist() for c in ("form", "part", "listed"))):
-            k = allowed(form, len(part))
+            k = allowed(form, part)
             d = osa(part, listed, k)
             if d <= k:
                 rows.append({"form": form, "part": part, "listed": listed, "edits": d})
