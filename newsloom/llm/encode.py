@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 #: Distinct pre-tokens that a task remembers; when full, it starts afresh.
 REMEMBERED = 1_000_000
+#: Texts whose new pre-tokens are encoded together.
+TOGETHER = 500
 
 # The pre-token pattern of the vocabulary, with white space spelled out as Unicode has it.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -105,6 +107,11 @@ def serialised_model(tokens: list[bytes]) -> bytes:
     return b"".join(out) + _field(2, trainer) + _field(3, normalizer)
 
 
+def _characters(pre: str) -> str:
+    """The visible characters of a text's bytes."""
+    return pre.encode("utf-8", "surrogatepass").decode("latin-1").translate(_TO_CHARS)
+
+
 class Encoder(dict):
     """Encodes texts; as a dictionary it holds the ids of the pre-tokens met so far."""
 
@@ -113,12 +120,23 @@ class Encoder(dict):
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
 
     def __missing__(self, pre: str) -> list[int]:
-        if len(self) >= REMEMBERED:
+        return self.pieces.encode(_characters(pre))
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode the pre-tokens of texts that are not held yet in one call; very long ones are not kept."""
+        new = [x for x in set().union(*texts).difference(self) if len(x) < 64]
+        if len(self) + len(new) > REMEMBERED:
             self.clear()
-        ids = self.pieces.encode(pre.encode("utf-8", "surrogatepass").decode("latin-1").translate(_TO_CHARS))
-        if len(pre) < 64:
-            self[pre] = ids
-        return ids
+            new = [x for x in set().union(*texts) if len(x) < 64]
+        self.update(zip(new, self.pieces.encode([_characters(x) for x in new], num_threads=1)))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """Ids of texts, null and empty ones included, in their order."""
+        for k in range(0, len(texts), TOGETHER):
+            cut = [pre_tokens(t) if t else [] for t in texts[k : k + TOGETHER]]
+            self.learn(cut)
+            for pre in cut:
+                yield list(chain.from_iterable(map(self.__getitem__, pre)))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.__getitem__, pre_tokens(text))))
@@ -158,7 +176,7 @@ def encoded(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model.value)
         for b in batches:
-            ids = [e.encode(t) if t else [] for t in b.column("text").to_pylist()]
+            ids = list(e.encode_all(b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -171,7 +189,8 @@ def round_trip(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model.value)
         for b in batches:
-            ids = [(e.encode(t), t) if t else ([], "") for t in b.column("text").to_pylist()]
+            texts = b.column("text").to_pylist()
+            ids = [(i, t or "") for i, t in zip(e.encode_all(texts), texts)]
             rows = [b.column("doc_id"), pa.array([len(i) for i, _ in ids], pa.int32()), pa.array([e.decode(i) == t for i, t in ids], pa.bool_())]
             yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "tokens", "same"])
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.encode import TOKENIZERS, encoder, pre_tokens, serialised_model, vocabulary
+from newsloom.llm.encode import TOGETHER as TEXTS, TOKENIZERS, encoder, pre_tokens, serialised_model, vocabulary
 from newsloom.plans.materialize import materialize
 
 #: Documents of a shard, on average; it bounds the memory of a task at any size of the corpus.
@@ -98,13 +98,13 @@ _SIZERS: dict[int, PieceSizes] = {}
 
 
 def _sizer(kind: str, model: bytes):
-    """What sizes a pre-token (byte-level BPE: its ids) or a whole text (sentencepiece)."""
+    """What sizes texts: an encoder of pre-tokens for byte-level BPE, a counter of words for sentencepiece."""
     if kind == "bpe":
-        return encoder(model).__getitem__
+        return encoder(model)
     key = hash(model)
     if key not in _SIZERS:
         _SIZERS[key] = PieceSizes(model)
-    return _SIZERS[key].size
+    return _SIZERS[key]
 
 
 def tokenizer_model(name: str, folder: str = TOKENIZERS) -> tuple[str, bytes]:
@@ -129,12 +129,22 @@ def sized(documents: DataFrame, tokenizers: list[str], folder: str = TOKENIZERS)
         term = _Terms().__getitem__
         for b in batches:
             sizes, terms, counts = [], [], []
-            for t in b.column("text").to_pylist():
-                pre = pre_tokens(t) if t else []
-                sizes.append([(sum(map(len, map(s, pre))) if kind == "bpe" else s(t)) if t else 0 for kind, s in sizers])
-                u, c = np.unique(np.fromiter(map(term, pre), dtype=np.int32, count=len(pre)), return_counts=True)
-                terms.append(u[u != 0])
-                counts.append(np.minimum(c[u != 0], 255).astype(np.int16))
+            texts = b.column("text").to_pylist()
+            for k in range(0, len(texts), TEXTS):
+                part = texts[k : k + TEXTS]
+                cut = [pre_tokens(t) if t else [] for t in part]
+                each = []
+                for kind, s in sizers:
+                    if kind == "bpe":
+                        s.learn(cut)
+                        each.append([sum(map(len, map(s.__getitem__, pre))) for pre in cut])
+                    else:
+                        each.append([s.size(t) if t else 0 for t in part])
+                sizes += zip(*each) if each else [()] * len(part)
+                for pre in cut:
+                    u, c = np.unique(np.fromiter(map(term, pre), dtype=np.int32, count=len(pre)), return_counts=True)
+                    terms.append(u[u != 0])
+                    counts.append(np.minimum(c[u != 0], 255).astype(np.int16))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(sizes, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int16()))],
                 names=["doc_id", "sizes", "terms", "counts"],
