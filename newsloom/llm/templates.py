@@ -304,22 +304,20 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge templates of one prefix leaf and give each merged template one verdict."""
     schema = pa.schema([("template", pa.string()), ("verdict", pa.string())])
-    for b in batches:
-        rows = []
-        trees: dict[tuple, Tree] = {}
-        for t, n in sorted(zip(b.column("template").to_pylist(), b.column("n").to_pylist()), key=lambda x: (-x[1], x[0])):
-            toks = t.split(" ")
-            group = trees.setdefault(Tree.leaf(toks), Tree()).add(toks, n)
-            rows.append((t, group))
-        seen: dict[int, str | None] = {}
-        out = []
-        for t, g in rows:
-            if id(g) not in seen:
-                seen[id(g)] = verdict(" ".join(g[0]))
-            v = seen[id(g)] or verdict(t)
-            if v:
-                out.append({"template": t, "verdict": v})
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
+    counted = [r for b in batches for r in zip(b.column("template").to_pylist(), b.column("n").to_pylist())]
+    tree = Tree()
+    groups = []
+    for t, n in sorted(counted, key=lambda x: (-x[1], x[0])):
+        groups.append((t, tree.add(t.split(" "), n)))
+    judged: dict[int, str | None] = {}
+    out = []
+    for t, g in groups:
+        if id(g) not in judged:
+            judged[id(g)] = verdict(" ".join(g[0]))
+        v = judged[id(g)] or verdict(t)
+        if v:
+            out.append({"template": t, "verdict": v})
+    yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
 def mined(articles: DataFrame) -> DataFrame:
