@@ -374,7 +374,8 @@ UNION ALL SELECT article_id, 3, lower(gemini_sentiment) <> 'negative', NULL, gem
 
 def votes(analyses: DataFrame) -> DataFrame:
     """One row per article and provider (article_id, priority, vote, relevance, summary), from each article's latest analysis."""
-    a = latest.latest_per(analyses, "article_id", "analyzed_at", "analysis_id")
+    columns = ("claude_summary", "openai_summary", "openai_category", "gemini_summary", "gemini_sentiment", "relevance_score")
+    a = latest.latest_per(analyses.select("article_id", "analysis_id", "analyzed_at", *columns), "article_id", "analyzed_at", "analysis_id")
     claude = F.struct(F.lit(1).alias("priority"), (F.col("relevance_score") >= 5).alias("vote"), F.col("relevance_score").alias("relevance"), F.col("claude_summary").alias("summary"))
     openai = F.struct(F.lit(2).alias("priority"), F.col("openai_category").isin("Research", "Industry", "Infrastructure").alias("vote"), F.lit(None).cast("double").alias("relevance"), F.col("openai_summary").alias("summary"))
     gemini = F.struct(F.lit(3).alias("priority"), (F.lower("gemini_sentiment") != "negative").alias("vote"), F.lit(None).cast("double").alias("relevance"), F.col("gemini_summary").alias("summary"))
