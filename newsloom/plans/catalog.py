@@ -137,7 +137,12 @@ def strip_markdown_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", X.plain(F.col("text")).alias("plain"))
 
 
-@query()
+_SQL_BLOCKS = "regexp_replace(regexp_replace(coalesce(text, ''), '```[a-zA-Z]*\\n?.*?```', '', 'gs'), '```', '', 'g')"
+_SQL_HEAD = f"regexp_extract({_SQL_BLOCKS}, '^([^\\[]+)\\s*\\[', 1)"
+_SQL_ONE = f"CASE WHEN {_SQL_HEAD} <> '' THEN regexp_replace({_SQL_HEAD}, '^\\s+|\\s+$', '', 'g') ELSE regexp_replace({_SQL_BLOCKS}, '[\\[\\]]', '', 'g') END"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace({_sql_plain('one')}, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS plain FROM (SELECT doc_id, {_SQL_ONE} AS one FROM documents)")
 def strip_markdown_site(spark, d):
     return table(spark, d, "documents").select("doc_id", X.plain_line(F.col("text")).alias("plain"))
 
@@ -481,7 +486,12 @@ def csv_export_projection(spark, d):
     return sinks.csv_rows(table(spark, d, "articles")).drop("url", "ai_confidence_score")
 
 
-@query()
+@query(
+    f"""WITH a AS (SELECT row_number() OVER (ORDER BY published_date DESC NULLS LAST, article_id) AS n, title, university_name, published_date,
+    regexp_replace({_sql_plain("coalesce(summary, '')")}, '^\\s+|\\s+$', '', 'g') AS s FROM articles WHERE is_ai_related AND published_date BETWEEN DATE '2025-11-16' AND DATE '{DAY}')
+    SELECT CAST(n AS INTEGER) AS n, n || '. ' || coalesce(nullif(title, ''), 'Untitled') || chr(10) || '   ' || coalesce(nullif(university_name, ''), 'Unknown University') || ' | ' || strftime(published_date, '%B %d, %Y')
+    || chr(10) || '   ' || CASE WHEN length(s) <= 300 THEN s WHEN contains(substr(s, 1, 300), ' ') THEN regexp_extract(substr(s, 1, 300), '(?s)^(.*) ', 1) || '...' ELSE substr(s, 1, 300) || '...' END AS value FROM a"""
+)
 def text_report_lines(spark, d):
     a = table(spark, d, "articles").where(F.col("is_ai_related") & F.col("published_date").between(F.lit("2025-11-16").cast("date"), F.lit(DAY).cast("date")))
     return sinks.text_lines(a, [F.desc_nulls_last("published_date"), F.col("article_id")])
@@ -734,7 +744,8 @@ def token_bucket_replay(spark, d):
     return rate.token_bucket(table(spark, d, "urls").select("url_id", "hostname", "first_seen"), "hostname", "first_seen", "url_id", 1 / 3600, 5.0)
 
 
-@query()
+# the filter is large enough here that what it lets through is what was added
+@query("SELECT DISTINCT url_hash FROM urls WHERE first_seen >= TIMESTAMP '2025-01-01' AND url_hash IN (SELECT url_hash FROM urls WHERE first_seen < TIMESTAMP '2025-01-01')")
 def bloom_membership(spark, d):
     new, old = _halves(spark, d)
     return bloom.maybe_seen(new, "url_hash", bloom.built(old, "url_hash"))
