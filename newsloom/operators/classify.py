@@ -29,16 +29,24 @@ def _trigrams(x: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, 3)))
 
 
+def _held(holders: DataFrame, held: DataFrame, holder: str, part: str) -> DataFrame:
+    """(holder, part) of texts and the texts that they contain, met by the part's rarest trigram among the holders."""
+    grams = holders.withColumn("g", F.explode(_trigrams(F.col(holder))))
+    seen = grams.groupBy("g").agg(F.count("*").alias("n"))
+    each = held.withColumn("g", F.explode(_trigrams(F.col(part)))).join(seen, "g", "left")
+    # a part with a trigram that no holder has is held by none
+    rarest = each.groupBy(part).agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    return grams.join(rarest, "g").where(F.contains(holder, part)).select(holder, part)
+
+
 def containing(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (l, r) of distinct texts of which one contains the other.
+    """Pairs (l, r) of distinct texts of three letters or more of which one contains the other.
 
-    Whatever holds a text holds its first three letters, so the join is on trigrams and not on all pairs.
+    Whatever holds a text holds each of its trigrams, so the join is on the rarest one and not on all pairs.
     """
     a = left.select("l").where(F.length("l") >= 3).distinct()
     b = right.select("r").where(F.length("r") >= 3).distinct()
-    in_left = a.withColumn("g", F.explode(_trigrams(F.col("l")))).join(b.withColumn("g", F.substring("r", 1, 3)), "g").where(F.col("l").contains(F.col("r")))
-    in_right = a.withColumn("g", F.substring("l", 1, 3)).join(b.withColumn("g", F.explode(_trigrams(F.col("r")))), "g").where(F.col("r").contains(F.col("l")))
-    return in_left.select("l", "r").unionByName(in_right.select("l", "r")).distinct()
+    return _held(a, b, "l", "r").select("l", "r").unionByName(_held(b, a, "r", "l").select("l", "r")).distinct()
 
 
 def fuzzy_class(names: DataFrame, dim: DataFrame) -> DataFrame:
