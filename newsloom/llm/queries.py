@@ -124,4 +124,22 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_clean, p1_by_source, p2_found, p2_by_source, p3_found, p3_body, p4_found, p4_reasons, p5_found, p5_classes, p6_found, p6_entries, p7_ids, p7_round_trip, p8_containers, p8_use, p9_found, p9_text, p9_classes)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _same_look_sql() -> str:
+    """The pairs of p9_found in SQL: SQL composes where the operator decomposes, which makes the same texts equal."""
+    table_of = confusable.prototypes()
+    one = {c: p for c, p in table_of.items() if p is not None and len(p) == 1}
+    gone = [c for c, p in table_of.items() if p is None]
+    quoted = lambda x: x.replace("'", "''")
+    before, after = quoted("".join(map(chr, [*one, *gone]))), quoted("".join(one.values()))
+    return f"""WITH s AS (SELECT doc_id, text, nfc_normalize(translate(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '{before}', '{after}')) AS look
+    FROM documents WHERE text IS NOT NULL), t AS (SELECT * FROM s WHERE regexp_matches(look, '[^\\s]'))
+    SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text"""
+
+
+def __getattr__(name: str) -> dict[str, str]:
+    """SQL of the queries that SQL can express, made when it is asked for."""
+    if name == "ORACLE_SQL":
+        return {"p9_found": _same_look_sql()}
+    raise AttributeError(name)
