@@ -36,7 +36,7 @@ _NO_NAMES = frozenset(
     three some most many much more all any both each every other another students student researchers research small large earlier
     colleagues officials critics sensors error errors rate rates according differences funding not nobody why how what when where
     who can could would will may university college institute school state national laboratory center department foundation annals
-    group team study news today access page report results data according first second third next last new open tests campus
+    technology polytechnic medicine school community group team study news today access page report results data according first second third next last new open tests campus
     der die das den dem des ein eine einer eines einem einen im in am an auf aus bei mit nach nachts von vom zu zum zur über und oder
     aber dass wer was wie wo ob mehr nur ältere größere bislang gefördert kritisch studierende ergebnisse gruppe studie anlage
     vorhaben universität arbeit zeitschrift fachblatt blätter stunden minuten daten proben messungen monate stiftung labor
@@ -72,9 +72,11 @@ def points(line: str, link_density: float) -> float:
     return (1 + line.count(",") + min(len(line) / 100, 3)) * (1 - link_density)
 
 
-def furniture(title: str | None, lines: list[str], repeated: list[bool] | None = None) -> list[bool]:
+def furniture(title: str | None, lines: list[str], about: str | None = None, repeated: list[bool] | None = None) -> list[bool]:
     """For each line, true if it is not part of the story. Blank lines are never furniture.
 
+    ``about`` is other text that names what the story is about: its keywords.
+
     ``repeated`` marks lines whose wording repeats over many articles of a site: their link density
     is one, unless they are a byline or the headline.
     """
@@ -120,7 +122,8 @@ def furniture(title: str | None, lines: list[str], repeated: list[bool] | None =
             if on:
                 inside.add(i)
         story_names = topic(inside)
-        headline = names_of(title or "")
+        headline = names_of(title or "") | names_of(about or "")
+        story_names |= headline
         i = 0
         while i < n:
             if kind[i] != BLOCK:
@@ -205,14 +208,27 @@ def page_lines(content: str) -> list[str]:
     return content.split("\n")
 
 
+PAGE_COLUMNS = ("article_id", "title", "content", "about")
+
+
+def pages(articles: DataFrame) -> DataFrame:
+    """The columns that a page is read from; keywords name its subject where the table has them.
+
+    The institution is no such hint: the other stories of a site are often about the same one.
+    """
+    known = dict(articles.dtypes).get("keywords") == "array<string>"
+    subject = F.array_join("keywords", ". ") if known else F.lit(None).cast("string")
+    return articles.select("article_id", F.col("title").cast("string"), F.col("content").cast("string"), subject.alias("about"))
+
+
 _OFF = pa.schema([("article_id", pa.int64()), ("line_no", pa.int32())])
 
 
 def _off_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, nos = [], []
-        for aid, title, content in zip(*(b.column(c).to_pylist() for c in ("article_id", "title", "content"))):
-            for i, off in enumerate(furniture(title, page_lines(content)), 1):
+        for aid, title, content, about in zip(*(b.column(c).to_pylist() for c in PAGE_COLUMNS)):
+            for i, off in enumerate(furniture(title, page_lines(content), about), 1):
                 if off:
                     ids.append(aid)
                     nos.append(i)
@@ -225,7 +241,7 @@ def off_lines(articles: DataFrame, excluded: DataFrame | None = None) -> DataFra
     Null or empty content gives no rows, nor do articles in ``excluded`` (article_id). Wordings that
     repeat within a site are deliberately no evidence here: copies of one story repeat its lines too.
     """
-    rows = articles.where(F.length("content") > 0).select("article_id", F.col("title").cast("string"), F.col("content").cast("string"))
+    rows = pages(articles.where(F.length("content") > 0))
     if excluded is not None:
         rows = rows.join(excluded.select("article_id").distinct(), "article_id", "left_anti")
     return rows.mapInArrow(_off_lines, "article_id long, line_no int")
@@ -234,22 +250,22 @@ def off_lines(articles: DataFrame, excluded: DataFrame | None = None) -> DataFra
 _BODY = pa.schema([("article_id", pa.int64()), ("body", pa.string()), ("kept", pa.int32()), ("dropped", pa.int32())])
 
 
-def story(title: str | None, content: str) -> tuple[str, int, int]:
+def story(title: str | None, content: str, about: str | None = None) -> tuple[str, int, int]:
     """The story of a page as text, and its number of lines kept and dropped."""
     lines = page_lines(content)
-    off = furniture(title, lines)
+    off = furniture(title, lines, about)
     kept = [x for x, o in zip(lines, off) if not o]
     return "\n".join(kept), len(kept), len(lines) - len(kept)
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(a, *((None, 0, 0) if c is None else story(t, c))) for a, t, c in zip(*(b.column(x).to_pylist() for x in ("article_id", "title", "content")))]
+        rows = [(a, *((None, 0, 0) if c is None else story(t, c, k))) for a, t, c, k in zip(*(b.column(x).to_pylist() for x in PAGE_COLUMNS))]
         yield pa.RecordBatch.from_pylist([dict(zip(_BODY.names, r)) for r in rows], schema=_BODY)
 
 
 def main_bodies(articles: DataFrame) -> DataFrame:
     """Each article with its main body: (article_id, body, kept, dropped); null content stays null."""
-    return articles.select("article_id", F.col("title").cast("string"), F.col("content").cast("string")).mapInArrow(
+    return pages(articles).mapInArrow(
         _bodies, "article_id long, body string, kept int, dropped int"
     )

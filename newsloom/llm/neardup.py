@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.mainbody import story
+from newsloom.llm.mainbody import PAGE_COLUMNS, pages, story
 from newsloom.plans.materialize import materialize
 
 #: Stories are near-duplicates from this share of common words on.
@@ -115,8 +115,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, _CHUNK):
             part = batch.slice(start, _CHUNK)
             ids, toks = [], []
-            for a, title, content in zip(*(part.column(c).to_pylist() for c in ("article_id", "title", "content"))):
-                words = _WORDS(story(title, content)[0].lower())
+            for a, title, content, about in zip(*(part.column(c).to_pylist() for c in PAGE_COLUMNS)):
+                words = _WORDS(story(title, content, about)[0].lower())
                 if words:
                     ids.append(a)
                     toks.append(word_tokens(np.fromiter(map(get, words), dtype=np.uint64, count=len(words))))
@@ -142,7 +142,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signed(articles: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """(article_id, copy, words, bands) of each article with a story that has words."""
-    rows = articles.where(F.length("content") > 0).select("article_id", F.col("title").cast("string"), F.col("content").cast("string"))
+    rows = pages(articles.where(F.length("content") > 0))
     if excluded is not None:
         rows = rows.join(excluded.select("article_id").distinct(), "article_id", "left_anti")
     return rows.mapInArrow(_signed, "article_id long, copy binary, words array<int>, bands array<long>")
