@@ -3,8 +3,10 @@
 Documents are sized in tokens of the container's tokenizer. The corpus is dealt into shards of bounded
 size; each shard has a BM25 inverted index of its own. The largest document not yet used seeds a
 container, the index returns its unused neighbours, and they fill the container greedily, best score
-first; what room is left is closed with the largest unused documents that fit. A document larger than
-the capacity is split into full containers of its own, and its remainder is packed like a document.
+first; what room is left is closed with the largest unused documents that fit. Containers with room left
+are opened again, and their documents are packed anew by an index over those of several shards; there
+the last neighbour of a container is the best one that closes it. A document larger than the capacity is
+split into full containers of its own, and its remainder is packed like a document.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SHARD = 1500
 K1, B = 1.2, 0.75
 #: Containers used less than this are opened again, and those of so many shards are packed anew together.
 CLOSED, TOGETHER = 0.99, 64
+#: Documents that are packed anew together, on average; where those of so many shards are more, fewer shards are.
+ANEW = 4 * SHARD
 #: Terms in more than this share of a shard tell documents apart too little to be looked up.
 COMMON = 0.2
 
@@ -217,13 +221,18 @@ class _Room:
         self.left[place + 1] = place - 1
 
 
-def fill(index: Index, sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Containers (lists of document numbers) of documents none of which is larger than ``capacity``."""
+def fill(index: Index, sizes: np.ndarray, capacity: int, slack: float | None = None) -> list[list[int]]:
+    """Containers (lists of document numbers) of documents none of which is larger than ``capacity``.
+
+    With ``slack``, where the next neighbour would leave more room than that but less than most documents
+    need, the best neighbour that leaves ``slack`` at most is taken instead, if there is one.
+    """
     room = _Room(sizes)
     place = np.empty(len(sizes), dtype=np.int64)
     place[room.order] = np.arange(len(sizes))
     used = np.zeros(len(sizes), dtype=bool)
     least = room.sorted[0] if room.sorted else 0
+    usual = room.sorted[len(sizes) // 2] if room.sorted else 0
     out: list[list[int]] = []
 
     def take(d: int, box: list[int]) -> int:
@@ -242,7 +251,11 @@ def fill(index: Index, sizes: np.ndarray, capacity: int) -> list[list[int]]:
             best = found[np.argsort(-score, kind="stable")]
             for d, size in zip(best.tolist(), sizes[best].tolist()):
                 if size <= rest:
-                    rest -= take(d, box)
+                    if slack is not None and slack < rest - size < usual:
+                        closing = best[~used[best] & (sizes[best] <= rest) & (sizes[best] >= rest - slack)]
+                        d = int(closing[0]) if len(closing) else d
+                    if not used[d]:
+                        rest -= take(d, box)
                     if rest < least:
                         break
         while (d := room.largest(rest)) is not None:
@@ -261,11 +274,27 @@ class _Unrelated:
         return np.zeros(0, np.int64), np.zeros(0)
 
 
+def fill_anew(terms: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Containers of the documents of loose containers; those that stay loose are opened again while that closes any."""
+    out: list[list[int]] = []
+    left = np.arange(len(sizes))
+    while len(left):
+        index = Index([terms[d] for d in left], [counts[d] for d in left])
+        boxes = [left[box].tolist() for box in fill(index, sizes[left], capacity, (1 - CLOSED) * capacity)]
+        loose = [box for box in boxes if sizes[box].sum() < CLOSED * capacity]
+        if len(loose) == len(boxes):
+            return out + boxes
+        out += [box for box in boxes if sizes[box].sum() >= CLOSED * capacity]
+        left = np.array(sorted(d for box in loose for d in box), dtype=np.int64)
+    return out
+
+
 def _refill(capacities: dict[int, int]):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["tokens", "doc_id", "part"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         spec, no = int(group["spec_id"].iloc[0]), int(group["together"].iloc[0])
-        boxes = fill(_Unrelated(), group["tokens"].to_numpy(np.int64), capacities[spec])
+        terms, counts = [np.asarray(t, np.int32) for t in group["terms"]], [np.asarray(c, np.int16) for c in group["counts"]]
+        boxes = fill_anew(terms, counts, group["tokens"].to_numpy(np.int64), capacities[spec])
         order = [d for box in boxes for d in box]
         out = group.loc[order, ["spec_id", "doc_id", "part", "start", "tokens"]]
         out["container"] = [f"t{no}-{i}" for i, box in enumerate(boxes) for _ in box]
@@ -291,7 +320,8 @@ def packed(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS, sha
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id", kind="stable").reset_index(drop=True)
         ids, no = group["doc_id"].to_numpy(), int(group["shard"].iloc[0])
-        index = Index([np.asarray(t) for t in group["terms"]], [np.asarray(c) for c in group["counts"]])
+        terms, counts = [np.asarray(t) for t in group["terms"]], [np.asarray(c) for c in group["counts"]]
+        index = Index(terms, counts)
         sizes = np.array(group["sizes"].tolist(), dtype=np.int64).reshape(len(group), -1)
         out: list[tuple] = []
         for spec, column, capacity in plan:
@@ -300,7 +330,7 @@ def packed(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS, sha
             box = 0
             for d in np.flatnonzero((whole > 0) & (size > capacity)):
                 for part in range(int(whole[d])):
-                    out.append((spec, f"{no}-{box}", 0, int(ids[d]), part, part * capacity, capacity))
+                    out.append((spec, f"{no}-{box}", 0, int(ids[d]), part, part * capacity, capacity, None, None))
                     box += 1
             left = np.where(size > capacity, rest, size)
             present = np.flatnonzero(left > 0)
@@ -309,20 +339,26 @@ def packed(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS, sha
             number = np.full(len(size), -1)
             number[present] = np.arange(len(present))
             for members in fill(index if len(present) == len(size) else _Part(index, present, number), left[present], capacity):
+                loose = left[present[members]].sum() < CLOSED * capacity  # its documents take their words along
                 for position, m in enumerate(members):
                     d = int(present[m])
                     split = size[d] > capacity
-                    out.append((spec, f"{no}-{box}", position, int(ids[d]), int(whole[d]) if split else 0, int(whole[d] * capacity) if split else 0, int(left[d])))
+                    words = (terms[d], counts[d]) if loose else (None, None)
+                    out.append((spec, f"{no}-{box}", position, int(ids[d]), int(whole[d]) if split else 0, int(whole[d] * capacity) if split else 0, int(left[d]), *words))
                 box += 1
-        return pd.DataFrame(out, columns=["spec_id", "container", "position", "doc_id", "part", "start", "tokens"])
+        return pd.DataFrame(out, columns=["spec_id", "container", "position", "doc_id", "part", "start", "tokens", "terms", "counts"])
 
-    dealt = materialize(rows.groupBy("shard").applyInPandas(run, _SHAPE), "containers")
+    dealt = materialize(rows.groupBy("shard").applyInPandas(run, _SHAPE + ", terms array<int>, counts array<short>"), "containers")
+    shape = [c for c in dealt.columns if c not in ("terms", "counts")]
     capacities = {s: c for s, _, c in wanted}
-    room = F.create_map(*(x for s, c in capacities.items() for x in (F.lit(s), F.lit(c)))) if capacities else F.create_map().cast("map<int,int>")
-    used = dealt.groupBy("spec_id", "container").agg(F.sum("tokens").alias("used")).where(F.col("used") < CLOSED * room[F.col("spec_id")])
-    loose = used.select("spec_id", "container", F.floor(F.split("container", "-")[0].cast("int") / TOGETHER).cast("int").alias("together"))
-    again = dealt.join(loose, ["spec_id", "container"]).groupBy("spec_id", "together").applyInPandas(_refill(capacities), _SHAPE)
-    return dealt.join(loose, ["spec_id", "container"], "left_anti").select(*dealt.columns).unionByName(again)
+    loose = dealt.where(F.col("terms").isNotNull())
+    per = {r.spec_id: max(1, min(TOGETHER, ANEW * shards // r.n)) for r in loose.groupBy("spec_id").agg(F.count("*").alias("n")).collect()}
+    if not per:
+        return dealt.select(shape)
+    many = F.create_map(*(F.lit(x) for pair in per.items() for x in pair))
+    together = F.floor(F.split("container", "-")[0].cast("int") / many[F.col("spec_id")]).cast("int")
+    again = loose.withColumn("together", together).groupBy("spec_id", "together").applyInPandas(_refill(capacities), _SHAPE)
+    return dealt.where(F.col("terms").isNull()).select(shape).unionByName(again)
 
 
 class _Part:

@@ -46,6 +46,27 @@ def test_loose_containers_of_many_shards_are_packed_together():
     assert sorted(len(b) for b in boxes) == [1, 3, 3]
 
 
+def test_documents_of_loose_containers_are_packed_by_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    words = {topic: [f"{a}{topic}{b}word" for a in "abcdefgh" for b in "abcdefgh"] for topic in "wxyz"}
+    texts = [" ".join(rng.choice(words["wxyz"[i % 4]], int(rng.integers(20, 60)), replace=False)) for i in range(240)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    specs = spark.createDataFrame([(1, "byte_bpe_50k", 1000)], "spec_id int, tokenizer string, capacity_tokens int")
+    monkeypatch.setattr(pack, "CLOSED", 1.0)  # nearly every container of a shard is loose
+    boxes = {}
+    for r in pack.packed(d, specs, shard=40).collect():
+        boxes.setdefault(r.container, {})[r.position] = r.doc_id
+    assert sorted(x for box in boxes.values() for x in box.values()) == list(range(240))
+    beside = [x % 4 == box[0] % 4 for box in boxes.values() for place, x in box.items() if place]
+    assert sum(beside) > 0.7 * len(beside)  # one in four by size alone
+
+
+def test_the_last_neighbour_closes_a_container():
+    terms = [np.arange(20, dtype=np.int32), np.arange(10, dtype=np.int32), np.arange(12, 17, dtype=np.int32), np.array([900], np.int32), np.array([900], np.int32)]
+    index, sizes = pack.Index(terms, [np.ones(len(t)) for t in terms]), np.array([60, 30, 40, 40, 40])
+    assert pack.fill(index, sizes, 100)[0] == [0, 1] and pack.fill(index, sizes, 100, 1)[0] == [0, 2]
+
+
 def test_results_do_not_depend_on_partitions(spark):
     a = stories(spark, 120, 40)
     one = {tuple(r) for r in neardup.near_duplicate_pairs(a.coalesce(1)).collect()}
