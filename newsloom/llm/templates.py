@@ -2,9 +2,10 @@
 
 Lines that hold a cue of a message are mined for templates with a fixed-depth prefix tree: the first
 level is the number of tokens, the next two are the first tokens, and a leaf holds groups of lines that
-agree in at least half of their tokens; where they differ a group has a wildcard. Each task grows trees
-over its own rows, the trees are merged leaf by leaf, every template is judged once, and its verdict
-goes back to the articles that hold it. Unfilled slots inside ordinary text are found apart.
+agree in at least half of their tokens; where they differ a group has a wildcard. The distinct masked
+lines of a leaf meet in one task, which grows the groups in an order that hangs on the lines alone and
+judges each template once, and a line by itself where its template says nothing. The verdict goes back to
+the articles that hold the line. Unfilled slots inside ordinary text are found apart.
 """
 
 from __future__ import annotations
@@ -248,17 +249,15 @@ def verdict(template: str) -> str | None:
 
 
 _ROWS = pa.schema(
-    [("article_id", pa.int64()), ("slot", pa.bool_()), ("prose", pa.int64()), ("templates", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64()))]
+    [("article_id", pa.int64()), ("slot", pa.bool_()), ("prose", pa.int64()), ("lines", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64()))]
 )
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Articles with a cue: whether a slot is unfilled, and the templates of the lines with message cues.
+    """Articles with a cue: whether a slot is unfilled, and the masked lines with message cues.
 
-    ``slot`` is also true where the story is filler as a whole. ``prose`` counts the characters of story prose; ``sizes`` says how many of them are a template's own.
+    ``slot`` is also true where the story is filler as a whole. ``prose`` counts the characters of story prose; ``sizes`` says how many of them are a line's own.
     """
-    tree = Tree()
-    held: list[tuple] = []
     for b in batches:
         out = []
         for aid, title, content in zip(*(b.column(c).to_pylist() for c in ("article_id", "title", "content"))):
@@ -277,7 +276,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             lines = page_lines(content or "")
             off = furniture(title, lines)
-            groups, sizes, prose = [], [], 0
+            masked, sizes, prose = [], [], 0
             for i, line in enumerate([title or "", *lines]):
                 low = normal(line)
                 if not low:
@@ -287,24 +286,18 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own = len(low)
                     prose += own
                 if cues(low)[1] or (i and own and len(low) < 60):
-                    groups.append(tree.add(tokens(line)))
+                    masked.append(" ".join(tokens(line)))
                     sizes.append(own)
-            if groups:
-                held.append((aid, prose, groups, sizes))
+            if masked:
+                out.append((aid, False, prose, masked, sizes))
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(_ROWS.names, r)) for r in out], schema=_ROWS)
-    # the tree is grown: each line goes by the final template of its group
-    for k in range(0, len(held), 5000):
-        part = held[k : k + 5000]
-        yield pa.RecordBatch.from_pylist(
-            [dict(zip(_ROWS.names, (aid, False, prose, [" ".join(g[0]) for g in groups], sizes))) for aid, prose, groups, sizes in part], schema=_ROWS
-        )
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge templates of one prefix leaf and give each merged template one verdict."""
-    schema = pa.schema([("template", pa.string()), ("verdict", pa.string())])
-    counted = [r for b in batches for r in zip(b.column("template").to_pylist(), b.column("n").to_pylist())]
+    """Grow the tree over the masked lines of whole leaves; a line has the verdict of its template, else its own."""
+    schema = pa.schema([("line", pa.string()), ("verdict", pa.string())])
+    counted = [r for b in batches for r in zip(b.column("line").to_pylist(), b.column("n").to_pylist())]
     tree = Tree()
     groups = []
     for t, n in sorted(counted, key=lambda x: (-x[1], x[0])):
@@ -316,22 +309,24 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             judged[id(g)] = verdict(" ".join(g[0]))
         v = judged[id(g)] or verdict(t)
         if v:
-            out.append({"template": t, "verdict": v})
+            out.append({"line": t, "verdict": v})
     yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
 def mined(articles: DataFrame) -> DataFrame:
-    """Rows (article_id, slot, prose, templates, sizes) of the articles that hold any cue."""
+    """Rows (article_id, slot, prose, lines, sizes) of the articles that hold any cue."""
     return articles.select("article_id", F.col("title").cast("string"), F.col("content").cast("string")).mapInArrow(
-        _mine, "article_id long, slot boolean, prose long, templates array<string>, sizes array<long>"
+        _mine, "article_id long, slot boolean, prose long, lines array<string>, sizes array<long>"
     )
 
 
-def template_verdicts(rows: DataFrame) -> DataFrame:
-    """Each mined template with a verdict: (template, verdict). Templates are counted before they move."""
-    counted = rows.select(F.explode("templates").alias("template")).groupBy("template").agg(F.count("*").alias("n"))
-    leaf = F.concat_ws(" ", F.size(F.split("template", " ")).cast("string"), F.split("template", " ")[0])
-    return counted.repartition(leaf).mapInArrow(_judge, "template string, verdict string")
+def line_verdicts(rows: DataFrame) -> DataFrame:
+    """Each masked line with a verdict: (line, verdict). Lines are counted before they move, whole leaves together."""
+    counted = rows.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+    toks = F.split("line", " ")
+    # as in Tree.leaf: tokens with a digit or a wildcard are one
+    first = [F.when(F.get(toks, F.lit(i)).rlike(r"[<\p{Nd}\p{No}]"), WILD).otherwise(F.coalesce(F.get(toks, F.lit(i)), F.lit(""))) for i in (0, 1)]
+    return counted.repartition(F.size(toks), *first).mapInArrow(_judge, "line string, verdict string")
 
 
 def residue(articles: DataFrame) -> DataFrame:
@@ -344,11 +339,11 @@ def residue(articles: DataFrame) -> DataFrame:
     from newsloom.plans.materialize import materialize
 
     rows = materialize(mined(articles), "templates")
-    verdicts = template_verdicts(rows)
-    long = rows.where(~F.col("slot")).select("article_id", "prose", F.explode(F.arrays_zip("templates", "sizes")).alias("t"))
+    verdicts = line_verdicts(rows)
+    long = rows.where(~F.col("slot")).select("article_id", "prose", F.explode(F.arrays_zip("lines", "sizes")).alias("t"))
     told = (
-        long.select("article_id", "prose", F.col("t.templates").alias("template"), F.col("t.sizes").alias("own"))
-        .join(verdicts, "template")
+        long.select("article_id", "prose", F.col("t.lines").alias("line"), F.col("t.sizes").alias("own"))
+        .join(verdicts, "line")
         .groupBy("article_id")
         .agg(
             F.max(F.when(F.col("verdict") == "filler", True).otherwise(False)).alias("filler"),

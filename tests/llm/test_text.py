@@ -102,6 +102,16 @@ def test_residue(spark):
     assert templates.residue(articles(spark, [])).count() == 0
 
 
+def test_residue_does_not_depend_on_what_else_a_task_holds(spark):
+    said = ["Page not found", "Page not loading", "Error 404", "Error 17b", "Error alpha", "Error beta", "Access denied", "Access granted: loading", "Loading", "1a 2b unavailable", "3c 4d unavailable"]
+    a = articles(spark, [(i, 1, None, said[i % len(said)]) for i in range(44)])
+    one = {tuple(r) for r in templates.residue(a.coalesce(1)).collect()}
+    each = {tuple(r) for r in templates.residue(a.repartition(44, "article_id")).collect()}
+    two = {tuple(r) for r in templates.residue(a.repartition(2, F.rand(5))).collect()}
+    assert one == each == two
+    assert {0, 11, 22, 33} <= {i for i, _ in one} and not {1, 12} & {i for i, _ in one}
+
+
 def test_prefix_tree_merges_templates():
     tree = templates.Tree()
     for x in ("alpha", "beta", "gamma"):
