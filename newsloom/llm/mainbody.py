@@ -3,7 +3,9 @@
 A page is read as a tree: the page, its containers (runs of text lines between page furniture or
 headings over blocks of other stories) and the lines as leaves. Each text line passes points for its
 length and its commas to its container, discounted by its link density; the best container is kept, and
-so are those of its siblings that score well against it or that speak of the same names.
+so are those of its siblings that score well against it or that speak of the same names. Of the others
+only short lines fall away: a lone paragraph between furniture is mostly the story's, so prose is left
+to the cues.
 
 In text that has lost its markup, link density is estimated: a line that consists of menu words, or that
 a cue shows to be page furniture, is all link (density one: it passes nothing and parts containers), a
