@@ -140,5 +140,6 @@ def same_look_pairs(documents: DataFrame) -> DataFrame:
 def look_classes(documents: DataFrame) -> DataFrame:
     """One row per document with text: its class (the smallest doc_id of its look), the class's size and its spellings."""
     rows = materialize(looks(documents), "looks")
-    groups = rows.groupBy("look").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.approx_count_distinct("exact", 0.01).alias("spellings"))
+    written = rows.groupBy("look", "exact").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))  # counts each spelling before its look meets
+    groups = written.groupBy("look").agg(F.min("least").alias("class_id"), F.sum("n").alias("members"), F.count("*").alias("spellings"))
     return rows.join(groups, "look").select("doc_id", "class_id", "members", "spellings")

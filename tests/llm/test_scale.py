@@ -40,6 +40,13 @@ def test_a_hot_look_and_its_few_spellings(spark):
     assert confusable.look_classes(d).where("class_id = 0").count() == 600
 
 
+def test_spellings_of_a_hot_look_are_counted_exactly(spark):
+    letters = [("a", "а"), ("c", "с"), ("e", "е"), ("o", "о"), ("p", "р"), ("x", "х"), ("y", "у"), ("A", "А"), ("B", "В"), ("E", "Е"), ("K", "К"), ("M", "М"), ("H", "Н")]
+    rows = [(i, "".join(pair[i >> k & 1] for k, pair in enumerate(letters))) for i in range(5000)]
+    classes = confusable.look_classes(spark.createDataFrame(rows + [(9000 + i, t) for i, t in rows[:100]], "doc_id long, text string"))
+    assert {tuple(r)[1:] for r in classes.collect()} == {(0, 5100, 5000)} and classes.count() == 5100
+
+
 def test_loose_containers_of_many_shards_are_packed_together():
     sizes = np.array([30] * 7)
     boxes = pack.fill(pack._Unrelated(), sizes, 100)
