@@ -1,7 +1,8 @@
 """Filling fixed-capacity containers with related documents (problem 8).
 
 Documents are sized in tokens of the container's tokenizer. The corpus is dealt into shards of bounded
-size; each shard has a BM25 inverted index of its own. The largest document not yet used seeds a
+size by content: documents are ordered by several min-hashes of their words, so that those that share most
+of them stand together, and each run of the order is a shard. Each shard has a BM25 inverted index of its own. The largest document not yet used seeds a
 container, the index returns its unused neighbours, and they fill the container greedily, best score
 first; what room is left is closed with the largest unused documents that fit. Containers with room left
 are opened again, and their documents are packed anew by an index over those of several shards; there
@@ -34,6 +35,8 @@ K1, B = 1.2, 0.75
 CLOSED, TOGETHER = 0.99, 64
 #: Documents that are packed anew together, on average; where those of so many shards are more, fewer shards are.
 ANEW = 4 * SHARD
+#: Min-hashes that order the corpus, one after the other, and their bits; many documents may share the first few.
+LEVELS, BITS = 6, 10
 #: Terms in more than this share of a shard tell documents apart too little to be looked up.
 COMMON = 0.2
 
@@ -121,8 +124,21 @@ def tokenizer_model(name: str, folder: str = TOKENIZERS) -> tuple[str, bytes]:
         return "pieces", f.read()
 
 
+def near(terms: list[np.ndarray]) -> np.ndarray:
+    """For each document a number that begins with the same bits as those of documents with mostly the same words."""
+    out = np.zeros(len(terms), dtype=np.int64)
+    some = np.flatnonzero([len(t) > 0 for t in terms])
+    if len(some):
+        flat = np.concatenate([terms[i] for i in some]).view(np.uint32)
+        first = np.r_[0, np.cumsum([len(terms[i]) for i in some])[:-1]]
+        for level in range(LEVELS):
+            least = np.minimum.reduceat(flat * np.uint32((0x9E3779B1 * (2 * level + 1) ^ 0x85EBCA6A * level) & 0xFFFFFFFF | 1), first)
+            out[some] = out[some] << BITS | (least & np.uint32((1 << BITS) - 1)).astype(np.int64)
+    return out
+
+
 def sized(documents: DataFrame, tokenizers: list[str], folder: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, sizes, terms, counts): token counts by each tokenizer, hashes of the distinct words and how often they occur.
+    """(doc_id, sizes, terms, counts, near): token counts by each tokenizer, hashes of the distinct words, how often they occur, and the place in the order by content.
 
     Null and empty texts have size 0 and no words.
     """
@@ -150,15 +166,42 @@ def sized(documents: DataFrame, tokenizers: list[str], folder: str = TOKENIZERS)
                     terms.append(u[u != 0])
                     counts.append(np.minimum(c[u != 0], 255).astype(np.int16))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int16()))],
-                names=["doc_id", "sizes", "terms", "counts"],
+                [b.column("doc_id"), pa.array(sizes, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int16())), pa.array(near(terms), pa.int64())],
+                names=["doc_id", "sizes", "terms", "counts", "near"],
             )
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, sizes array<int>, terms array<int>, counts array<short>"
+        run, "doc_id long, sizes array<int>, terms array<int>, counts array<short>, near long"
     )
 
 
+def with_shards(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows with the shard that each belongs to: runs of one length in the order of (near, doc_id), so the result hangs on the rows alone."""
+    if shards == 1:
+        return rows.withColumn("shard", F.lit(0))
+    order = materialize(rows.select("near", "doc_id").orderBy("near", "doc_id").withColumn("at", F.monotonically_increasing_id()), "order")
+    task, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    before, total = {}, 0
+    for r in sorted(order.groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect()):
+        before[r.task], total = total, total + r.n
+    length = math.ceil(total / shards)
+    offsets = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
+    place = offsets[task] + within
+    firsts = sorted((r.near, r.doc_id) for r in order.where((place > 0) & (place % length == 0)).select("near", "doc_id").collect())
+    starts = rows.sparkSession.sparkContext.broadcast((np.array([x for x, _ in firsts], np.int64), np.array([d for _, d in firsts], np.int64)))
+
+    @F.pandas_udf("int")
+    def shard(near: pd.Series, doc_id: pd.Series) -> pd.Series:
+        at, ids = starts.value
+        n, d = near.to_numpy(np.int64), doc_id.to_numpy(np.int64)
+        low, high = np.searchsorted(at, n, "left"), np.searchsorted(at, n, "right")
+        for i in np.flatnonzero(low < high):  # a shard begins among documents of this very number
+            low[i] += np.searchsorted(ids[low[i] : high[i]], d[i], "right")
+        return pd.Series(low.astype(np.int32))
+
+    return rows.withColumn("shard", shard("near", "doc_id"))
+
+
 class Index:
     """BM25 inverted index of one shard: for each term its documents and their weights."""
 
@@ -313,8 +356,9 @@ def packed(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS, sha
     """
     wanted = [(int(r.spec_id), r.tokenizer, int(r.capacity_tokens)) for r in specs.select("spec_id", "tokenizer", "capacity_tokens").orderBy("spec_id").collect()]
     names = sorted({t for _, t, _ in wanted})
-    shards = max(1, math.ceil(documents.count() / shard))
-    rows = sized(documents, names, folder).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    whole_corpus = materialize(sized(documents, names, folder), "sized")
+    shards = max(1, math.ceil(whole_corpus.count() / shard))
+    rows = with_shards(whole_corpus, shards).drop("near")
     plan = [(s, names.index(t), c) for s, t, c in wanted]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -68,6 +68,26 @@ def test_documents_of_loose_containers_are_packed_by_neighbours(spark, monkeypat
     assert sum(beside) > 0.7 * len(beside)  # one in four by size alone
 
 
+def test_revisions_stand_in_one_shard(spark, monkeypatch):
+    # 20 shards; containers hold two documents, so a revision is beside its story only if it is in its shard
+    rng = np.random.default_rng(2)
+    words = [f"{a}{b}{c}" for a in "bcdfghklm" for b in "aeiou" for c in ("nor", "tal", "wix", "zem")]
+    texts = [" ".join(rng.choice(words, 40, replace=False)) for _ in range(300)]
+    d = spark.createDataFrame([(i * 2 + k, t + " again" * k) for i, t in enumerate(texts) for k in (0, 1)], "doc_id long, text string")
+    largest = max(r.sizes[0] for r in pack.sized(d, ["byte_bpe_50k"]).collect())
+    specs = spark.createDataFrame([(1, "byte_bpe_50k", 2 * largest)], "spec_id int, tokenizer string, capacity_tokens int")
+    monkeypatch.setattr(pack, "CLOSED", 0.5)
+    boxes = {}
+    for part in (d.coalesce(1), d.repartition(7, F.rand(4))):
+        got = {}
+        for r in pack.packed(part, specs, shard=30).collect():
+            got.setdefault(r.container, []).append(r.doc_id)
+        assert sorted(x for box in got.values() for x in box) == list(range(600))
+        assert got == boxes or not boxes
+        boxes = got
+    assert sum(len({x // 2 for x in box}) < len(box) for box in boxes.values()) > 0.7 * 300
+
+
 def test_the_last_neighbour_closes_a_container():
     terms = [np.arange(20, dtype=np.int32), np.arange(10, dtype=np.int32), np.arange(12, 17, dtype=np.int32), np.array([900], np.int32), np.array([900], np.int32)]
     index, sizes = pack.Index(terms, [np.ones(len(t)) for t in terms]), np.array([60, 30, 40, 40, 40])
