@@ -1,8 +1,9 @@
 """Lines of a page: normal forms, cue words and the local class of a line.
 
-All cues are fixed values: common wordings of page furniture in English, German, Spanish and French,
-matched on the normal form of a line (see :func:`normal`). One Aho-Corasick automaton finds them, so
-that a line of prose costs one pass whatever the number of cues.
+All cues are fixed values: short wordings that most sites use, in English, German, Spanish and French,
+matched on the normal form of a line (see :func:`normal`). They serve lines that stand on one page only
+and sites of few pages; what a site says in its own words is known by coming again on its other pages.
+One Aho-Corasick automaton finds the cues, so that a line of prose costs one pass whatever their number.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 
 import ahocorasick
+import xxhash
 
 _EDGE = "-–—•*>·|›»«#+=~_ \t"
 
@@ -19,6 +21,22 @@ def normal(line: str) -> str:
     return " ".join(line.split()).strip(_EDGE).lower()
 
 
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_ASCII_OTHERS = bytes(i for i in range(128) if not chr(i).isalpha())
+
+
+def line_key(line: str) -> int:
+    """64-bit hash of a line's letters in one letter case; 0 for a line without letters."""
+    if line.isascii():
+        letters = line.encode().translate(None, _ASCII_OTHERS).upper()
+    else:
+        kept = _NOT_LETTERS.sub("", line)
+        if not kept.isalpha():  # raised digits and the like
+            kept = "".join(filter(str.isalpha, kept))
+        letters = kept.upper().encode("utf-8", "surrogatepass")
+    return (xxhash.xxh3_64_intdigest(letters) - (1 << 63) or 1) if letters else 0
+
+
 def _list(text: str) -> list[str]:
     return [x.strip() for x in text.replace("\n", "|").split("|") if x.strip()]
 
@@ -37,73 +55,37 @@ MENU = frozenset(
     )
 )
 
-# A line that begins so is page furniture.
+# A line that begins so is page furniture, in short wordings that most sites use.
 _BEGINS = _list(
     """back to top|nach oben|zum seitenanfang|volver arriba|haut de page|retour en haut|skip to |jump to |zum inhalt|ir al contenido|saltar al contenido
-    aller au contenu|open menu|close menu|open the menu|close the menu|menü öffnen|menü schließen|abrir menú|abrir el menú|cerrar menú|ouvrir le menu
-    fermer le menu|datenschutz bei |su privacidad|votre vie privée|vie privée sur |share:|share this|share on |share via |beitrag teilen|artikel teilen|artikel weiterleiten|beitrag weiterleiten|difunda |faire suivre
-    diesen beitrag teilen|diesen artikel teilen|teilen:|teilen (|compartir:|compartir est|partager:|partager :|partager cet|pass it on|spread the word|send it on
-    send this |send to a |envoyer à |enviar a |enviar por |weitersagen|an freunde |per mail senden|did you like |found this |enjoyed this|enjoying |worth the read|like this
-    liked this|subscribe |reciba |recevez |help us report|support our|like our |jetzt spenden|spenden |done |haga un donativo|apoye |faites un don
-    soutenez |unterstützen sie|stay informed|stay connected|stay up to date|keep in touch|never miss|folgen sie |siga a |síganos|suivez |tags:|tags :|topics:
-    filed under|keywords:|themen:|schlagwörter|schlagworte|stichwörter|etiquetas:|temas:|mots-clés|mots clés|sujets :|étiquettes :|comment by |comment from |reader comment
-    kommentar von |comentario de |commentaire de |your opinion matters|tell us what you |leave a comment|leave a reply|ihre meinung|su opinión|tu opinión
-    votre avis|schreiben sie uns|díganos|dites-nous|advertisement:|advertising:|sponsored:|anzeige:|werbung:|publicidad:|anuncio:|publicité :|publicité:|annonce :
-    ©|(c) |copyright |text and layout:|text and photos:|text and images:|contents:|the views |the opinions |opinions |views |contact us|media contact:|media contact |pressekontakt
-    medienkontakt|contacto de prensa|contact presse|impressum|aviso legal|mentions légales|science news costs|print this page
-    loading|enable javascript|enable scripts|please enable javascript|please enable scripts|alle rechte vorbehalten|todos los derechos|tous droits"""
+    aller au contenu|open menu|close menu|menü öffnen|menü schließen|abrir menú|cerrar menú|ouvrir le menu|fermer le menu
+    share:|share this|share on |teilen:|compartir:|partager:|partager :|subscribe |folgen sie |siga a |síganos|suivez |follow us
+    tags:|tags :|topics:|filed under|keywords:|themen:|schlagwörter|schlagworte|stichwörter|etiquetas:|temas:|mots-clés|mots clés|sujets :|étiquettes :
+    comment by |comment from |reader comment|kommentar von |comentario de |commentaire de |leave a comment|leave a reply
+    advertisement:|advertising:|sponsored:|anzeige:|werbung:|publicidad:|anuncio:|publicité :|publicité:|annonce :
+    ©|(c) |copyright |contact us|media contact:|media contacts |pressekontakt|contacto de prensa|contact presse|impressum|aviso legal|mentions légales|print this page
+    loading|enable javascript|enable scripts|please enable javascript|please enable scripts"""
 )
 
-# A line that contains one of these is page furniture.
+# A line that contains one of these is page furniture, in short wordings that most sites use.
 _CONTAINS = _list(
-    """cookie settings|cookie notice|cookie policy|uses cookies|use cookies|verwendet cookies|kommen cookies|utiliza cookies|empleamos cookies|utilise des cookies|des cookies sont|cookies help|cookies on |your privacy |your consent |stores small files|privacy notice|aceptar rechazar|tout accepter|alle annehmen|accept all|copy link|pass it on to |send it to someone|in your inbox|sign up for the newsletter|rundbrief|suscríbase|abonnez-vous|depends on readers like you|give today.|donate now
-    paid for by readers|is supported by readers|on your favorite channels|wherever you read|: feed, video|comments so far|all rights reserved|some rights reserved|alle rechte vorbehalten
-    todos los derechos reservados|tous droits réservés|do not republish|do not copy|reproduction only|reproduction interdite|with written permission
-    requires a license|nachdruck|prohibida la reprod|images are excluded|may be reused with|may be reprinted with|may be republished with|not necessarily shared by|expressed here are those
-    equal opportunity employer|terms of use|site map|report a problem|a to z|mapa del sitio
-    plan du site|barrierefreiheit|telephone extension|emergency information|is a public newsroom|readers a year|readers a month|readers a week|reproduction sans autorisation"""
+    """cookie settings|cookie notice|cookie policy|uses cookies|use cookies|verwendet cookies|utiliza cookies|utilise des cookies|privacy notice|accept all|copy link
+    all rights reserved|some rights reserved|alle rechte vorbehalten|todos los derechos reservados|tous droits réservés|equal opportunity employer|terms of use|site map"""
 )
-_CONTAINS += ["| copy link", "privacy |", "| privacy", "accessibility |", "| accessibility", "| emergency", "datenschutz |", "| datenschutz"]
 
 # A line with the words before the sign must also match the pattern after it.
 _PATTERNS = [
-    ("\nfollow ", r"^follow\b.*(?::|\bon your\b|\bwherever\b|\bon (?:facebook|twitter|instagram|x|linkedin|youtube)\b)"),
-    ("follow ", r"\bfollow .{2,60} (?:on your|wherever you)\b"),
-    (" and privacy", r"^.{3,60} and privacy (?:accept|reject|allow|agree|no, thanks|ok|what is|manage|settings)"),
-    ("\nprivacy policy", r"^privacy policy(?: \|.*)?$"),
-    ("cookie", r"^.{2,60} cookies?\b.{0,60}\b(?:visit|site|settings|readers|accept|agree|consent)\b.{0,80}$"),
-    ("rejec", r"\baccept\b.*\breject\b"),
-    ("rechazar", r"\baceptar\b.*\brechazar\b"),
-    ("refuser", r"\baccepter\b.*\brefuser\b"),
-    ("ablehnen", r"\bannehmen\b.*\bablehnen\b"),
-    (" comments", r"^\d+ comments?$"),
     ("\nweather", r"^weather\b.*\d"),
     ("\nwetter", r"^wetter\b.*\d"),
     ("tiempo en ", r"^(?:el )?tiempo en\b.*\d"),
     ("\nmétéo", r"^météo\b.*\d"),
-    ("radar", r"\d+ (?:degrees?|grad|grados|degrés),? .*\bradar\b"),
     ("doors at", r"\bdoors at \d"),
     (" room ", r"^(?:seminar|talk|lecture|workshop|reading)\b.*\broom \d+"),
-    ("lecture", r"^(?:\d+/\d+ . )?lecture ?:"),
-    ("hörsaal", r"\bhörsaal \d+$"),
     (" hall ", r"\bhall \d+$"),
+    ("hörsaal", r"\bhörsaal \d+$"),
     ("aula ", r"\baula \d+$"),
     ("salle ", r"\bsalle \d+$"),
-    ("vortrag", r"^(?:\d+[/.]\d+\.? )?(?:. )?vortrag ?:"),
-    ("conferencia", r"^(?:\d+[/.]\d+ )?(?:. )?conferencia ?:"),
-    ("conférence", r"^(?:\d+[/.]\d+ )?(?:. )?conférence ?:"),
-    ("\nabout ", r"^about .{2,80}: founded\b"),
-    ("\nüber ", r"^über .{2,80}: gegründet\b"),
-    ("\nsobre ", r"^sobre .{2,80}: fundad[ao]\b"),
-    ("\nà propos", r"^à propos de .{2,80} ?: fondée?\b"),
-    ("tag der offenen tür", r"^.{0,60}tag der offenen tür.{0,60}$"),
-    ("puertas abiertas", r"^.{0,60}puertas abiertas.{0,60}$"),
-    ("portes ouvertes", r"^.{0,60}portes ouvertes.{0,60}$"),
     ("shares", r"^\d+ shares\b"),
-    (" mail ", r"^\w+ ?: mail [·|] link\b"),
-    ("correo", r"^\w+ ?: correo [·|] enlace\b"),
-    ("lien", r"^\w+ ?: (?:mail|courriel|e-mail) [·|] lien\b"),
-    ("the views", r"^the (?:views|opinions)\b"),
 ]
 
 # Headings over blocks of other stories.

@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.mainbody import PAGE_COLUMNS, pages, story
+from newsloom.llm.mainbody import PAGE_COLUMNS, pages, reader, story
+from newsloom.llm.sitelines import Known
 from newsloom.plans.materialize import materialize
 
 #: Stories are near-duplicates from this share of common words on.
@@ -108,15 +109,15 @@ _ROWS = pa.schema([("article_id", pa.int64()), ("copy", pa.binary()), ("words",
 _CHUNK = 1000
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], read) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     get = hashes.__getitem__
     for batch in batches:
         for start in range(0, batch.num_rows, _CHUNK):
             part = batch.slice(start, _CHUNK)
             ids, toks = [], []
-            for a, title, content, about in zip(*(part.column(c).to_pylist() for c in PAGE_COLUMNS)):
-                words = _WORDS(story(title, content, about)[0].lower())
+            for a, *page in zip(*(part.column(c).to_pylist() for c in PAGE_COLUMNS)):
+                words = _WORDS(story(*read(*page)).lower())
                 if words:
                     ids.append(a)
                     toks.append(word_tokens(np.fromiter(map(get, words), dtype=np.uint64, count=len(words))))
@@ -140,12 +141,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def signed(articles: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+def signed(articles: DataFrame, excluded: DataFrame | None = None, known: Known | None = None) -> DataFrame:
     """(article_id, copy, words, bands) of each article with a story that has words."""
-    rows = pages(articles.where(F.length("content") > 0))
+    rows = pages(articles.where(F.length("content") > 0), known)
+    read = reader(known)
     if excluded is not None:
         rows = rows.join(excluded.select("article_id").distinct(), "article_id", "left_anti")
-    return rows.mapInArrow(_signed, "article_id long, copy binary, words array<int>, bands array<long>")
+    return rows.mapInArrow(lambda batches: _signed(batches, read), "article_id long, copy binary, words array<int>, bands array<long>")
 
 
 def shared_words(a: Column, b: Column) -> Column:
@@ -196,13 +198,13 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def groups(articles: DataFrame, excluded: DataFrame | None = None, limit: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+def groups(articles: DataFrame, excluded: DataFrame | None = None, known: Known | None = None, limit: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables of near-duplicates: copies (article_id, rep), words (id, words) of the representatives that met another one, and components (id, component).
 
     Copies are stories of the same words; only the smallest article_id of each, its representative, is
     compared with others, so a text that fills a third of the table is one story here.
     """
-    rows = materialize(signed(articles, excluded), "signed")
+    rows = materialize(signed(articles, excluded, known), "signed")
     copies = materialize(rows.select("article_id", "copy").join(rows.groupBy("copy").agg(F.min("article_id").alias("rep")), "copy").select("article_id", "rep"), "copies")
     others = copies.where(F.col("article_id") != F.col("rep")).select("article_id")
     reps = rows.join(_sent(others), "article_id", "left_anti")
@@ -213,14 +215,14 @@ def groups(articles: DataFrame, excluded: DataFrame | None = None, limit: float
     return copies, words, components(verified(edges, words, limit))
 
 
-def near_duplicate_pairs(articles: DataFrame, excluded: DataFrame | None = None, limit: float = SIMILARITY) -> DataFrame:
+def near_duplicate_pairs(articles: DataFrame, excluded: DataFrame | None = None, known: Known | None = None, limit: float = SIMILARITY) -> DataFrame:
     """Pairs (article_id_a, article_id_b), smaller id first, whose stories share at least ``limit`` of their words.
 
     Equal stories are pairs too, and every pair of a larger group comes out. Articles without words in
     their story (null, empty, furniture only) and ``excluded`` ones give no pairs; repeated rows of one
     article_id give none with themselves.
     """
-    copies, words, comps = groups(articles, excluded, limit)
+    copies, words, comps = groups(articles, excluded, known, limit)
     a, b = comps.toDF("a", "component"), comps.toDF("b", "component")
     pairs = materialize(verified(a.join(b, "component").where(F.col("a") < F.col("b")).select("a", "b"), words, limit).select("a", "b"), "pairs")
     x, y = copies.toDF("x", "a"), copies.toDF("y", "b")
@@ -231,9 +233,9 @@ def near_duplicate_pairs(articles: DataFrame, excluded: DataFrame | None = None,
     return across.unionByName(same).select(F.least("x", "y").alias("article_id_a"), F.greatest("x", "y").alias("article_id_b")).distinct()
 
 
-def near_duplicate_classes(articles: DataFrame, excluded: DataFrame | None = None, limit: float = SIMILARITY) -> DataFrame:
+def near_duplicate_classes(articles: DataFrame, excluded: DataFrame | None = None, known: Known | None = None, limit: float = SIMILARITY) -> DataFrame:
     """One row (article_id, class_id, copy_of) per article with a story: its class and the equal story it is a copy of."""
-    copies, _, comps = groups(articles, excluded, limit)
+    copies, _, comps = groups(articles, excluded, known, limit)
     return copies.join(comps.toDF("rep", "component"), "rep", "left").select(
         "article_id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_of")
     )

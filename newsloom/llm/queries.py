@@ -7,18 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import censor, confusable, encode, mainbody, names, neardup, pack, repeats, templates
+from newsloom.llm import censor, confusable, encode, mainbody, names, neardup, pack, repeats, sitelines, templates
 from newsloom.plans.materialize import materialize
 from newsloom.sources.tables import table
 
 
-def _residue(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(templates.residue(table(spark, d, "articles")), "residue")
+class Pages:
+    """What the queries on articles share: the hashes of their lines, the lines that sites share, and the articles left out."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.articles, self.urls = table(spark, d, "articles"), table(spark, d, "urls")
+        self.keyed = materialize(sitelines.keyed(self.articles, self.urls), "linekeys")
+        self.known = sitelines.Known(self.keyed)
+
+    def residue(self) -> DataFrame:
+        return templates.residue(self.articles, self.urls, self.known)
+
+    def left_out(self) -> DataFrame:
+        return materialize(self.residue(), "residue")
+
+
+def _repeated(p: Pages) -> DataFrame:
+    return repeats.repeated_lines(p.articles, p.urls, p.left_out(), keyed=p.keyed)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines that stand in at least eight articles of their hostname."""
-    return repeats.repeated_lines(table(spark, d, "articles"), table(spark, d, "urls"), _residue(spark, d)).select("article_id", "line_no")
+    return _repeated(Pages(spark, d)).select("article_id", "line_no")
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +43,7 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Repeated lines and the articles they stand in, for each source."""
-    found = repeats.repeated_lines(table(spark, d, "articles"), table(spark, d, "urls"), _residue(spark, d))
+    found = _repeated(Pages(spark, d))
     return found.groupBy("source").agg(F.count_distinct("key").alias("lines"), F.count_distinct("article_id").alias("articles"), F.count("*").alias("places"))
 
 
@@ -48,32 +63,36 @@ def p2_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines of articles that are no part of the story."""
-    return mainbody.off_lines(table(spark, d, "articles"), _residue(spark, d))
+    p = Pages(spark, d)
+    return mainbody.off_lines(p.articles, p.left_out(), p.known)
 
 
 def p3_body(spark: SparkSession, d: str) -> DataFrame:
     """Each article with its main body only."""
-    return mainbody.main_bodies(table(spark, d, "articles"))
+    p = Pages(spark, d)
+    return mainbody.main_bodies(p.articles, p.known)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Articles that are template residue, filler or an error page."""
-    return templates.residue(table(spark, d, "articles")).select("article_id")
+    return Pages(spark, d).residue().select("article_id")
 
 
 def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     """How many articles are left out for which reason."""
-    return templates.residue(table(spark, d, "articles")).groupBy("reason").agg(F.count("*").alias("articles"))
+    return Pages(spark, d).residue().groupBy("reason").agg(F.count("*").alias("articles"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of articles that tell the same story."""
-    return neardup.near_duplicate_pairs(table(spark, d, "articles"), _residue(spark, d))
+    p = Pages(spark, d)
+    return neardup.near_duplicate_pairs(p.articles, p.left_out(), p.known)
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     """Each article with the class of its story."""
-    return neardup.near_duplicate_classes(table(spark, d, "articles"), _residue(spark, d))
+    p = Pages(spark, d)
+    return neardup.near_duplicate_classes(p.articles, p.left_out(), p.known)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,81 +1,52 @@
 """Lines repeated across one site's documents (problem 1).
 
 Lines are counted in two passes. The first makes one mergeable summary per source: a bank of counters
-that a line's key falls into by its hash, filled by each task for its own rows and added up. A counter
-bounds the count of each of its keys from above, so keys of counters below the limit are ruled out and
+that a line falls into by its hash. Each task fills the banks of its own rows, and banks of one source are
+added up counter by counter, so that neither a source nor a line is ever gathered in one place. A counter
+bounds the count of each of its lines from above: lines of counters below the limit are ruled out, and
 none that reaches the limit is lost. The second pass counts exactly, and only the candidates left.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm import sitelines
 from newsloom.plans.materialize import materialize
 
 #: A line is repeated if it stands in at least so many different articles of its source.
 MIN_ARTICLES = 8
-#: Confirmed keys are broadcast up to this many; beyond it they are joined by a shuffle.
+#: Counters in the bank of a source; only those in use take room.
+COUNTERS = 1 << 22
+#: Confirmed lines are broadcast up to this many (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
 
-def line_key(line: Column) -> Column:
-    """64-bit hash of a line's letters in one letter case; null for a line without letters.
-
-    Letters are folded by upper case, so that a sharp s and its capitals agree.
-    """
-    letters = F.upper(F.regexp_replace(line, r"[^\p{L}]+", ""))
-    return F.when(letters != "", F.xxhash64(letters))
-
-
-def line_keys(articles: DataFrame, urls: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """One row (article_id, source, keys) per article; ``keys[i]`` belongs to line i + 1.
-
-    Only hashes move to the join that finds the source, never the text. Articles without content,
-    without a source, or listed in ``excluded`` (article_id) are left out.
-    """
-    keys = (
-        articles.where(F.col("content").isNotNull() & F.col("url_id").isNotNull())
-        .select("article_id", "url_id", F.transform(F.split("content", "\n", -1), line_key).alias("keys"))
-        .where(F.exists("keys", lambda x: x.isNotNull()))
-    )
-    if excluded is not None:
-        keys = keys.join(excluded.select("article_id").distinct(), "article_id", "left_anti")
-    hosts = urls.where(F.col("hostname").isNotNull()).select("url_id", F.col("hostname").alias("source"))
-    return keys.join(hosts, "url_id").select("article_id", "source", "keys")
-
-
 def repeated_keys(keyed: DataFrame, min_articles: int = MIN_ARTICLES) -> DataFrame:
-    """Keys (source, key, articles) that stand in at least ``min_articles`` articles of their source."""
-    n = keyed.count()
-    bins = 1 << max(16, math.ceil(math.log2(max(1, 8 * n))))
-    once = keyed.select("source", F.xxhash64("source").alias("h"), "article_id", F.explode(F.array_distinct(F.filter("keys", lambda x: x.isNotNull()))).alias("key"))
-    bin_of = F.pmod(F.xxhash64("h", "key"), F.lit(bins))
-    heavy = once.select(bin_of.alias("bin")).groupBy("bin").agg(F.count("*").alias("bound")).where(F.col("bound") >= min_articles).select("bin")
-    candidates = once.withColumn("bin", bin_of).join(heavy, "bin", "left_semi")
-    return (
-        candidates.groupBy("h", "key")
-        .agg(F.count_distinct("article_id").alias("articles"), F.min("source").alias("source"))
-        .where(F.col("articles") >= min_articles)
-        .select("source", "key", "articles")
-    )
+    """Lines (h, key, articles) that stand in at least ``min_articles`` articles of their source, of rows of :func:`sitelines.keyed`."""
+    once = keyed.select("h", "article_id", F.explode(F.array_distinct("keys")).alias("key")).where("key <> 0").withColumn("counter", F.pmod("key", F.lit(COUNTERS)))
+    heavy = once.groupBy("h", "counter").agg(F.count("*").alias("bound")).where(F.col("bound") >= min_articles).select("h", "counter")
+    candidates = once.join(heavy, ["h", "counter"], "left_semi")
+    return candidates.groupBy("h", "key").agg(F.count_distinct("article_id").alias("articles")).where(F.col("articles") >= min_articles)
 
 
-def repeated_lines(articles: DataFrame, urls: DataFrame, excluded: DataFrame | None = None, min_articles: int = MIN_ARTICLES) -> DataFrame:
+def repeated_lines(articles: DataFrame, urls: DataFrame, excluded: DataFrame | None = None, min_articles: int = MIN_ARTICLES, keyed: DataFrame | None = None) -> DataFrame:
     """Lines (article_id, line_no, source, key, articles) that repeat within their source.
 
     Lines are the same if their letters agree, whatever their case, digits, signs and white space;
     lines without letters, articles without content or source, and ``excluded`` ones give no rows.
-    Repeated rows of one article_id count once.
+    Repeated rows of one article_id count once. ``keyed`` is a written table of :func:`sitelines.keyed`, if there is one.
     """
-    keyed = materialize(line_keys(articles, urls, excluded), "linekeys")
+    if keyed is None:
+        keyed = materialize(sitelines.keyed(articles, urls), "linekeys")
+    if excluded is not None:
+        keyed = keyed.join(excluded.select("article_id").distinct(), "article_id", "left_anti")
     confirmed = materialize(repeated_keys(keyed, min_articles), "repeated")
     small = confirmed.count() <= BROADCAST_KEYS
-    lines = keyed.select("article_id", "source", F.posexplode("keys").alias("pos", "key")).where(F.col("key").isNotNull())
+    lines = keyed.select("article_id", "source", "h", F.posexplode("keys").alias("pos", "key")).where("key <> 0")
     return (
-        lines.join(F.broadcast(confirmed) if small else confirmed, ["source", "key"])
+        lines.join(F.broadcast(confirmed) if small else confirmed, ["h", "key"])
         .select("article_id", (F.col("pos") + 1).cast("int").alias("line_no"), "source", "key", "articles")
         .dropDuplicates(["article_id", "line_no"])
     )

@@ -1,11 +1,13 @@
 """Template residue, filler text and error pages (problem 4).
 
-Lines that hold a cue of a message are mined for templates with a fixed-depth prefix tree: the first
-level is the number of tokens, the next two are the first tokens, and a leaf holds groups of lines that
-agree in at least half of their tokens; where they differ a group has a wildcard. The distinct masked
-lines of a leaf meet in one task, which grows the groups in an order that hangs on the lines alone and
-judges each template once, and a line by itself where its template says nothing. The verdict goes back to
-the articles that hold the line. Unfilled slots inside ordinary text are found apart.
+Lines of pages without a story, and lines that hold a cue of a message, are mined for templates with a
+fixed-depth prefix tree: the first level is the number of tokens, the next ones are the first tokens, and
+a leaf holds groups of lines that agree in at least half of their tokens; where they differ a group has a
+wildcard. What finds no company from its first tokens on is grown again from its last ones. The distinct
+masked lines of a leaf meet in one task, which grows the groups in an order that hangs on the lines alone
+and judges each template once: one that stands for a story on pages of several unrelated hosts is a
+message, whatever its words; a rarer one must match a known wording. The verdict goes back to the articles
+that hold the line. Unfilled slots inside ordinary text are found apart.
 """
 
 from __future__ import annotations
@@ -18,11 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.lines import STORY, local_class, normal
-from newsloom.llm.mainbody import furniture, page_lines
+from newsloom.llm.lines import STORY, line_key, local_class, normal
+from newsloom.llm.mainbody import furniture, page_lines, rough_prose
+from newsloom.llm.sitelines import RICH, Known
+from newsloom.plans.materialize import materialize
 
 #: A page has a story of its own from this many characters of prose on, messages not counted.
 STORY_CHARS = 200
+#: A template is judged by its spread from so many pages without a story, hosts and headlines on.
+PAGES, HOSTS = 4, 3
+#: Lines of up to so many tokens are parted by their first token alone, longer ones by two.
+BRIEF = 4
 #: Lines agree in a leaf of the tree if this share of their tokens agrees.
 AGREE = 0.5
 WILD = "<*>"
@@ -78,65 +86,28 @@ _LATIN = frozenset(
     pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum""".split()
 )
 _LATIN_MARKS = frozenset(("lorem", "ipsum", "dolor", "amet", "sit", "consectetur", "adipiscing"))
-# Words that any line of prose in a covered language is likely to hold.
+# Words that prose of four languages is likely to hold; filler of Latin look has next to none of them.
 _FUNCTION = frozenset(
     """the of and to a in is that for it with as was on by at from said der die das und ist von mit auf für ein eine den dem wird el la los las de del y que en un una
-    por con se su le les des du et est une dans pour sur au aux il elle с и на zu im um aus nach bei am so wie nur no or not has have be are were
+    por con se su le les des du et est une dans pour sur au aux il elle zu im um aus nach bei am so wie nur no or not has have be are were
     this they he she we you can what how why where when which who para más según como lo qui que pas plus par ce cette""".split()
 )
-#: Prose of so many words without a single function word is filler.
-LEAST_FILLER = 8
 
-# A template with a cue gets the verdict of the first pattern that it matches as a whole.
+# Known wordings of messages, for templates too rare to be judged by their spread. The first that fits as a whole counts.
 _WHOLE = [
-    ("error", r"(?:error |erreur |fehler )?\b[45]\d\d\b\W*(?:error|not found|forbidden|internal server error|service unavailable|bad gateway|gateway time-?out|unauthorized|too many requests)?\W*(?:<\*>|\d+)?"),
-    ("error", r"(?:http )?(?:error |erreur |fehler )(?:code )?(?:[45]\d\d|<\*>|<n>)\W*"),
-    ("error", r"(?:<n> )?(?:page|seite|página|document|file|url|resource)? ?(?:not found|nicht gefunden|no encontrada|non trouvée|introuvable)\W*"),
-    ("error", r"(?:<n> )?(?:internal server error|service unavailable|bad gateway|gateway time-?out|not found)\b.{0,80}"),
-    ("error", r"(?:the |die |la |le )?(?:requested )?(?:page|seite|página|inhalt|content|document|url)\b.{0,80}(?:could not be found|was not found on this server|introuvable|no existe|nicht gefunden|existiert nicht mehr|has been removed.*|is no longer available|ya no existe)\W*.{0,40}"),
-    ("error", r"der inhalt .{1,60} existiert nicht mehr\W*"),
-    ("error", r"(?:this|the) (?:content|page|article|story) (?:has been removed|is (?:temporarily |no longer )?(?:un)?available).{0,80}"),
-    ("error", r"(?:we.re )?sorry, (?:we|the|this|but)\b.{0,160}"),
-    ("error", r"error establishing a database connection\W*"),
-    ("error", r"the server met an unexpected condition.{0,60}"),
-    ("error", r"(?:the )?upstream server\b.{0,60} invalid response\W*.{0,40}"),
-    ("error", r"gateway time-?out after .{0,80}"),
-    ("error", r"(?:warning|notice|fatal error|parse error)\W*:? .{0,40}(?:undefined|on line|syntax).{0,80}"),
-    ("error", r"traceback\b.{0,120}"),
-    ("error", r".{0,60}while rendering (?:story|page|template).{0,40}"),
-    ("error", r"(?:this |the |our )?(?:site|page|service)?.{0,30}under maintenance\b.{0,80}"),
-    ("error", r".{1,60} is (?:currently )?down for maintenance\b.{0,80}"),
-    ("error", r"(?:el |la |le |der |die |das )?(?:contenido|página|contenu|page|inhalt|seite)\b.{0,60} (?:ya no está disponible|n[’']est plus disponible|ist nicht mehr verfügbar)\W*"),
-    ("error", r"(?:oops\W*)?something went wrong\b.{0,80}"),
+    ("error", r"(?:http )?(?:error |erreur |fehler )?(?:code )?(?:[45]\d\d|<\*>)\b\W*(?:error|not found|forbidden|internal server error|service unavailable|bad gateway|gateway time-?out|unauthorized|too many requests)?\W*(?:<\*>|\d+)?"),
+    ("error", r"(?:(?:page|seite|página|document|file|url|resource) )?(?:not found|nicht gefunden|no encontrada|non trouvée|introuvable)\W*"),
+    ("error", r"(?:the |die |la |le )?(?:requested )?(?:page|seite|página|content|document|url)\b.{0,80}(?:could not be found|was not found|introuvable|no existe|nicht gefunden|is no longer available)\b.{0,40}"),
+    ("error", r"(?:this|the) (?:content|page|article|story) (?:has been removed|is (?:temporarily |no longer )?(?:un)?available)\b.{0,80}"),
+    ("error", r"(?:internal server error|service unavailable|bad gateway|gateway time-?out)\b.{0,80}"),
+    ("error", r"(?:oops\W*)?something went wrong\b.{0,80}|error establishing a database connection\W*"),
+    ("error", r"(?:warning|notice|fatal error|parse error|traceback)\W*:? .{0,120}"),
     ("block", r"(?:<n> )?(?:access denied|forbidden|too many requests|permission denied|zugriff verweigert|acceso denegado|accès refusé)\W*"),
-    ("block", r"you do not have permission\b.{0,100}"),
-    ("block", r"you have been (?:rate limited|blocked)\b.{0,80}"),
-    ("block", r"checking your browser\b.{0,80}"),
-    ("block", r"(?:please )?(?:verify|confirm) (?:that )?you are (?:a )?(?:human|not a robot)\b.{0,80}"),
-    ("block", r"(?:please )?(?:log|sign) in to (?:continue|read|view).{0,60}"),
-    ("block", r"your session\b.{0,60} (?:has )?expired\b.{0,100}"),
-    ("block", r"ray(?: id)?:? [\w<>*-]{2,60}"),
-    ("scripts", r"(?:please |you need to |you must )?(?:enable|turn on|activate|switch on) (?:javascript|scripts)\b.{0,100}"),
-    ("scripts", r"(?:this|the|our) (?:site|page|app|website|story)\b.{0,30} (?:requires|needs) (?:javascript|scripts)\b.{0,120}"),
-    ("scripts", r"javascript (?:is|must be|seems to be) (?:disabled|required|enabled|turned off|off)\b.{0,140}"),
-    ("scripts", r"(?:veuillez )?(?:activer|activez) javascript\b.{0,100}"),
-    ("scripts", r"(?:por favor,? )?(?:active|habilite|activa) javascript\b.{0,100}"),
-    ("scripts", r"(?:bitte )?(?:aktivieren sie )?javascript\b.{0,60}(?:aktivieren|einschalten|erforderlich|benötigt)\b.{0,80}"),
-    ("scripts", r"bitte (?:aktivieren|schalten) sie javascript\b.{0,100}"),
-    ("scripts", r"your browser is (?:not supported|out of date|unsupported)\b.{0,140}"),
-    ("scripts", r"(?:please )?switch scripts on\b.{0,120}"),
+    ("block", r"you do not have permission\b.{0,100}|you have been (?:rate limited|blocked)\b.{0,80}|checking your browser\b.{0,80}"),
+    ("scripts", r"(?:please |you need to |you must |veuillez |por favor,? |bitte )?(?:enable|turn on|activate|activer|activez|active|aktivieren(?: sie)?) (?:javascript|scripts)\b.{0,100}"),
+    ("scripts", r"(?:this|the|our) (?:site|page|app|website|story)\b.{0,30} (?:requires|needs) (?:javascript|scripts)\b.{0,120}|javascript (?:is|must be) (?:disabled|required|enabled)\b.{0,140}"),
     ("scripts", r"loading\b[\w <>*-]{0,40}(?:…|\.\.\.)?"),
-    ("filler", r"(?:.*\W)?(?:lorem ipsum dolor)\b.*"),
-    ("filler", r"(?:insert )?body copy\b.*"),
-    ("filler", r"(?:.{0,20}\b)?(?:hier steht )?(?:noch mehr )?blindtext\b.{0,120}"),
-    ("filler", r"(?:este es (?:un )?)?texto de relleno\b.{0,120}"),
-    ("filler", r"(?:ceci est (?:un )?)?(?:faux texte|texte de remplissage)\b.{0,120}"),
-    ("filler", r"(?:this is )?(?:dummy|filler|placeholder|sample) text\b.{0,160}"),
-    ("filler", r"(?:sample paragraph\W*){1,12}"),
-    ("filler", r"test(?: |-)?(?:article|artikel|beitrag)\b.{0,20}(?:please ignore|ignore|bitte ignorieren)\b.{0,40}"),
-    ("filler", r"(?:.{0,40}\W)?(?:asdf|qwer)\b.{0,80}"),
-    ("filler", r"(?:x{2,}\W*){3,}"),
-    ("filler", r"(?:copy|text|story) to come\W*"),
+    ("filler", r"(?:.*\W)?lorem ipsum dolor\b.*|(?:sample paragraph\W*){1,12}|(?:this is )?(?:dummy|filler|placeholder|sample) text\b.{0,160}|(?:.{0,20}\b)?(?:blindtext|texto de relleno|faux texte)\b.{0,120}"),
 ]
 _WHOLE = [(v, re.compile(p)) for v, p in _WHOLE]
 
@@ -196,7 +167,7 @@ class Tree:
 
     @staticmethod
     def leaf(toks: list[str]) -> tuple[int, str, str]:
-        first = [("<*>" if any(c.isdigit() or c == "<" for c in t) else t) for t in toks[:2]]
+        first = [(WILD if any(c.isdigit() or c == "<" for c in t) else t) for t in toks[: 2 if len(toks) > BRIEF else 1]]
         return (len(toks), first[0] if first else "", first[1] if len(first) > 1 else "")
 
     def add(self, toks: list[str], count: int = 1) -> list:
@@ -226,131 +197,187 @@ def latin_filler(low: str) -> bool:
         return False
     function = sum(w in _FUNCTION for w in words)
     known = sum(w in _LATIN for w in words)
-    return function <= 0.08 * len(words) and (known >= 0.15 * len(words) or marks >= 2 or (function == 0 and len(words) >= LEAST_FILLER))
-
-
-def wordless(title: str | None, content: str, low: str) -> bool:
-    """True if the story of a page has no word that prose of a covered language needs."""
-    words = low.split()
-    if sum(w in _FUNCTION for w in words) > 0.08 * len(words):
-        return False
-    lines = page_lines(content)
-    prose = [x for x, off in zip(lines, furniture(title, lines)) if not off and local_class(normal(x)) == STORY and normal(x) != normal(title or "")]
-    words = _WORD.findall(" ".join(prose).lower())
-    return len(words) >= LEAST_FILLER and not any(w in _FUNCTION for w in words)
+    return function <= 0.08 * len(words) and (known >= 0.15 * len(words) or marks >= 2)
 
 
 def verdict(template: str) -> str | None:
-    """What a template says of its page, or None: error, block, scripts or filler."""
+    """What a known wording says of its page, or None: error, block, scripts or filler."""
     for what, p in _WHOLE:
         if p.fullmatch(template) or p.fullmatch(template.replace("<n>", "404")):
             return what
     return "filler" if latin_filler(template) else None
 
 
+def subject(template: str) -> str:
+    """The kind of message that a template's words point to, the first in the order of the kinds; ``message`` where they point to none."""
+    found = {x for _, (kind, x) in _CUES.iter(template) if kind == "message"}
+    return next((w for w in ("filler", "scripts", "block", "error") if w in found), "message")
+
+
 _ROWS = pa.schema(
-    [("article_id", pa.int64()), ("slot", pa.bool_()), ("prose", pa.int64()), ("lines", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64()))]
+    [("article_id", pa.int64()), ("url_id", pa.int64()), ("slot", pa.bool_()), ("prose", pa.int64()), ("mark", pa.int64()), ("lines", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64()))]
 )
 
 
-def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Articles with a cue: whether a slot is unfilled, and the masked lines with message cues.
+def read_page(title: str | None, content: str | None, shared: list[int] | None, marks) -> tuple[bool, int, list[str], list[int]] | None:
+    """(slot, prose, masked lines, sizes) of a page, or None where nothing speaks against it.
 
-    ``slot`` is also true where the story is filler as a whole. ``prose`` counts the characters of story prose; ``sizes`` says how many of them are a line's own.
+    ``slot`` is true where a slot is unfilled or the story is Latin filler as a whole. ``prose`` counts the
+    characters of the page's own text lines, ``sizes`` those of each line of it, 0 for the headline and
+    for furniture. A page is looked into if it holds a cue, or too little prose to be a story.
     """
-    for b in batches:
-        out = []
-        for aid, title, content in zip(*(b.column(c).to_pylist() for c in ("article_id", "title", "content"))):
-            text = f"{title or ''}\n{content or ''}"
-            low_text = text.lower()
-            slots, message = cues(low_text)
-            if content and wordless(title, content, low_text):
-                out.append((aid, True, 0, [], []))
-                continue
-            if not slots and not message:
-                continue
-            if slots and has_slot(text, slots):
-                out.append((aid, True, 0, [], []))
-                continue
-            if not message:
-                continue
-            lines = page_lines(content or "")
-            off = furniture(title, lines)
-            masked, sizes, prose = [], [], 0
-            for i, line in enumerate([title or "", *lines]):
-                low = normal(line)
-                if not low:
-                    continue
-                own = 0
-                if i and not off[i - 1] and local_class(low) == STORY:
-                    own = len(low)
-                    prose += own
-                if cues(low)[1] or (i and own and len(low) < 60):
-                    masked.append(" ".join(tokens(line)))
-                    sizes.append(own)
-            if masked:
-                out.append((aid, False, prose, masked, sizes))
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(_ROWS.names, r)) for r in out], schema=_ROWS)
-
-
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grow the tree over the masked lines of whole leaves; a line has the verdict of its template, else its own."""
-    schema = pa.schema([("line", pa.string()), ("verdict", pa.string())])
-    counted = [r for b in batches for r in zip(b.column("line").to_pylist(), b.column("n").to_pylist())]
-    tree = Tree()
-    groups = []
-    for t, n in sorted(counted, key=lambda x: (-x[1], x[0])):
-        groups.append((t, tree.add(t.split(" "), n)))
-    judged: dict[int, str | None] = {}
+    text = f"{title or ''}\n{content or ''}"
+    slots, message = cues(text.lower())
+    if slots and has_slot(text, slots):
+        return True, 0, [], []
+    lines = page_lines(content or "")
+    if not message and (not content or rough_prose(lines) >= RICH):
+        return None
+    off = furniture(title, lines, None, marks(lines, shared) if marks and content else None)
+    masked, sizes, prose, own_text = [], [], 0, []
+    head = normal(title or "")
+    for i, line in enumerate([title or "", *lines]):
+        low = normal(line)
+        if not low:
+            continue
+        own = len(low) if i and low != head and not off[i - 1] and local_class(low) == STORY else 0
+        prose += own
+        if own:
+            own_text.append(low)
+        masked.append((line, low, own))
+    if message and latin_filler(" ".join(own_text)):
+        return True, 0, [], []
+    if not prose:  # a page may say its message as headline and text
+        masked = [(x, low, len(low) if i and low == head else own) for i, (x, low, own) in enumerate(masked)]
+        prose = sum(own for _, _, own in masked)
+    kept = [(" ".join(tokens(x)), own) for x, low, own in masked if cues(low)[1] or (own and prose < STORY_CHARS)]
+    return (False, prose, [x for x, _ in kept], [own for _, own in kept]) if kept else None
+
+
+def mined(articles: DataFrame, known: Known | None = None) -> DataFrame:
+    """Rows (article_id, url_id, slot, prose, mark, lines, sizes) of the articles with something to judge; ``mark`` tells headlines apart."""
+    rows = articles.select("article_id", "url_id", F.col("title").cast("string"), F.col("content").cast("string"))
+    rows = known.beside(rows) if known else rows.withColumn("shared", F.lit(None).cast("array<int>"))
+    marks = known.marker() if known else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for aid, url, title, content, shared in zip(*(b.column(c).to_pylist() for c in ("article_id", "url_id", "title", "content", "shared"))):
+                told = read_page(title, content, shared, marks)
+                if told:
+                    slot, prose, lines, sizes = told
+                    out.append((aid, url, slot, prose, line_key(title or ""), lines, sizes))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_ROWS)], schema=_ROWS)
+
+    return rows.mapInArrow(run, "article_id long, url_id long, slot boolean, prose long, mark long, lines array<string>, sizes array<long>")
+
+
+_BITS = (1 << 64) - 1
+_JUDGED = pa.schema([("line", pa.string()), ("verdict", pa.string()), ("spread", pa.bool_()), *((c, pa.int64()) for c in ("n", "pages", "hosts", "marks"))])
+
+
+def judged_leaf(rows: list[tuple], backwards: bool, agree: float = AGREE) -> list[tuple]:
+    """Rows (line, verdict, spread) of the distinct lines (line, n, pages, hosts, marks) of one leaf; ``hosts`` and ``marks`` are bitmaps."""
+    tree = Tree(agree)
+    grown = []
+    for line, n, *stats in sorted(rows, key=lambda r: (-r[1], r[0])):
+        toks = line.split(" ")
+        group = tree.add(toks[::-1] if backwards else toks, n)
+        if len(group) == 2:
+            group += [0, 0, 0]
+        group[2], group[3], group[4] = group[2] + stats[0], group[3] | stats[1] & _BITS, group[4] | stats[2] & _BITS
+        grown.append((line, group))
+    told: dict[int, tuple[str | None, bool]] = {}
     out = []
-    for t, g in groups:
-        if id(g) not in judged:
-            judged[id(g)] = verdict(" ".join(g[0]))
-        v = judged[id(g)] or verdict(t)
-        if v:
-            out.append({"line": t, "verdict": v})
-    yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-
-def mined(articles: DataFrame) -> DataFrame:
-    """Rows (article_id, slot, prose, lines, sizes) of the articles that hold any cue."""
-    return articles.select("article_id", F.col("title").cast("string"), F.col("content").cast("string")).mapInArrow(
-        _mine, "article_id long, slot boolean, prose long, lines array<string>, sizes array<long>"
-    )
+    for line, g in grown:
+        if id(g) not in told:
+            template = " ".join(reversed(g[0]) if backwards else g[0])
+            wide = g[2] >= PAGES and g[3].bit_count() >= HOSTS and g[4].bit_count() >= HOSTS
+            told[id(g)] = (subject(template), True) if wide and set(g[0]) != {WILD} else (verdict(template), False)
+        what, wide = told[id(g)]
+        if not what:
+            what = verdict(line)
+        out.append((line, what, wide))
+    return out
+
+
+def _judge(backwards: bool, agree: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def leaf(rows: list[tuple]) -> pa.RecordBatch:
+            stats = {r[0]: r[1:] for r in rows}
+            out = [(*r, *stats[r[0]]) for r in judged_leaf(rows, backwards, agree)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_JUDGED)], schema=_JUDGED)
+
+        at, rows = None, []
+        for b in batches:
+            for key, line, n, pages, hosts, marks in zip(*(b.column(c).to_pylist() for c in ("leaf", "line", "n", "pages", "hosts", "marks"))):
+                if key != at and rows:
+                    yield leaf(rows)
+                    rows = []
+                at = key
+                rows.append((line, n, pages, hosts or 0, marks or 0))
+        if rows:
+            yield leaf(rows)
+
+    return run
+
+
+def _grown(lines: DataFrame, backwards: bool, agree: float) -> DataFrame:
+    """Lines with a verdict or without, judged leaf by leaf; a task holds one leaf at a time."""
+    toks = F.reverse(F.split("line", " ")) if backwards else F.split("line", " ")
+    # as in Tree.leaf: tokens with a digit or a wildcard are one, and short lines have one level less
+    first = [F.when(F.get(toks, F.lit(i)).rlike(r"[<\p{Nd}\p{No}]"), WILD).otherwise(F.coalesce(F.get(toks, F.lit(i)), F.lit(""))) for i in (0, 1)]
+    leaf = F.concat_ws(" ", F.size(toks).cast("string"), first[0], F.when(F.size(toks) > BRIEF, first[1]))
+    sorted_lines = lines.withColumn("leaf", leaf).repartition("leaf").sortWithinPartitions("leaf")
+    return sorted_lines.mapInArrow(_judge(backwards, agree), "line string, verdict string, spread boolean, n long, pages long, hosts long, marks long")
 
 
-def line_verdicts(rows: DataFrame) -> DataFrame:
-    """Each masked line with a verdict: (line, verdict). Lines are counted before they move, whole leaves together."""
-    counted = rows.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n"))
-    toks = F.split("line", " ")
-    # as in Tree.leaf: tokens with a digit or a wildcard are one
-    first = [F.when(F.get(toks, F.lit(i)).rlike(r"[<\p{Nd}\p{No}]"), WILD).otherwise(F.coalesce(F.get(toks, F.lit(i)), F.lit(""))) for i in (0, 1)]
-    return counted.repartition(F.size(toks), *first).mapInArrow(_judge, "line string, verdict string")
+def line_verdicts(rows: DataFrame, urls: DataFrame | None = None, agree: float = AGREE) -> DataFrame:
+    """(line, verdict, spread) of each masked line that is part of a message.
+
+    Lines are summed up before they move: how often they come, on how many pages without a story, and
+    bitmaps of the hosts and headlines of those pages.
+    """
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int"))
+    if urls is not None:
+        rows = rows.join(urls.where(F.col("hostname").isNotNull()).select("url_id", F.xxhash64("hostname").alias("h")), "url_id", "left")
+    else:
+        rows = rows.withColumn("h", F.lit(None).cast("long"))
+    each = rows.where(~F.col("slot")).select("prose", "mark", "h", F.explode(F.arrays_zip("lines", "sizes")).alias("t"))
+    poor = (F.col("t.sizes") > 0) & (F.col("prose") < STORY_CHARS)
+    counted = each.groupBy(F.col("t.lines").alias("line")).agg(
+        F.count("*").alias("n"), F.count_if(poor).alias("pages"), F.bit_or(F.when(poor & F.col("h").isNotNull(), bit(F.col("h")))).alias("hosts"), F.bit_or(F.when(poor, bit(F.col("mark")))).alias("marks")
+    )
+    ahead = materialize(_grown(counted, False, agree), "ahead")
+    back = _grown(ahead.where("verdict IS NULL").drop("verdict", "spread"), True, agree)
+    return ahead.unionByName(back).where("verdict IS NOT NULL").select("line", "verdict", "spread")
 
 
-def residue(articles: DataFrame) -> DataFrame:
+def residue(articles: DataFrame, urls: DataFrame | None = None, known: Known | None = None, agree: float = AGREE) -> DataFrame:
     """Articles (article_id, reason) that are template residue, filler or an error page.
 
-    A slot or filler anywhere in title or content counts; an error, a block page or a notice that
-    scripts are required counts only where less than ``STORY_CHARS`` characters of other prose stand.
-    Null or empty content is no case by itself. Repeated rows of one article come out once.
+    A slot or filler anywhere in title or content counts; an error, a block page, a notice that scripts
+    are required or another message counts only where less than ``STORY_CHARS`` characters of other prose
+    stand, and not more of them than of the message if only its spread speaks for it. Null or empty content is no case by itself. Repeated rows of one article come out once.
+    Without ``urls`` no template is judged by its spread over hosts. A page is never judged by words that it lacks, so stories in any language pass.
     """
-    from newsloom.plans.materialize import materialize
-
-    rows = materialize(mined(articles), "templates")
-    verdicts = line_verdicts(rows)
+    rows = materialize(mined(articles, known), "templates")
+    verdicts = line_verdicts(rows, urls, agree)
     long = rows.where(~F.col("slot")).select("article_id", "prose", F.explode(F.arrays_zip("lines", "sizes")).alias("t"))
+    filler = F.col("verdict") == "filler"
     told = (
         long.select("article_id", "prose", F.col("t.lines").alias("line"), F.col("t.sizes").alias("own"))
         .join(verdicts, "line")
         .groupBy("article_id")
         .agg(
-            F.max(F.when(F.col("verdict") == "filler", True).otherwise(False)).alias("filler"),
-            F.min("verdict").alias("verdict"),
-            (F.max("prose") - F.sum("own")).alias("rest"),
+            F.bool_or(filler).alias("filler"),
+            F.bool_or(~F.col("spread")).alias("known"),
+            F.min(F.when(~filler, F.col("verdict"))).alias("verdict"),
+            F.max("prose").alias("prose"),
+            F.sum("own").alias("own"),
         )
-        .where(F.col("filler") | (F.col("rest") < STORY_CHARS))
+        .where(F.col("filler") | ((F.col("prose") - F.col("own") < STORY_CHARS) & (F.col("known") | (2 * F.col("own") >= F.col("prose")))))
         .select("article_id", F.when(F.col("filler"), F.lit("filler")).otherwise(F.col("verdict")).alias("reason"))
     )
     slots = rows.where("slot").select("article_id", F.lit("slot or filler").alias("reason"))

@@ -153,3 +153,92 @@ def test_cut_values(spark):
     by = {(r.source, r.field): r.share for r in censor.cut_by_source(judged).collect()}
     assert by["h0", "openai_summary"] == 0 and 0.4 < by["h0", "claude_summary"] < 0.6 and by[None, "claude_summary"] == 0.5
     assert censor.judged(s.limit(0), a, urls(spark, [])).count() == 0
+
+
+# a short whole story in each of twelve languages, none of which may be taken for filler or a message
+LANGUAGES = {
+    "zh": "周二上午，市议会以七票对四票通过了新的公交线路计划。市长表示，施工将于明年春天开始，预计两年内完成。居民们对票价上涨表示担忧。", "ja": "市は火曜日、川沿いの古い橋を来年春までに建て替えると発表した。費用は約三億円で、工事の間は臨時の渡し船が運航される。",
+    "uk": "Міська рада ухвалила новий бюджет у вівторок після тривалих дебатів. Найбільше коштів отримають школи та лікарні району.", "fi": "Kaupunginvaltuusto hyväksyi tiistaina uuden talousarvion pitkän keskustelun jälkeen. Eniten rahaa saavat koulut.",
+    "tr": "Belediye meclisi salı günü uzun bir tartışmanın ardından yeni bütçeyi kabul etti. Okullar ve hastaneler öncelikli olacak.", "ar": "وافق مجلس المدينة يوم الثلاثاء على الميزانية الجديدة بعد نقاش طويل. وستحصل المدارس والمستشفيات على أكبر حصة من الأموال.",
+    "pl": "Rada miasta przyjęła we wtorek nowy budżet po długiej debacie. Najwięcej pieniędzy otrzymają szkoły.", "ko": "시의회는 화요일 오랜 토론 끝에 새 예산안을 통과시켰다. 학교와 병원이 가장 많은 지원을 받게 된다.",
+    "el": "Το δημοτικό συμβούλιο ενέκρινε την Τρίτη τον νέο προϋπολογισμό μετά από μακρά συζήτηση.", "hi": "नगर परिषद ने मंगलवार को लंबी बहस के बाद नया बजट पारित किया। स्कूलों को सबसे अधिक धन मिलेगा।",
+    "la": "Consilium urbis die Martis novum rationarium probavit. Scholae plurimum pecuniae accipient.", "en": "The council passed a new budget on Tuesday after a long debate. Schools get most of the money.",
+}
+
+
+def test_stories_of_any_language_are_kept(spark):
+    said = list(LANGUAGES.values())
+    rows = [(i, i, "News", said[i % len(said)]) for i in range(len(said))]
+    u = urls(spark, [(i, f"h{i}") for i in range(len(said))])
+    assert templates.residue(articles(spark, rows), u).count() == 0
+    assert templates.residue(articles(spark, rows)).count() == 0
+
+
+UNLISTED = "Deze pagina {} bestaat hier niet meer en komt ook niet terug"
+
+
+def test_templates_are_judged_by_their_spread(spark):
+    """A message in words that no list holds is found by its spread over hosts; without merging or hosts it is not."""
+    names = ["zorblat", "vexmore", "quill", "tandem", "orchid", "basalt", "meridian", "cobalt"]
+    rows = [(i, i, f"Story {names[i]}", UNLISTED.format(names[i])) for i in range(8)]
+    rows += [(20 + i, 20 + i, f"{names[i]} opens", f"{names[i]} was opened by the mayor of a small town on day {i}.") for i in range(2)]  # two pages are too few
+    rows += [(30 + i, 30 + i, f"{names[i]} speaks", STORY + "\n" + UNLISTED.format(names[i])) for i in range(8)]  # a story that quotes it
+    a, u = articles(spark, rows), urls(spark, [(i, f"h{i % 5}") for i in range(40)])
+    assert {r.article_id for r in templates.residue(a, u).collect()} == set(range(8))
+    assert templates.residue(a, u, agree=1.01).count() == 0
+    assert templates.residue(a).count() == 0
+    one_site = urls(spark, [(i, "h") for i in range(40)])
+    assert templates.residue(a, one_site).count() == 0
+
+
+def test_templates_whose_first_words_vary():
+    rows = [(f"{x} is gone for good and will stay so", 1, 1, 1 << i, 1 << i) for i, x in enumerate(["alpha", "beta", "gamma", "delta"])]
+    assert {templates.judged_leaf([r], False)[0][1] for r in rows} == {None}
+    assert {(v, wide) for _, v, wide in templates.judged_leaf(rows, True)} == {("message", True)}
+
+
+SITE = ["Zunder Post writes for all who live by the river and beyond it.", "What our readers pay keeps Zunder Post alive for yet another year.", "Every word on this page was set by hand in the print shop of Zunder Post."]
+WORDS = "amber basalt cobalt dahlia ember fjord garnet hazel indigo juniper krill lichen".split()
+
+
+def _site_pages(n, site=SITE):
+    rows = []
+    for i in range(n):
+        w = WORDS[i % len(WORDS)].capitalize() + chr(97 + i // len(WORDS))
+        own = [f"{w} has grown by {i} percent, says Ann {w}son of the harbour office, who counted it all over again in {w} last week." + f" Nobody in {w} had thought so." * (i % 3 + 1) for _ in range(1)]
+        rows.append((i, i, f"{w} grows again", "\n".join([site[i % 3], *own, f"The office of {w} will count again in spring, when the ice on the river is gone and the boats can pass.", *[x for j, x in enumerate(site) if j != i % 3]]) + "\n" + f"A {w} made of clay stood by the door while the people of the town, old and young, looked on for hours without a word. " * 4))
+    return rows
+
+
+def test_lines_of_the_site_are_found_without_any_listed_word(spark):
+    """The statistic over pages gives the link density: without it, or without the discount, the site's prose stays."""
+    from newsloom.llm import sitelines
+
+    rows = _site_pages(24)
+    a, u = articles(spark, rows), urls(spark, [(i, "zunder") for i in range(24)])
+    keyed = sitelines.keyed(a, u)
+    want = {(i, n) for i, _, _, c in rows for n, x in enumerate(c.split("\n"), 1) if x in SITE}
+    for most in (1_000_000, 0):  # keys sent, and keys joined
+        known = sitelines.Known(keyed, most=most)
+        assert {tuple(r) for r in mainbody.off_lines(a, None, known).collect()} == want
+    assert mainbody.off_lines(a).count() == 0
+
+
+def test_link_density_decides(monkeypatch):
+    lines_of_page = [SITE[0], "Amber has grown, says Ann Amberson, and Nobody knows why.", "It is amber all the same, and the river is gone."]
+    assert mainbody.furniture("Amber grows", lines_of_page, None, [True, False, False]) == [True, False, False]
+    plain_points = mainbody.points
+    monkeypatch.setattr(mainbody, "points", lambda line, density: plain_points(line, 0.0))
+    assert mainbody.furniture("Amber grows", lines_of_page, None, [True, False, False]) == [False, False, False]
+
+
+def test_copies_of_one_story_do_not_make_its_lines_the_sites(spark):
+    """A story that fills the table, each copy edited in its longest line, keeps its lines."""
+    from newsloom.llm import sitelines
+
+    body = "The harbour of Amber will close for good, says Ann Amberson, who has run it for thirty years and more of them."
+    rows = [(i, i, "Amber closes" + (" (update)" if i % 2 else ""), "\n".join([body, "The boats leave on Monday, and nobody knows where to.", f"{'x' * (i % 9 + 1)} " + "People of the town looked on without a word, old and young, for hours. " * 9])) for i in range(60)]
+    known = sitelines.Known(sitelines.keyed(articles(spark, rows), urls(spark, [(i, "amber") for i in range(60)])))
+    assert known.table.count() == 0
+    none = sitelines.Known(sitelines.keyed(articles(spark, []), urls(spark, [])))
+    assert none.table.count() == 0 and mainbody.off_lines(articles(spark, rows), None, none).count() == 0
