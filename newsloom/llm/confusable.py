@@ -19,16 +19,24 @@ from pyspark.sql import functions as F
 
 from newsloom.plans.materialize import materialize
 
-# Characters of other scripts and the Latin ones that they look like.
+# Characters of other scripts and the Latin ones that they look like, as in the public table of confusable
+# characters of the Unicode standard, without pairs that an attentive reader tells apart.
 _LOOK_ALIKE = {
     # Cyrillic
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ү": "y", "ѵ": "v",
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ӏ": "I",
+    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ӏ": "I", "Ԍ": "G",
     # Greek
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
+    "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     # Armenian and Latin letters of other sets
-    "օ": "o", "ս": "u", "ց": "g", "ɡ": "g", "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓗ": "K",
+    "օ": "o", "ս": "u", "ց": "g", "հ": "h", "Տ": "S", "Օ": "O", "ɡ": "g", "ɑ": "a",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
+    "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭹ": "Y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Coptic
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
     # signs
     "µ": "μ", "‐": "-", "‑": "-", "﹣": "-", "∶": ":", "∕": "/", "⁄": "/", "․": ".", "‚": ",", "ꞌ": "'", "ʼ": "’",
 }
@@ -42,7 +50,8 @@ def prototypes() -> dict[int, str | None]:
     """Prototype of each character that has one other than itself; None where it shows nothing.
 
     Built by rule: format characters and variation selectors vanish, every white space of the width of
-    a character becomes a space, full-width forms become the ordinary ones; then the look-alike table.
+    a character becomes a space, full-width forms become the ordinary ones and Roman numerals the letters that
+    they are drawn as; then the look-alike table.
     """
     table: dict[int, str | None] = {}
     for cp in range(sys.maxunicode + 1):
@@ -56,7 +65,7 @@ def prototypes() -> dict[int, str | None]:
             table[cp] = " "
         elif 0xFF01 <= cp <= 0xFF5E:
             table[cp] = chr(cp - 0xFEE0)
-        elif 0xFFE0 <= cp <= 0xFFE6:
+        elif 0xFFE0 <= cp <= 0xFFE6 or 0x2160 <= cp <= 0x217F:
             table[cp] = unicodedata.normalize("NFKC", c)
     for c in _HIDDEN:
         table[ord(c)] = None
@@ -124,17 +133,20 @@ def looks(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_hashes, "doc_id long, look binary, exact binary")
 
 
-def several_spellings(hashed: DataFrame) -> DataFrame:
-    """The rows whose look is written in more than one way; groups of exact copies alone fall away."""
-    mixed = hashed.groupBy("look").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).where(F.col("a") != F.col("b")).select("look")
-    return hashed.join(mixed, "look", "left_semi").select("doc_id", "look", "exact")
-
-
 def same_look_pairs(documents: DataFrame) -> DataFrame:
-    """Pairs (doc_id_a, doc_id_b), smaller id first, that look the same but differ in their characters."""
-    rows = materialize(several_spellings(materialize(looks(documents), "looks")), "spellings")
-    a, b = rows.toDF("doc_id_a", "look", "exact_a"), rows.toDF("doc_id_b", "look", "exact_b")
-    return a.join(b, "look").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("exact_a") != F.col("exact_b"))).select("doc_id_a", "doc_id_b").distinct()
+    """Pairs (doc_id_a, doc_id_b), smaller id first, that look the same but differ in their characters.
+
+    Each spelling of a look is taken once to find the pairs of spellings, and only those are met with the
+    documents that hold them, so copies of one spelling are never compared with one another.
+    """
+    rows = materialize(looks(documents), "looks")
+    spellings = rows.select("look", "exact").distinct()
+    mixed = spellings.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
+    several = materialize(spellings.join(mixed, "look", "left_semi").select("look", "exact"), "spellings")
+    pairs = several.toDF("look", "x").join(several.toDF("look", "y"), "look").where(F.col("x") != F.col("y")).select("x", "y")
+    held = rows.join(several.select("exact"), "exact", "left_semi").select("doc_id", "exact")
+    met = pairs.join(held.toDF("doc_id_a", "x"), "x").join(held.toDF("doc_id_b", "y"), "y")
+    return met.where(F.col("doc_id_a") < F.col("doc_id_b")).select("doc_id_a", "doc_id_b").distinct()
 
 
 def look_classes(documents: DataFrame) -> DataFrame:

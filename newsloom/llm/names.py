@@ -326,7 +326,10 @@ def similar_parts(typed: DataFrame, listed: DataFrame) -> DataFrame:
     schema = "form string, part string, key string"
     lookups = typed.mapInArrow(_cut_rows(probes), schema)
     index = listed.mapInArrow(_cut_rows(segments), schema).select("key", F.col("part").alias("listed"))
-    met = lookups.join(index, "key").where(F.levenshtein("part", "listed", PLAIN_EDITS) >= 0).select("form", "part", "listed").distinct()
+    met = lookups.join(index, "key").where(F.levenshtein("part", "listed", PLAIN_EDITS) >= 0).select("form", "part", "listed")
+    # few bytes but much work: the pairs are dealt to all tasks, which adaptive execution would join into one
+    tasks = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(tasks, "form", "part", "listed").distinct()
     return met.mapInArrow(_verify, "form string, part string, listed string, edits int")
 
 

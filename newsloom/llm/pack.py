@@ -164,14 +164,14 @@ def sized(documents: DataFrame, tokenizers: list[str], folder: str = TOKENIZERS)
                 for pre in cut:
                     u, c = np.unique(np.fromiter(map(term, pre), dtype=np.int32, count=len(pre)), return_counts=True)
                     terms.append(u[u != 0])
-                    counts.append(np.minimum(c[u != 0], 255).astype(np.int16))
+                    counts.append(c[u != 0].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int16())), pa.array(near(terms), pa.int64())],
+                [b.column("doc_id"), pa.array(sizes, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(near(terms), pa.int64())],
                 names=["doc_id", "sizes", "terms", "counts", "near"],
             )
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, sizes array<int>, terms array<int>, counts array<short>, near long"
+        run, "doc_id long, sizes array<int>, terms array<int>, counts array<int>, near long"
     )
 
 
@@ -336,7 +336,7 @@ def _refill(capacities: dict[int, int]):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["tokens", "doc_id", "part"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         spec, no = int(group["spec_id"].iloc[0]), int(group["together"].iloc[0])
-        terms, counts = [np.asarray(t, np.int32) for t in group["terms"]], [np.asarray(c, np.int16) for c in group["counts"]]
+        terms, counts = [np.asarray(t, np.int32) for t in group["terms"]], [np.asarray(c, np.int32) for c in group["counts"]]
         boxes = fill_anew(terms, counts, group["tokens"].to_numpy(np.int64), capacities[spec])
         order = [d for box in boxes for d in box]
         out = group.loc[order, ["spec_id", "doc_id", "part", "start", "tokens"]]
@@ -392,7 +392,7 @@ def packed(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS, sha
                 box += 1
         return pd.DataFrame(out, columns=["spec_id", "container", "position", "doc_id", "part", "start", "tokens", "terms", "counts"])
 
-    dealt = materialize(rows.groupBy("shard").applyInPandas(run, _SHAPE + ", terms array<int>, counts array<short>"), "containers")
+    dealt = materialize(rows.groupBy("shard").applyInPandas(run, _SHAPE + ", terms array<int>, counts array<int>"), "containers")
     shape = [c for c in dealt.columns if c not in ("terms", "counts")]
     capacities = {s: c for s, _, c in wanted}
     loose = dealt.where(F.col("terms").isNotNull())

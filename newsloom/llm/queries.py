@@ -145,14 +145,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+# Written out apart from the operator's table: each word is a character and those that look like it.
+_SQL_LOOKS = """aаɑ cсϲⲥⅽ dԁⅾ eе gցɡ hһհ iіⅰ jјϳ lӏⅼ mⅿ oоοօⲟ pрρⲣ qԛ sѕ uս vνѵⅴ wԝ xхⅹ yуү AАΑꓮᎪ BВΒꓐᏴ CСϹꓚᏟⲤⅭ DꓓᎠⅮ EЕΕꓰᎬ Fꓝ GԌꓖᏀ HНΗꓧᎻⲎ
+    IІӀΙꓲⲒⅠ JЈͿꓙᎫ KКΚꓗᏦⲔ LꓡᏞⅬ MМΜꓟᎷⲘⅯ NΝꓠⲚ OОΟՕꓳⲞ PРΡꓑᏢⲢ QԚ RꓣᎡ SЅՏꓢᏚ TТΤꓔᎢⲦ Uꓴ VѴꓦᏙⅤ WԜꓪᎳ XХΧꓫⲬⅩ YУҮΥꓬᎩ ZΖꓜᏃ -‐‑﹣ :∶ /∕⁄ .․ ,‚ μµ ’ʼ ¢￠ £￡ ¬￢ ¦￤ ¥￥ ₩￦"""
+
+
 def _same_look_sql() -> str:
     """The pairs of p9_found in SQL: SQL composes where the operator decomposes, which makes the same texts equal."""
-    table_of = confusable.prototypes()
-    one = {c: p for c, p in table_of.items() if p is not None and len(p) == 1}
-    gone = [c for c, p in table_of.items() if p is None]
-    quoted = lambda x: x.replace("'", "''")
-    before, after = quoted("".join(map(chr, [*one, *gone]))), quoted("".join(one.values()))
-    return f"""WITH s AS (SELECT doc_id, text, nfc_normalize(translate(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '{before}', '{after}')) AS look
+    groups = _SQL_LOOKS.split()
+    before, after = "".join(g[1:] for g in groups), "".join(g[0] * (len(g) - 1) for g in groups)
+    full = "(SELECT string_agg(chr((65281 + i)::INTEGER), '' ORDER BY i) FROM range(94) t(i)), (SELECT string_agg(chr((33 + i)::INTEGER), '' ORDER BY i) FROM range(94) t(i))"
+    hidden = "[\\p{Cf}\\x{FE00}-\\x{FE0F}\\x{34F}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180D}\\x{180F}\\x{3164}\\x{FFA0}]"
+    lines = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    return f"""WITH s AS (SELECT doc_id, text, nfc_normalize(translate(translate(regexp_replace(regexp_replace({lines}, '{hidden}', '', 'g'), '\\p{{Zs}}', ' ', 'g'), {full}), '{before}', '{after}')) AS look
     FROM documents WHERE text IS NOT NULL), t AS (SELECT * FROM s WHERE regexp_matches(look, '[^\\s]'))
     SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text"""
 

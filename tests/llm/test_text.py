@@ -123,7 +123,7 @@ def test_prefix_tree_merges_templates():
 def test_endings(spark):
     want = {
         "It ends here.": "stop", "It ends “a work in progress...”": "stop", "Done. (12 sources)": "stop", "It was. Then it bro": "open", "It was. Then it...": "mark", "It was. Then it bro […]": "mark", "It was. Then […]…": "mark",
-        "- one\n- two": "list", "A headline on trees": "headline", "It goes on and": "open", None: None, "": None, " \n": None, "It was. (19 sou": "open", "Cut by bytes. The las�": "mark",
+        "- one\n- two": "list", "A headline on trees": "single", "It goes on and": "open", None: None, "": None, " \n": None, "It was. (19 sou": "open", "Cut by bytes. The las�": "mark",
     }
     df = spark.createDataFrame([(k,) for k in want], "v string")
     assert {r.v: r.e for r in df.select("v", censor.ending(F.col("v")).alias("e")).collect()} == want
@@ -138,10 +138,26 @@ def test_maximum_likelihood_finds_the_law_behind_a_limit():
     assert abs(mu - 5.5) < 0.02 and abs(sd - 0.5) < 0.02
     import pandas as pd
 
-    found = censor.limits(pd.DataFrame({"n": n, "all": counts, "unended": np.where(n == 300, counts, 1)}))
+    found = censor.limits(pd.DataFrame({"n": n, "all": counts, "unended": np.where(n == 300, counts, 1), "maybe": 0}))
     assert list(found["n"]) == [300] and found["posterior"].iloc[0] > 0.9
 
 
+def test_the_fitted_law_tells_headlines_from_sentences_cut_by_a_limit(spark):
+    """Single sentences without a stop: only what stands at its own source's limit is cut, and only if laws are fitted."""
+    rng = np.random.default_rng(3)
+    words = lambda n: ("the river rose again " * 60)[: int(n)].rstrip() or "x"
+    rows = [(i, 1, words(np.exp(rng.normal(3.9, 0.25))) + "z", None) for i in range(400)]  # headlines of a source without a limit
+    rows += [(400 + i, 1, "h" * 89 + "z", None) for i in range(2)]  # as long as the other source's limit
+    for i in range(300):
+        text = "t" * int(np.exp(rng.normal(4.3, 0.4)))
+        rows.append((1000 + i, 2, text[:90] if len(text) > 89 else text + ".", None))
+    s = spark.createDataFrame(rows, "analysis_id long, article_id long, claude_summary string, openai_summary string")
+    a, u = spark.createDataFrame([(1, 1), (2, 2)], "article_id long, url_id long"), urls(spark, [(1, "free"), (2, "limited")])
+    cut = {r[0] for r in rows if r[1] == 2 and len(r[2]) == 90 and r[2][-1] == "t"}
+    assert len(cut) > 50 and {r.analysis_id for r in censor.judged(s, a, u).where("cut").collect()} == cut
+    assert censor.judged(s, a, u, fitted=False).where("cut").count() == 0
+
+
 def test_cut_values(spark):
     whole, cut = "The piece names a town. It ends well.", "The piece names a town. It ends in the mid"
     rows = [(i, i % 5, cut if i % 2 else whole, None if i % 3 else "A list of trees") for i in range(60)] + [(60, 77, cut, ""), (61, None, whole, "- a\n- b")]
