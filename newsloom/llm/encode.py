@@ -128,7 +128,11 @@ class Encoder(dict):
         if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = [x for x in set().union(*texts) if len(x) < 64]
-        self.update(zip(new, self.pieces.encode([_characters(x) for x in new], num_threads=1)))
+        self.update(zip(new, self.batch(new)))
+
+    def batch(self, pre: list[str]) -> list[list[int]]:
+        """Ids of several pre-tokens in one call; none of them is kept."""
+        return self.pieces.encode([_characters(x) for x in pre], num_threads=1)
 
     def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
         """Ids of texts, null and empty ones included, in their order."""

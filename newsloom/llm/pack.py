@@ -15,16 +15,18 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.encode import TOGETHER as TEXTS, TOKENIZERS, encoder, pre_tokens, serialised_model, vocabulary
+from newsloom.llm.encode import REMEMBERED, TOGETHER as TEXTS, TOKENIZERS, encoder, pre_tokens, serialised_model, vocabulary
 from newsloom.plans.materialize import materialize
 
 #: Documents of a shard, on average; it bounds the memory of a task at any size of the corpus.
@@ -41,15 +43,36 @@ LEVELS, BITS = 6, 10
 COMMON = 0.2
 
 
-class _Terms(dict):
-    """Hash of the word in each pre-token, met so far; 0 for what is no word of three letters or more."""
+def _word(pre: str) -> int:
+    """Hash of the word in a pre-token; 0 for what is no word of three letters or more."""
+    w = pre.strip().lower()
+    return (xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) - 0x80000000 or 1) if len(w) > 2 and w.isalpha() else 0
 
-    def __missing__(self, pre: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        w = pre.strip().lower()
-        h = self[pre] = (xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) - 0x80000000 or 1) if len(w) > 2 and w.isalpha() else 0
-        return h
+
+class PreTokens:
+    """Numbers the pre-tokens met so far, with the hash of the word in each and its number of tokens by each byte-level encoder."""
+
+    def __init__(self, encoders: list):
+        self.encoders = encoders
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.words = np.zeros(0, np.int32)
+        self.sizes = [np.zeros(0, np.int64) for _ in self.encoders]
+
+    def numbers(self, cut: list[list[str]]) -> np.ndarray:
+        """Numbers of the pre-tokens of several texts, one after the other; new ones are encoded in one call."""
+        every = set().union(*cut)
+        if len(self.ids) + len(every) > REMEMBERED:
+            self._clear()
+        new = list(every.difference(self.ids))
+        if new:
+            self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
+            self.words = np.concatenate([self.words, np.fromiter(map(_word, new), np.int32, len(new))])
+            for i, e in enumerate(self.encoders):
+                self.sizes[i] = np.concatenate([self.sizes[i], np.fromiter(map(len, e.batch(new)), np.int64, len(new))])
+        return np.fromiter(map(self.ids.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
 
 
 class PieceSizes:
@@ -124,19 +147,23 @@ def tokenizer_model(name: str, folder: str = TOKENIZERS) -> tuple[str, bytes]:
         return "pieces", f.read()
 
 
-def near(terms: list[np.ndarray]) -> np.ndarray:
-    """For each document a number that begins with the same bits as those of documents with mostly the same words."""
-    out = np.zeros(len(terms), dtype=np.int64)
-    some = np.flatnonzero([len(t) > 0 for t in terms])
+def near(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each document a number that begins with the same bits as those of documents with mostly the same words; ``flat`` has the words of all, ``sizes`` how many are whose."""
+    out = np.zeros(len(sizes), dtype=np.int64)
+    some = np.flatnonzero(sizes)
     if len(some):
-        flat = np.concatenate([terms[i] for i in some]).view(np.uint32)
-        first = np.r_[0, np.cumsum([len(terms[i]) for i in some])[:-1]]
+        flat = flat.view(np.uint32)
+        first = (np.cumsum(sizes) - sizes)[some]
         for level in range(LEVELS):
             least = np.minimum.reduceat(flat * np.uint32((0x9E3779B1 * (2 * level + 1) ^ 0x85EBCA6A * level) & 0xFFFFFFFF | 1), first)
             out[some] = out[some] << BITS | (least & np.uint32((1 << BITS) - 1)).astype(np.int64)
     return out
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
+
+
 def sized(documents: DataFrame, tokenizers: list[str], folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, sizes, terms, counts, near): token counts by each tokenizer, hashes of the distinct words, how often they occur, and the place in the order by content.
 
@@ -146,29 +173,27 @@ def sized(documents: DataFrame, tokenizers: list[str], folder: str = TOKENIZERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizers = [(kind, _sizer(kind, model)) for kind, model in models.value]
-        term = _Terms().__getitem__
+        known = PreTokens([s for kind, s in sizers if kind == "bpe"])
         for b in batches:
-            sizes, terms, counts = [], [], []
-            texts = b.column("text").to_pylist()
-            for k in range(0, len(texts), TEXTS):
-                part = texts[k : k + TEXTS]
-                cut = [pre_tokens(t) if t else [] for t in part]
-                each = []
-                for kind, s in sizers:
-                    if kind == "bpe":
-                        s.learn(cut)
-                        each.append([sum(map(len, map(s.__getitem__, pre))) for pre in cut])
-                    else:
-                        each.append([s.size(t) if t else 0 for t in part])
-                sizes += zip(*each) if each else [()] * len(part)
-                for pre in cut:
-                    u, c = np.unique(np.fromiter(map(term, pre), dtype=np.int32, count=len(pre)), return_counts=True)
-                    terms.append(u[u != 0])
-                    counts.append(c[u != 0].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(near(terms), pa.int64())],
-                names=["doc_id", "sizes", "terms", "counts", "near"],
-            )
+            for k in range(0, b.num_rows, TEXTS):
+                part = b.slice(k, TEXTS)
+                texts = part.column("text").to_pylist()
+                n = len(texts)
+                cut = [pre_tokens(t) if t else [] for t in texts]
+                doc = np.repeat(np.arange(n), [len(c) for c in cut])
+                at = known.numbers(cut)
+                bpe = iter(known.sizes)
+                sizes = [np.bincount(doc, next(bpe)[at], n).astype(np.int64) if kind == "bpe" else np.array([s.size(t) if t else 0 for t in texts], np.int64) for kind, s in sizers]
+                word = known.words[at]
+                keys, counts = np.unique((doc << 32 | word.view(np.uint32))[word != 0], return_counts=True)
+                terms, per = (keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32), np.bincount(keys >> 32, minlength=n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"), _lists(np.stack(sizes, 1).ravel().astype(np.int32) if sizes else np.zeros(0, np.int32), np.full(n, len(sizes))),
+                        _lists(terms, per), _lists(counts.astype(np.int32), per), pa.array(near(terms, per)),
+                    ],
+                    names=["doc_id", "sizes", "terms", "counts", "near"],
+                )
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, sizes array<int>, terms array<int>, counts array<int>, near long"
@@ -202,17 +227,39 @@ def with_shards(rows: DataFrame, shards: int) -> DataFrame:
     return rows.withColumn("shard", shard("near", "doc_id"))
 
 
+class Words:
+    """The words of several documents and how often they occur, one document after the other."""
+
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray):
+        self.terms, self.counts, self.sizes = terms, counts, sizes
+
+    @classmethod
+    def of(cls, terms: pa.ChunkedArray, counts: pa.ChunkedArray) -> Words:
+        """The words of two list columns without nulls."""
+        flat = lambda x: pa.concat_arrays([c.flatten() for c in x.chunks]).to_numpy() if x.num_chunks else np.zeros(0, np.int32)
+        return cls(flat(terms), flat(counts), pc.list_value_length(terms).to_numpy().astype(np.int64))
+
+    @classmethod
+    def listed(cls, terms: list[np.ndarray], counts: list[np.ndarray]) -> Words:
+        return cls(np.concatenate(terms), np.concatenate(counts), np.array([len(t) for t in terms], np.int64))
+
+    def take(self, documents: np.ndarray) -> Words:
+        """The words of some of the documents, in the order given."""
+        start = np.cumsum(self.sizes) - self.sizes
+        size = self.sizes[documents]
+        at = np.arange(size.sum()) + np.repeat(start[documents] - (np.cumsum(size) - size), size)
+        return Words(self.terms[at], self.counts[at], size)
+
+
 class Index:
     """BM25 inverted index of one shard: for each term its documents and their weights."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray]):
-        n = self.n = len(terms)
-        sizes = np.array([len(t) for t in terms], dtype=np.int64)
-        length = np.array([c.sum() for c in counts], dtype=np.float64)
+    def __init__(self, words: Words):
+        n = self.n = len(words.sizes)
+        flat, tf = words.terms, words.counts.astype(np.float64)
+        doc = np.repeat(np.arange(n), words.sizes)
+        length = np.bincount(doc, tf, n)
         mean = max(1.0, float(length.mean())) if n else 1.0
-        flat = np.concatenate(terms) if n else np.zeros(0, np.int32)
-        tf = np.concatenate(counts).astype(np.float64) if n else np.zeros(0)
-        doc = np.repeat(np.arange(n), sizes)
         _, term = np.unique(flat, return_inverse=True)
         df = np.bincount(term) if len(term) else np.zeros(0, np.int64)
         useful = (df > 1) & (df <= max(2, COMMON * n))
@@ -310,19 +357,12 @@ def fill(index: Index, sizes: np.ndarray, capacity: int, slack: float | None = N
 _SHAPE = "spec_id int, container string, position int, doc_id long, part int, start int, tokens int"
 
 
-class _Unrelated:
-    """Stands for an index where only sizes matter."""
-
-    def scores(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.zeros(0, np.int64), np.zeros(0)
-
-
-def fill_anew(terms: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+def fill_anew(words: Words, sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Containers of the documents of loose containers; those that stay loose are opened again while that closes any."""
     out: list[list[int]] = []
     left = np.arange(len(sizes))
     while len(left):
-        index = Index([terms[d] for d in left], [counts[d] for d in left])
+        index = Index(words.take(left))
         boxes = [left[box].tolist() for box in fill(index, sizes[left], capacity, (1 - CLOSED) * capacity)]
         loose = [box for box in boxes if sizes[box].sum() < CLOSED * capacity]
         if len(loose) == len(boxes):
@@ -332,17 +372,20 @@ def fill_anew(terms: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarr
     return out
 
 
+_ROWS = pa.schema([("spec_id", pa.int32()), ("container", pa.string()), ("position", pa.int32()), ("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int32()), ("tokens", pa.int32())])
+_WORDS = pa.schema([*_ROWS, ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+
+
 def _refill(capacities: dict[int, int]):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["tokens", "doc_id", "part"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        spec, no = int(group["spec_id"].iloc[0]), int(group["together"].iloc[0])
-        terms, counts = [np.asarray(t, np.int32) for t in group["terms"]], [np.asarray(c, np.int32) for c in group["counts"]]
-        boxes = fill_anew(terms, counts, group["tokens"].to_numpy(np.int64), capacities[spec])
-        order = [d for box in boxes for d in box]
-        out = group.loc[order, ["spec_id", "doc_id", "part", "start", "tokens"]]
-        out["container"] = [f"t{no}-{i}" for i, box in enumerate(boxes) for _ in box]
-        out["position"] = [i for box in boxes for i in range(len(box))]
-        return out[["spec_id", "container", "position", "doc_id", "part", "start", "tokens"]]
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("tokens", "descending"), ("doc_id", "ascending"), ("part", "ascending")])
+        spec, no = group["spec_id"][0].as_py(), group["together"][0].as_py()
+        boxes = fill_anew(Words.of(group["terms"], group["counts"]), group["tokens"].to_numpy().astype(np.int64), capacities[spec])
+        held = np.array([len(box) for box in boxes], np.int64)
+        out = group.select(["spec_id", "doc_id", "part", "start", "tokens"]).take(pa.array([d for box in boxes for d in box], pa.int64()))
+        out = out.append_column("container", pa.array([f"t{no}-{i}" for i, n in enumerate(held) for _ in range(n)], pa.string()))
+        out = out.append_column("position", pa.array(np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held), pa.int32()))
+        return out.select(_ROWS.names).cast(_ROWS)
 
     return run
 
@@ -361,38 +404,42 @@ def packed(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS, sha
     rows = with_shards(whole_corpus, shards).drop("near")
     plan = [(s, names.index(t), c) for s, t, c in wanted]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id", kind="stable").reset_index(drop=True)
-        ids, no = group["doc_id"].to_numpy(), int(group["shard"].iloc[0])
-        terms, counts = [np.asarray(t) for t in group["terms"]], [np.asarray(c) for c in group["counts"]]
-        index = Index(terms, counts)
-        sizes = np.array(group["sizes"].tolist(), dtype=np.int64).reshape(len(group), -1)
-        out: list[tuple] = []
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("doc_id")
+        ids, no, n = group["doc_id"].to_numpy(), group["shard"][0].as_py(), group.num_rows
+        index = Index(Words.of(group["terms"], group["counts"]))
+        sizes = Words.of(group["sizes"], group["sizes"]).terms.astype(np.int64).reshape(n, -1)
+        out: list[tuple] = []  # container, position, document, part, start, tokens, whether its words go along
+        specs_of: list[int] = []
         for spec, column, capacity in plan:
             size = sizes[:, column]
             whole, rest = size // capacity, size % capacity
-            box = 0
-            for d in np.flatnonzero((whole > 0) & (size > capacity)):
+            box, before = 0, len(out)
+            for d in np.flatnonzero((whole > 0) & (size > capacity)).tolist():
                 for part in range(int(whole[d])):
-                    out.append((spec, f"{no}-{box}", 0, int(ids[d]), part, part * capacity, capacity, None, None))
+                    out.append((f"{no}-{box}", 0, d, part, part * capacity, capacity, False))
                     box += 1
             left = np.where(size > capacity, rest, size)
             present = np.flatnonzero(left > 0)
-            if not len(present):
-                continue
-            number = np.full(len(size), -1)
-            number[present] = np.arange(len(present))
-            for members in fill(index if len(present) == len(size) else _Part(index, present, number), left[present], capacity):
-                loose = left[present[members]].sum() < CLOSED * capacity  # its documents take their words along
-                for position, m in enumerate(members):
-                    d = int(present[m])
-                    split = size[d] > capacity
-                    words = (terms[d], counts[d]) if loose else (None, None)
-                    out.append((spec, f"{no}-{box}", position, int(ids[d]), int(whole[d]) if split else 0, int(whole[d] * capacity) if split else 0, int(left[d]), *words))
-                box += 1
-        return pd.DataFrame(out, columns=["spec_id", "container", "position", "doc_id", "part", "start", "tokens", "terms", "counts"])
-
-    dealt = materialize(rows.groupBy("shard").applyInPandas(run, _SHAPE + ", terms array<int>, counts array<int>"), "containers")
+            if len(present):
+                number = np.full(n, -1)
+                number[present] = np.arange(len(present))
+                for members in fill(index if len(present) == n else _Part(index, present, number), left[present], capacity):
+                    docs = present[members]
+                    loose = bool(left[docs].sum() < CLOSED * capacity)  # its documents take their words along
+                    for position, d in enumerate(docs.tolist()):
+                        split = int(whole[d]) if size[d] > capacity else 0
+                        out.append((f"{no}-{box}", position, d, split, split * capacity, int(left[d]), loose))
+                    box += 1
+            specs_of += [spec] * (len(out) - before)
+        container, position, doc, part, start, tokens, loose = zip(*out) if out else [()] * 7
+        at = np.array(doc, np.int64)
+        words = pa.array(at, mask=~np.array(loose, bool)) if out else pa.array([], pa.int64())
+        columns = [specs_of, container, position, ids[at] if out else [], part, start, tokens]
+        arrays = [pa.array(x, f.type) for x, f in zip(columns, _ROWS)]
+        return pa.Table.from_arrays([*arrays, *(group[c].combine_chunks().take(words) for c in ("terms", "counts"))], schema=_WORDS)
+
+    dealt = materialize(rows.groupBy("shard").applyInArrow(run, _SHAPE + ", terms array<int>, counts array<int>"), "containers")
     shape = [c for c in dealt.columns if c not in ("terms", "counts")]
     capacities = {s: c for s, _, c in wanted}
     loose = dealt.where(F.col("terms").isNotNull())
@@ -401,7 +448,7 @@ def packed(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS, sha
         return dealt.select(shape)
     many = F.create_map(*(F.lit(x) for pair in per.items() for x in pair))
     together = F.floor(F.split("container", "-")[0].cast("int") / many[F.col("spec_id")]).cast("int")
-    again = loose.withColumn("together", together).groupBy("spec_id", "together").applyInPandas(_refill(capacities), _SHAPE)
+    again = loose.withColumn("together", together).groupBy("spec_id", "together").applyInArrow(_refill(capacities), _SHAPE)
     return dealt.where(F.col("terms").isNull()).select(shape).unionByName(again)
 
 

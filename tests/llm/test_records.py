@@ -160,7 +160,7 @@ def test_packing_keeps_every_token(spark):
 
 def test_neighbours_come_first():
     a, b = [np.arange(0, 20, dtype=np.int32), np.arange(100, 120, dtype=np.int32)]
-    index = pack.Index([a, b, a + 1, b + 1, np.array([7000], np.int32)], [np.ones(20), np.ones(20), np.ones(20), np.ones(20), np.ones(1)])
+    index = pack.Index(pack.Words.listed([a, b, a + 1, b + 1, np.array([7000], np.int32)], [np.ones(20), np.ones(20), np.ones(20), np.ones(20), np.ones(1)]))
     assert pack.fill(index, np.array([60, 50, 40, 40, 10]), 100)[0] == [0, 2]
 
 
