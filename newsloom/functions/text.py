@@ -8,9 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: One character of white space in the widest sense: no-break and other wide spaces and the separators of records count too.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+
+
 def word_count(text: Column) -> Column:
-    """Number of words parted by white space; null counts as none."""
-    return F.coalesce(F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")), F.lit(0))
+    """Number of words parted by white space of any kind; null counts as none."""
+    return F.coalesce(F.size(F.filter(F.split(text, SPACE + "+"), lambda x: x != "")), F.lit(0))
 
 
 def given(value: Column, default: str) -> Column:
@@ -18,9 +22,10 @@ def given(value: Column, default: str) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
 
 
+# Markup to strip, in the order in which it goes.
 _MARKUP = (
     (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"__([^_]+)__", "$1"), (r"\*([^*]+)\*", "$1"), (r"_([^_]+)_", "$1"), (r"`([^`]+)`", "$1"),
-    (r"(?m)^#{1,6}\s+", ""), (r"(?m)^[-*_]{3,}$", ""), (r"<[^>]+>", ""),
+    (r"(?mU)^#{1,6}\s+", ""), (r"(?m)^[-*_]{3,}$", ""), (r"<[^>]+>", ""),
 )
 
 
@@ -29,7 +34,7 @@ def _chain(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def plain(text: Column) -> Column:
@@ -42,7 +47,7 @@ def plain_line(text: Column) -> Column:
     t = _chain(F.coalesce(text, F.lit("")), ((r"(?s)```[a-zA-Z]*\n?.*?```", ""), ("```", "")))
     head = F.regexp_extract(t, r"(?s)^([^\[]+)\s*\[", 1)
     t = F.when(head != "", _stripped(head)).otherwise(F.regexp_replace(t, r"[\[\]]", ""))
-    return _stripped(F.regexp_replace(_chain(t, _MARKUP), r"\s+", " "))
+    return _stripped(F.regexp_replace(_chain(t, _MARKUP), SPACE + "+", " "))
 
 
 def shortened(text: Column, most: int = 300) -> Column:
@@ -108,6 +113,12 @@ def initials(name: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
 
 
+def comparable_name(name: Column) -> Column:
+    """Name in the form in which missing institutions are told from listed ones: lower case, one kind of dash, no commas."""
+    n = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"^the\s+", ""), r"\s+", " ")
+    return F.replace(F.replace(F.regexp_replace(n, "[–—]", "-"), F.lit(","), F.lit("")), F.lit("&"), F.lit("and"))
+
+
 def suspicious_name(name: Column) -> Column:
     """True for names that look like hosts, bare abbreviations or general words."""
     capitals = (F.length(name) < 10) & (name == F.upper(name)) & (name != F.lower(name))
@@ -150,7 +161,7 @@ def response(text: Column) -> Column:
     impact = lambda name: _number(F.split_part(F.split_part(_after(text, f"{name}_IMPACT"), F.lit(" "), F.lit(1)), F.lit("/"), F.lit(1)), 1.0)
     return F.struct(
         F.trim(F.regexp_replace(summary, r"\s*\r?\n\s*", " ")).alias("summary"),
-        F.transform(lines, lambda x: F.trim(F.substring(x, 2, 1_000_000))).alias("key_points"),
+        F.transform(lines, lambda x: F.trim(F.substr(x, F.lit(2)))).alias("key_points"),
         _number(_after(text, "RELEVANCE"), 5.0).alias("relevance"),
         F.lower(_after(text, "AI_RELATED")).startswith("yes").alias("is_ai_related"),
         impact("SCIENTIFIC").alias("scientific"),

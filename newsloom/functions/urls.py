@@ -137,9 +137,22 @@ def correction(url: Column) -> Column:
 NEWS_PLACES = ("https://news.{}", "https://www.{}/news", "https://www.{}/news/", "https://newsroom.{}", "https://today.{}", "https://{}/news")
 
 
-def candidates(domain: Column, current: Column) -> Column:
-    """Addresses to try for a domain's news, without repeats (a slash at the end apart) and without the current one."""
+# Where newsrooms are found by an abbreviation.
+NEWS_PLACES_SHORT = ("https://news.{}.edu", "https://www.{}.edu/news", "https://newsroom.{}.edu", "https://today.{}.edu")
+
+
+def candidates(domain: Column, current: Column, abbreviation: Column | None = None) -> Column:
+    """Addresses to try for a domain's news, without repeats (a slash at the end apart) and without the current one.
+
+    An abbreviation of ten letters at most gives further ones. A missing domain or abbreviation gives none.
+    """
     bare = lambda x: F.regexp_replace(x, "/+$", "")
-    every = F.array(*(F.concat(*(x for i, piece in enumerate(p.split("{}")) for x in ((domain, F.lit(piece)) if i else (F.lit(piece),)))) for p in NEWS_PLACES))
+    at = lambda place, x: F.concat(*(y for i, piece in enumerate(place.split("{}")) for y in ((x, F.lit(piece)) if i else (F.lit(piece),))))
+    every = F.array(*(at(p, domain) for p in NEWS_PLACES))
+    if abbreviation is not None:
+        low = F.replace(F.lower(abbreviation), F.lit(" "), F.lit(""))
+        short = F.when((F.length(abbreviation) <= 10) & low.rlike("^[a-z]+$"), low)
+        every = F.concat(every, F.array(*(at(p, short) for p in NEWS_PLACES_SHORT)))
+    every = F.array_compact(every)
     first = F.filter(every, lambda x, i: F.array_position(F.transform(every, bare), bare(x)) == i + 1)
     return F.filter(first, lambda x: bare(x) != bare(F.coalesce(current, F.lit(""))))

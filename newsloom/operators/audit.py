@@ -109,3 +109,25 @@ def batches(df: DataFrame, order: list[Column], parts: int, size: int) -> DataFr
 def issues(rules: dict[str, Column]) -> Column:
     """Names of the rules that a row breaks, in order."""
     return F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in rules.items())))
+
+
+def crawl_totals(urls: DataFrame) -> DataFrame:
+    """One row of a run's health: addresses, crawled ones, errors, sources asked and sources that gave anything."""
+    crawled = F.col("status") == "crawled"
+    return urls.agg(
+        F.count("*").alias("urls"), F.count_if(crawled).alias("crawled"), F.count_if(F.col("status") == "failed").alias("errors"),
+        F.count_distinct("hostname").alias("attempted"), F.count_distinct(F.when(crawled, F.col("hostname"))).alias("succeeded"),
+    )
+
+
+def failing(domains: DataFrame, most: int = 20) -> DataFrame:
+    """Domains (hostname, errors, articles) with errors and no article, the first ones by name."""
+    return domains.where((F.col("errors") > 0) & (F.col("articles") == 0)).orderBy("hostname").limit(most)
+
+
+def priority_split(sources: DataFrame, most: int = 20) -> DataFrame:
+    """Sources (seq, kind) with ``priority`` (peers and facilities) and whether they are among the first ones of their part to be verified."""
+    kind = F.coalesce(F.lower("kind"), F.lit(""))
+    parted = sources.withColumn("priority", (kind == "peer") | F.contains(kind, F.lit("facility")))
+    first = parted.where("priority").orderBy("seq").limit(most).select("seq", F.lit(True).alias("_first"))
+    return parted.join(first, "seq", "left").withColumn("chosen", F.coalesce("_first", F.lit(False))).drop("_first")

@@ -18,32 +18,35 @@ BROKEN_FILTERS = (
 NEWS_WORDS = ("news", "press release", "article", "story", "stories", "newsroom", "media", "announcements", "latest")
 #: Names of one field in the report layouts, in the order in which they are tried.
 LAYOUTS = {
-    "name": ("name", "institution", "university"), "old_url": ("original_url", "old_url", "url"), "new_url": ("corrected_url", "new_url", "suggested_url"), "category": ("category", "type"),
+    "name": ("name", "institution", "university"), "old_url": ("original_url", "old_url", "url"), "new_url": ("corrected_url", "new_url", "suggested_url"), "category": ("category", "type"), "place": ("place",),
 }
 
 
 def unified(reports: list[DataFrame]) -> DataFrame:
-    """Corrections of reports in any layout as (name, old_url, new_url, category); rows without a new address fall away."""
+    """Corrections of reports in any layout as (name, old_url, new_url, category), and place where a report has one; rows without a new address fall away."""
 
     def one(df: DataFrame) -> DataFrame:
         have = set(df.columns)
         pick = {k: [F.nullif(F.col(c).cast("string"), F.lit("")) for c in names if c in have] for k, names in LAYOUTS.items()}
         return df.select(*(F.coalesce(*v, F.lit(None).cast("string")).alias(k) for k, v in pick.items()))
 
-    return reduce(DataFrame.unionByName, map(one, reports)).where(F.col("new_url").isNotNull())
+    rows = reduce(DataFrame.unionByName, map(one, reports))
+    rows = rows.withColumn("place", F.col("place").try_cast("long")) if any("place" in r.columns for r in reports) else rows.drop("place")
+    return rows.where(F.col("new_url").isNotNull())
 
 
 def matched(records: DataFrame, corrections: DataFrame) -> DataFrame:
     """Records (seq, name, url) with the correction that fits: the same name in the form compared across files, else one that holds the other.
 
-    Of several corrections the one with the longest name stands, then the first by name; records without
-    one keep their address.
+    Of several corrections the first one stands, by ``place`` where they have it, else by name; it need not be
+    the one with the same name. Records without one keep their address.
     """
-    c = corrections.select(file_name_key(F.col("name")).alias("r"), "new_url").where(F.length("r") >= 3)
-    best = c.groupBy("r").agg(F.min("new_url").alias("new_url"))
+    place = F.col("place") if "place" in corrections.columns else F.lit(0)
+    c = corrections.select(file_name_key(F.col("name")).alias("r"), "new_url", place.alias("place")).where(F.length("r") >= 3)
+    best = c.groupBy("r").agg(F.min(F.struct(F.coalesce("place", F.lit(0)).alias("place"), "new_url")).alias("b")).select("r", "b.*")
     own = records.withColumn("l", file_name_key(F.col("name")))
     pairs = containing(own.select("l"), best.select("r")).join(best, "r")
-    pick = pairs.groupBy("l").agg(F.min_by("new_url", F.struct((F.col("l") != F.col("r")).cast("int"), -F.length("r"), F.col("r"))).alias("new_url"))
+    pick = pairs.groupBy("l").agg(F.min_by("new_url", F.struct("place", "r")).alias("new_url"))
     return own.join(pick, "l", "left").select("seq", "name", "url", F.coalesce("new_url", "url").alias("new_url"), (F.col("new_url").isNotNull() & ~F.col("new_url").eqNullSafe(F.col("url"))).alias("changed"))
 
 
@@ -104,3 +107,70 @@ def mismatches(rows: DataFrame) -> DataFrame:
     works = F.col("outcome").isin("working", "redirect_ok")
     wrong = F.when(F.col("verified") & ~works, "verified but broken").when(~F.col("verified") & works, "unverified but working")
     return rows.withColumn("mismatch", wrong).where(F.col("mismatch").isNotNull())
+
+
+# Reports of batches in their layouts: where their entries stand, the names of an entry's fields, its category, and the status that it must have.
+BATCHES = {
+    "batches_1_2": (
+        ("$.batch_1_peer_institutions.broken_urls", "name", "original_url", "corrected_url", "peer", None),
+        ("$.batch_2_major_facilities.broken_urls", "name", "original_url", "corrected_url", "facility", None),
+    ),
+    "batch_3": (("$.broken_urls", "name", "url", "correct_url", "r1", None),),
+    "batch_4": (("$.verified_urls", "name", "original_url", "url", "r1", "corrected"),),
+    "batch_5": (("$.verified_urls", "name", "original_url", "url", "r1", "corrected"),),
+    "batch_6": (("$.corrections", "university", "original_url", "corrected_url", "r1", None),),
+}
+
+
+def batch_corrections(reports: DataFrame) -> DataFrame:
+    """Corrections (batch, name, old_url, new_url, category) of batch reports (batch, document), each in its own layout.
+
+    A text that is no JSON, a batch without entries and an entry of another status give no rows; a missing old address is empty.
+    """
+    out = []
+    for batch, parts in BATCHES.items():
+        own = reports.where(F.col("batch") == batch).select("batch", F.try_parse_json("document").alias("_d"))
+        for path, name, old, new, category, status in parts:
+            each = own.select("batch", F.explode(F.try_variant_get("_d", path, "array<variant>")).alias("e"))
+            field = lambda k: F.try_variant_get("e", f"$.{k}", "string")  # noqa: B023, E731
+            if status:
+                each = each.where(field("status") == status)
+            out.append(each.select("batch", field(name).alias("name"), F.coalesce(field(old), F.lit("")).alias("old_url"), field(new).alias("new_url"), F.lit(category).alias("category")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def by_category(corrections: DataFrame) -> DataFrame:
+    """(category, corrections) for each of the three categories, also one without corrections."""
+    every = corrections.sparkSession.createDataFrame([("peer",), ("r1",), ("facility",)], "category string")
+    return every.join(corrections.groupBy("category").agg(F.count("*").alias("n")), "category", "left").select("category", F.coalesce("n", F.lit(0)).cast("long").alias("corrections"))
+
+
+def by_variation(records: DataFrame, verified: DataFrame, variations: DataFrame) -> DataFrame:
+    """Records (seq, name, url) with the verified address (name, new_url) of their own name, else of a name that theirs is a variation of.
+
+    ``variations``: (name, variation, place); the first listed one wins. Of several addresses of a name the least counts.
+    """
+    known = verified.groupBy("name").agg(F.min("new_url").alias("new_url"))
+    own = known.toDF("name", "_own")
+    other = variations.join(known, "name").groupBy(F.col("variation").alias("name")).agg(F.min_by("new_url", "place").alias("_other"))
+    joined = records.join(own, "name", "left").join(other, "name", "left")
+    new = F.coalesce("_own", "_other", "url")
+    return joined.select("seq", "name", new.alias("url"), (~new.eqNullSafe(F.col("url"))).alias("changed"))
+
+
+# What is added to a working address to find its page on the subject, in order.
+TAG_SUFFIXES = ("/topic/artificial-intelligence", "/tag/artificial-intelligence", "/tags/artificial-intelligence")
+
+
+def with_tag_pages(found: DataFrame, probes: DataFrame) -> DataFrame:
+    """Working addresses (id, url) with the first page on the subject (tag_url) that a probe (url, ok) found working, or null."""
+    bare = F.regexp_replace("url", "/+$", "")
+    each = found.select("id", F.col("url").alias("_base"), F.posexplode(F.array(*(F.concat(bare, F.lit(s)) for s in TAG_SUFFIXES))).alias("_at", "url"))
+    ok = probes.where(F.coalesce("ok", F.lit(False))).select("url").distinct()
+    tags = each.join(ok, "url", "left_semi").groupBy("id", F.col("_base").alias("url")).agg(F.min_by("url", "_at").alias("tag_url"))
+    return found.select("id", "url").join(tags, ["id", "url"], "left")
+
+
+def recommendation(score: Column) -> Column:
+    """What to do with a source: proceed from 85 points, with caution from 60, review by hand below 40, else skip."""
+    return F.when(score >= 85, "proceed").when(score >= 60, "caution").when(score < 40, "review").otherwise("skip")

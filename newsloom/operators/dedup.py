@@ -35,3 +35,9 @@ def duplicate_groups(df: DataFrame, key: str, member: str) -> DataFrame:
 def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Delete by key; apply it to each table that holds the key to cascade."""
     return df.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def flagged(df: DataFrame, marked: DataFrame, key: str, column: str, value: str) -> DataFrame:
+    """Rows whose key is marked take a new value in a column; the others, null keys included, stay as they are."""
+    hit = marked.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_hit", F.lit(True))
+    return df.join(hit, key, "left").withColumn(column, F.when(F.col("_hit"), value).otherwise(F.col(column))).select(*df.columns)

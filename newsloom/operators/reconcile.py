@@ -10,7 +10,7 @@ def merged_sets(df: DataFrame, key: str, value: str, priority: str, flag: str) -
     """(key, entries, best, others, priority, flag): the values of each key as a sorted set, the first one apart."""
     return df.groupBy(key).agg(
         F.count("*").alias("entries"), F.sort_array(F.collect_set(value)).alias("_v"), F.max(priority).alias("priority"), F.bool_or(flag).alias("flag")
-    ).select(key, "entries", F.try_element_at("_v", F.lit(1)).alias("best"), F.array_join(F.slice("_v", 2, 1_000_000), " ").alias("others"), "priority", "flag")
+    ).select(key, "entries", F.try_element_at("_v", F.lit(1)).alias("best"), F.array_join(F.slice("_v", F.lit(2), F.greatest(F.size("_v"), F.lit(1))), " ").alias("others"), "priority", "flag")
 
 
 def best_by_score(df: DataFrame, key: str, value: str, score: Column, seq: str) -> DataFrame:
@@ -46,3 +46,19 @@ def primary_source(sources: Column) -> Column:
 def migrated(primary: Column, extra: Column) -> Column:
     """One array of sources from a primary object and further ones; a missing primary adds nothing."""
     return F.concat(F.when(primary.isNotNull(), F.array(primary)).otherwise(F.slice(extra, 1, 0)), extra)
+
+
+def change_log(repairs: DataFrame, key: str, current: str, dry_run: bool) -> DataFrame:
+    """(key, old, new, tier, applied): what :func:`repaired` would change, written down whether or not it is applied."""
+    return repairs.where("changed").select(key, F.col(current).alias("old"), F.col("new_value").alias("new"), "tier", F.lit(not dry_run).alias("applied"))
+
+
+def changes_by(log: DataFrame, by: str) -> DataFrame:
+    """(by, changes, values, sample): how many changes each tier or old name has, to how many new values, and the least of them."""
+    return log.groupBy(by).agg(F.count("*").alias("changes"), F.count_distinct("new").alias("values"), F.min("new").alias("sample"))
+
+
+def migration_stats(sources: DataFrame, column: str) -> DataFrame:
+    """(entries, sources, several): entries, their sources in all, and the entries with more than one."""
+    n = F.coalesce(F.size(column), F.lit(0))
+    return sources.agg(F.count("*").alias("entries"), F.coalesce(F.sum(n), F.lit(0)).alias("sources"), F.count_if(n > 1).alias("several"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import given
+from newsloom.functions.text import given, plain_line
 from newsloom.operators.dedup import first_of_each
 from newsloom.operators.ordered import numbered
 
@@ -98,9 +98,14 @@ def nested(rows: DataFrame, outer: str, inner: str, key: str, label: str) -> Dat
     return paged.groupBy(outer, inner, "page").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("items"))
 
 
+def topics_of(keywords: Column, most: int = 4) -> Column:
+    """The first keywords of an article without their markup; empty ones and those of fifty letters or more fall away."""
+    return F.filter(F.transform(F.filter(F.slice(keywords, 1, most), lambda k: k != ""), plain_line), lambda k: (k != "") & (F.length(k) < 50))
+
+
 def top_topics(articles: DataFrame, most: int = 20, per_article: int = 4) -> DataFrame:
     """(topic, articles): the topics named most often among the first ones of each article; ties by name."""
-    topics = articles.select(F.explode(F.slice("keywords", 1, per_article)).alias("topic")).where((F.col("topic") != "") & (F.length("topic") < 50))
+    topics = articles.select(F.explode(topics_of(F.col("keywords"), per_article)).alias("topic"))
     return topics.groupBy("topic").agg(F.count("*").alias("articles")).orderBy(F.desc("articles"), "topic").limit(most)
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.functions.text import comparable_name
+from newsloom.operators.classify import containing
+
 #: Names are similar from this ratio of matched letters on.
 RATIO = 0.85
 
@@ -45,3 +48,15 @@ def similar_names(left: DataFrame, right: DataFrame, limit: float = RATIO) -> Da
     # letters left unmatched are edits, so an edit distance beyond their number rules a pair out
     near = met.where(F.levenshtein("l", "r") <= (1 - limit) * (F.length("l") + F.length("r")))
     return near.withColumn("ratio", ratio("l", "r")).where(F.col("ratio") >= limit)
+
+
+def unmatched(names: DataFrame, listed: DataFrame, limit: float = RATIO) -> DataFrame:
+    """Names (name) that no listed one equals, holds, is held by, or is similar to (a fuzzy EXCEPT), all in their comparable form.
+
+    The cheap tests come first, so only what they leave is compared letter by letter. Null and blank names are no names.
+    """
+    own = names.select("name").distinct().withColumn("l", comparable_name(F.col("name"))).where("l <> ''")
+    there = listed.select(comparable_name(F.col("name")).alias("r")).where("r <> ''").distinct()
+    rest = own.join(there.withColumnRenamed("r", "l"), "l", "left_anti")
+    rest = rest.join(containing(rest, there).select("l").distinct(), "l", "left_anti")
+    return rest.join(similar_names(rest, there, limit).select("l").distinct(), "l", "left_anti").select("name")

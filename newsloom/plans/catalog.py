@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
 from newsloom.functions import urls as U
-from newsloom.operators import audit, bloom, classify, consensus, curate, dedup, latest, rate, reconcile, reports, similar
+from newsloom.operators import audit, bloom, classify, consensus, curate, dedup, latest, quality, rate, reconcile, reports, similar
+from newsloom.operators.ordered import numbered
 from newsloom.plans.materialize import shared_dir
 from newsloom.sources import archive, configs, html, sinks
 from newsloom.sources.tables import table
@@ -44,8 +45,22 @@ _LIST = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)  # no
 
 # --- addresses and hashes ---------------------------------------------------------------------------------------
 
+# lists and patterns of the SQL are written out here, apart from those of the functions, so that neither covers an error of the other
+_SQL_TRACKING = "'utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'mc_cid', 'mc_eid'"
+_SQL_FOLLOW = "/(news|press-release|press-releases|media|research|story|stories|article|articles|[0-9][0-9][0-9][0-9]/[0-9][0-9]|post|posts|feature|features)/"
+_SQL_LEAVE = (
+    "/(tag|category|author|archive|section|search|login|admin|calendar|events|galleries)/|/archives/[0-9]{4}/|/stories/archives/|/(news|news-events|news-and-events|press-releases|features-articles|accolades-honors|articles|stories)/?$"
+    "|/news/(features|accolades|honors|announcements|updates)/?$|[.](pdf|jpg|jpeg|png|gif|zip|rar|exe)$"
+)
+_SQL_LISTING = "(?i)/(news|news-events|press-release|press-releases|news-release|news-releases|media|stories|articles|archive|all-news|category/[^/]+|tag/[^/]+|section/[^/]+)/?$|/(latest|the-latest|recent)[^/]*/?$"
+_SQL_TITLES = (
+    "(?i)^((News|Press Releases?|News Releases?|Media|Stories|Articles)\\s*$|News & Events|News and Events|Latest News|Latest Stories|All News|All Stories|Features & Articles"
+    "|Accolades & Honors|The Latest News|Recent News|Archive|News Archive|[\\p{L}\\p{N}_]+\\s+News\\s*$)|Archives?\\s*$"
+)
+_SQL_SPACE = "[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
 _SQL_QUERY = f"""list_filter(string_split(regexp_extract(lower(url), '\\?([^#]*)', 1), '&'),
-  lambda p: contains(p, '=') AND NOT regexp_matches(p, '^[^=]*=$') AND NOT list_contains([{_LIST(U.TRACKING)}], regexp_extract(p, '^([^=]*)=', 1)))"""
+  lambda p: contains(p, '=') AND NOT regexp_matches(p, '^[^=]*=$') AND NOT list_contains([{_SQL_TRACKING}], regexp_extract(p, '^([^=]*)=', 1)))"""
 _SQL_BASE = "regexp_replace(lower(url), '[?#].*$', '')"
 _SQL_NORMAL = f"""CASE WHEN regexp_matches({_SQL_BASE}, '^https?://[^/]*/$') THEN {_SQL_BASE} ELSE regexp_replace({_SQL_BASE}, '/+$', '') END
   || CASE WHEN len({_SQL_QUERY}) > 0 THEN '?' || array_to_string({_SQL_QUERY}, '&') ELSE '' END"""
@@ -84,16 +99,16 @@ def url_pub_date(spark, d):
 
 
 @query(
-    f"""SELECT url_id, regexp_matches(lower(url), '{U.any_of(U.FOLLOW)}') AND NOT regexp_matches(lower(url), '{U.any_of(U.LEAVE)}') AS followed,
-    regexp_matches(url, '(?i){U.any_of(U.LISTING)}') AS listing FROM urls"""
+    f"""SELECT url_id, regexp_matches(lower(url), '{_SQL_FOLLOW}') AND NOT regexp_matches(lower(url), '{_SQL_LEAVE}') AS followed,
+    regexp_matches(url, '{_SQL_LISTING}') AS listing FROM urls"""
 )
 def link_allow_deny(spark, d):
     return table(spark, d, "urls").select("url_id", U.followed(F.lower("url")).alias("followed"), U.listing_url(F.col("url")).alias("listing"))
 
 
 @query(
-    f"""SELECT a.article_id FROM articles a LEFT JOIN urls u USING (url_id) WHERE coalesce(regexp_matches(u.url, '(?i){U.any_of(U.LISTING)}'), false)
-    OR coalesce(regexp_matches(a.title, '(?i)^{U.any_of(U.LISTING_TITLES)}') OR regexp_matches(a.title, '(?i)Archives?\\s*$'), false)"""
+    f"""SELECT a.article_id FROM articles a LEFT JOIN urls u USING (url_id) WHERE coalesce(regexp_matches(u.url, '{_SQL_LISTING}'), false)
+    OR coalesce(regexp_matches(a.title, '{_SQL_TITLES}'), false)"""
 )
 def nav_page_filter(spark, d):
     a = table(spark, d, "articles").select("article_id", "url_id", "title").join(table(spark, d, "urls").select("url_id", "url"), "url_id", "left")
@@ -117,32 +132,32 @@ def candidate_urls(spark, d):
 
 
 @query(
-    """SELECT article_id, CAST(len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) AS INTEGER) AS words FROM articles
-    WHERE len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) >= 100 AND title <> ''"""
+    f"""SELECT article_id, CAST(len(list_filter(regexp_split_to_array(content, '{_SQL_SPACE}+'), lambda w: w <> '')) AS INTEGER) AS words FROM articles
+    WHERE len(list_filter(regexp_split_to_array(content, '{_SQL_SPACE}+'), lambda w: w <> '')) >= 100 AND title <> ''"""
 )
 def word_count_filter(spark, d):
-    n = X.word_count(F.regexp_replace("content", " ", "x"))
+    n = X.word_count(F.col("content"))
     return table(spark, d, "articles").where((F.col("title") != "") & (n >= 100)).select("article_id", n.alias("words"))
 
 
 def _sql_plain(text: str) -> str:
-    for pattern, by in X._MARKUP:
-        flags = "gm" if pattern.startswith("(?m)") else "g"
-        text = f"regexp_replace({text}, '{pattern.replace('(?m)', '')}', '{by.replace('$1', chr(92) + '1')}', '{flags}')"
-    return text
+    text = f"regexp_replace({text}, '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g')"  # links
+    for mark in ("\\*\\*([^*]+)\\*\\*", "__([^_]+)__", "\\*([^*]+)\\*", "_([^_]+)_", "`([^`]+)`"):  # strong, emphasis, code
+        text = f"regexp_replace({text}, '{mark}', '\\1', 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace({text}, '^#{{1,6}}{_SQL_SPACE}+', '', 'gm'), '^[-*_]{{3,}}$', '', 'gm'), '<[^>]+>', '', 'g')"  # headings, rules, tags
 
 
-@query(f"SELECT doc_id, regexp_replace({_sql_plain("coalesce(text, '')")}, '^\\s+|\\s+$', '', 'g') AS plain FROM documents")
+@query(f"SELECT doc_id, regexp_replace({_sql_plain("coalesce(text, '')")}, '^{_SQL_SPACE}+|{_SQL_SPACE}+$', '', 'g') AS plain FROM documents")
 def strip_markdown_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", X.plain(F.col("text")).alias("plain"))
 
 
 _SQL_BLOCKS = "regexp_replace(regexp_replace(coalesce(text, ''), '```[a-zA-Z]*\\n?.*?```', '', 'gs'), '```', '', 'g')"
 _SQL_HEAD = f"regexp_extract({_SQL_BLOCKS}, '^([^\\[]+)\\s*\\[', 1)"
-_SQL_ONE = f"CASE WHEN {_SQL_HEAD} <> '' THEN regexp_replace({_SQL_HEAD}, '^\\s+|\\s+$', '', 'g') ELSE regexp_replace({_SQL_BLOCKS}, '[\\[\\]]', '', 'g') END"
+_SQL_ONE = f"CASE WHEN {_SQL_HEAD} <> '' THEN regexp_replace({_SQL_HEAD}, '^{_SQL_SPACE}+|{_SQL_SPACE}+$', '', 'g') ELSE regexp_replace({_SQL_BLOCKS}, '[\\[\\]]', '', 'g') END"
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace({_sql_plain('one')}, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS plain FROM (SELECT doc_id, {_SQL_ONE} AS one FROM documents)")
+@query(f"SELECT doc_id, regexp_replace(regexp_replace({_sql_plain('one')}, '{_SQL_SPACE}+', ' ', 'g'), '^{_SQL_SPACE}+|{_SQL_SPACE}+$', '', 'g') AS plain FROM (SELECT doc_id, {_SQL_ONE} AS one FROM documents)")
 def strip_markdown_site(spark, d):
     return table(spark, d, "documents").select("doc_id", X.plain_line(F.col("text")).alias("plain"))
 
@@ -220,37 +235,51 @@ LEFT JOIN (SELECT lower(name) AS k, arg_min(category, CASE category WHEN 'nation
 FROM institutions GROUP BY 1) c ON lower(n.name) = c.k"""
 
 
+_PRIORITY = "CASE category WHEN 'national_lab' THEN 1 WHEN 'hpc' THEN 2 WHEN 'peer' THEN 3 WHEN 'global' THEN 4 ELSE 5 END"
+_GUARD = "category IN ('national_lab', 'hpc', 'global')"
+_HELD = """(SELECT lower(name) AS r, category FROM institutions WHERE name <> '' AND (NOT {0} OR length(name) >= 5)
+    UNION ALL SELECT lower(abbreviation), category FROM institutions WHERE {0} AND length(abbreviation) >= 5)""".format(_GUARD)
+_MATCHING = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^the ', ''), '^university of ', ''), '^university at ', ''))"
+_FUZZY = f"""SELECT n.name, arg_min(h.category, {_PRIORITY.replace('category', 'h.category')}) AS category FROM (SELECT DISTINCT university_name AS name, {_MATCHING.format('university_name')} AS l
+    FROM articles WHERE university_name IS NOT NULL) n LEFT JOIN {_HELD} h ON n.l <> '' AND (contains(n.l, h.r) OR contains(h.r, n.l)) GROUP BY n.name"""
+# the short names below are those that the tables hold among the written-out ones
+_CLASSIFIED = f"""SELECT n.name, coalesce(e.category, CASE WHEN n.name <> '' THEN f.category END, 'r1') AS category FROM (SELECT DISTINCT university_name AS name FROM articles WHERE university_name IS NOT NULL) n
+    LEFT JOIN (SELECT k, arg_min(category, {_PRIORITY}) AS category FROM (SELECT lower(name) AS k, category FROM institutions UNION ALL SELECT lower(abbreviation), category FROM institutions WHERE {_GUARD} AND abbreviation <> '')
+      GROUP BY 1) e ON lower(n.name) = e.k LEFT JOIN ({_FUZZY}) f ON f.name = n.name"""
+
+
 def _names(spark, d):
     return table(spark, d, "articles").select(F.col("university_name").alias("name")).where(F.col("name").isNotNull())
 
 
+def _dim(spark, d):
+    return table(spark, d, "institutions").select("name", "abbreviation", "category")
+
+
 def _classes(spark, d):
-    return classify.exact_class(_names(spark, d), table(spark, d, "institutions").select("name", "category"))
+    return classify.classified(_names(spark, d), _dim(spark, d))
 
 
 @query(_EXACT)
 def classify_exact_priority(spark, d):
-    return _classes(spark, d)
+    return classify.exact_class(_names(spark, d), _dim(spark, d).select("name", "category"))
 
 
-_MATCHING = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^the ', ''), '^university of ', ''), '^university at ', ''))"
+@query(f"SELECT name, coalesce(category, 'r1') AS category FROM ({_FUZZY})")
+def classify_fuzzy(spark, d):
+    return classify.fuzzy_class(_names(spark, d), _dim(spark, d))
 
 
-@query(
-    f"""WITH n AS (SELECT DISTINCT university_name AS name, {_MATCHING.format('university_name')} AS l FROM articles WHERE university_name IS NOT NULL),
-    i AS (SELECT DISTINCT {_MATCHING.format('name')} AS r, category FROM institutions)
-    SELECT n.name, coalesce(arg_min(i.category, CASE i.category WHEN 'national_lab' THEN 1 WHEN 'hpc' THEN 2 WHEN 'peer' THEN 3 WHEN 'global' THEN 4 ELSE 5 END), 'r1') AS category
-    FROM n LEFT JOIN i ON length(l) >= 5 AND length(r) >= 5 AND (contains(l, r) OR contains(r, l)) GROUP BY n.name"""
-)
-def classify_fuzzy(spark, d):
-    return classify.fuzzy_class(_names(spark, d), table(spark, d, "institutions").select("name", "category"))
+@query(_CLASSIFIED)
+def classify_names(spark, d):
+    return _classes(spark, d)
 
 
 @query(
     f"""WITH w AS (SELECT a.article_id, coalesce(u.url, '') AS url, a.title, a.university_name, a.published_date, a.summary, s.relevance_score, s.consensus_summary,
       row_number() OVER (PARTITION BY coalesce(u.url, '') ORDER BY a.first_scraped DESC, s.analyzed_at DESC NULLS LAST, s.analysis_id DESC NULLS LAST, a.article_id) AS n
     FROM articles a LEFT JOIN ai_analyses s USING (article_id) LEFT JOIN urls u ON a.url_id = u.url_id
-    WHERE a.is_ai_related AND a.published_date BETWEEN DATE '{DAY}' - 4 AND DATE '{DAY}'), c AS ({_EXACT})
+    WHERE a.is_ai_related AND a.published_date BETWEEN DATE '{DAY}' - 4 AND DATE '{DAY}'), c AS ({_CLASSIFIED})
     SELECT w.article_id, w.url, coalesce(nullif(w.title, ''), 'Untitled') AS title, coalesce(nullif(w.university_name, ''), 'Unknown University') AS university, w.published_date,
       w.relevance_score, coalesce(nullif(coalesce(nullif(w.consensus_summary, ''), w.summary), ''), '') AS summary, coalesce(c.category, 'r1') AS category
     FROM w LEFT JOIN c ON c.name = coalesce(nullif(w.university_name, ''), 'Unknown University') WHERE n = 1"""
@@ -262,11 +291,11 @@ def daily_report(spark, d):
 
 
 @query(
-    """SELECT a.article_id, coalesce(u.url, '') AS url FROM articles a LEFT JOIN urls u ON a.url_id = u.url_id WHERE a.university_name IS NOT NULL"""
+    """SELECT a.article_id, u.url FROM articles a JOIN urls u ON a.url_id = u.url_id WHERE a.university_name IS NOT NULL"""
 )
 def article_urls(spark, d):
     a = table(spark, d, "articles").where(F.col("university_name").isNotNull()).select("article_id", "url_id")
-    return a.join(table(spark, d, "urls").select("url_id", "url"), "url_id", "left").select("article_id", F.coalesce("url", F.lit("")).alias("url"))
+    return a.join(table(spark, d, "urls").select("url_id", "url"), "url_id").select("article_id", "url")
 
 
 @query("SELECT url_hash, min(url_id) AS url_id FROM urls GROUP BY 1")
@@ -438,20 +467,35 @@ def stats_by_university(spark, d):
 
 @query(
     f"""SELECT c.category, CAST(coalesce(n.n, 0) AS BIGINT) AS articles FROM (VALUES ('peer'), ('r1'), ('hpc'), ('national_lab'), ('global')) c(category)
-    LEFT JOIN (SELECT e.category, count(*) AS n FROM articles a JOIN ({_EXACT}) e ON a.university_name = e.name GROUP BY 1) n ON n.category = c.category"""
+    LEFT JOIN (SELECT e.category, count(*) AS n FROM articles a JOIN ({_CLASSIFIED}) e ON a.university_name = e.name GROUP BY 1) n ON n.category = c.category"""
 )
 def category_counts(spark, d):
     a = table(spark, d, "articles").select(F.col("university_name").alias("name")).join(_classes(spark, d), "name")
     return reports.category_counts(a, ["peer", "r1", "hpc", "national_lab", "global"])
 
 
-@query()
+@query(
+    f"""WITH a AS (SELECT e.category, a.university_name AS name, a.article_id, coalesce(a.title, '') AS title FROM articles a JOIN ({_CLASSIFIED}) e ON a.university_name = e.name WHERE a.is_ai_related)
+    SELECT category, name, items[1].id AS first_id, len(items) AS articles, items[len(items)].title AS last_title FROM (SELECT category, name, list({{'id': article_id, 'title': title}} ORDER BY article_id) AS items FROM a GROUP BY 1, 2)"""
+)
 def articles_grouped_nested(spark, d):
+    """Pages of the nested layout read back: first and last item of each pair of groups and their number."""
+    a = table(spark, d, "articles").where(F.col("is_ai_related")).select("article_id", "title", F.col("university_name").alias("name")).join(_classes(spark, d), "name")
+    pages = reports.nested(a, "category", "name", "article_id", "title")
+    items = pages.select("category", "name", F.inline(F.from_json("items", "array<struct<id long, title string>>")))
+    return items.groupBy("category", "name").agg(F.min("id").alias("first_id"), F.count("*").alias("articles"), F.max_by("title", "id").alias("last_title"))
+
+
+@query()
+def articles_nested_pages(spark, d):
     a = table(spark, d, "articles").where(F.col("is_ai_related")).select("article_id", "title", F.col("university_name").alias("name")).join(_classes(spark, d), "name")
     return reports.nested(a, "category", "name", "article_id", "title")
 
 
-@query("SELECT topic, count(*) AS articles FROM (SELECT unnest(keywords[1:4]) AS topic FROM articles) WHERE topic <> '' AND length(topic) < 50 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+_SQL_TOPIC = f"""regexp_replace(regexp_replace({_sql_plain(_SQL_ONE.replace('text', 'k'))}, '{_SQL_SPACE}+', ' ', 'g'), '^{_SQL_SPACE}+|{_SQL_SPACE}+$', '', 'g')"""
+
+
+@query(f"SELECT topic, count(*) AS articles FROM (SELECT {_SQL_TOPIC} AS topic FROM (SELECT unnest(keywords[1:4]) AS k FROM articles)) WHERE topic <> '' AND length(topic) < 50 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def topic_top20(spark, d):
     return reports.top_topics(table(spark, d, "articles"))
 
@@ -489,7 +533,7 @@ def csv_export_projection(spark, d):
 @query(
     f"""WITH a AS (SELECT row_number() OVER (ORDER BY published_date DESC NULLS LAST, article_id) AS n, title, university_name, published_date,
     regexp_replace({_sql_plain("coalesce(summary, '')")}, '^\\s+|\\s+$', '', 'g') AS s FROM articles WHERE is_ai_related AND published_date BETWEEN DATE '2025-11-16' AND DATE '{DAY}')
-    SELECT CAST(n AS INTEGER) AS n, n || '. ' || coalesce(nullif(title, ''), 'Untitled') || chr(10) || '   ' || coalesce(nullif(university_name, ''), 'Unknown University') || ' | ' || strftime(published_date, '%B %d, %Y')
+    SELECT n, n || '. ' || coalesce(nullif(title, ''), 'Untitled') || chr(10) || '   ' || coalesce(nullif(university_name, ''), 'Unknown University') || ' | ' || strftime(published_date, '%B %d, %Y')
     || chr(10) || '   ' || CASE WHEN length(s) <= 300 THEN s WHEN contains(substr(s, 1, 300), ' ') THEN regexp_extract(substr(s, 1, 300), '(?s)^(.*) ', 1) || '...' ELSE substr(s, 1, 300) || '...' END AS value FROM a"""
 )
 def text_report_lines(spark, d):
@@ -522,23 +566,23 @@ def host_coverage(spark, d):
 
 
 @query(
-    f"""WITH c AS ({_COVERAGE}), p AS (SELECT hostname, max(http_status_code) FILTER (WHERE status = 'failed') AS http_status, count_if(status = 'failed') > 0 AS probed,
-      count_if(status = 'crawled') AS links FROM urls GROUP BY 1)
-    SELECT c.hostname, CASE WHEN coalesce(p.probed, false) AND (p.http_status IS NULL OR p.http_status >= 400) AND c.status IN ('zero', 'never') THEN 'FIX_URL'
-      WHEN coalesce(p.links, 0) > 50 AND c.recent < 10 THEN 'ADD_RSS' WHEN c.status = 'stale' THEN 'CHECK_AI_FILTER' WHEN c.status = 'good' THEN 'OK' ELSE 'INVESTIGATE' END AS action,
-      CASE WHEN coalesce(p.probed, false) AND (p.http_status IS NULL OR p.http_status >= 400) AND c.status IN ('zero', 'never') THEN 1
-      WHEN coalesce(p.links, 0) > 50 AND c.recent < 10 THEN 2 WHEN c.status = 'stale' THEN 3 WHEN c.status = 'good' THEN 4
-      WHEN NOT coalesce(p.probed, false) THEN 2 ELSE 3 END AS priority FROM c LEFT JOIN p ON p.hostname = c.hostname"""
+    f"""WITH c AS ({_COVERAGE}), h AS (SELECT hostname, row_number() OVER (ORDER BY hostname) AS k FROM host_crawl_state),
+    p AS (SELECT c.hostname, CASE k % 4 WHEN 0 THEN 'zero' WHEN 1 THEN 'never' ELSE c.status END AS status, CASE k % 5 WHEN 0 THEN 404 WHEN 1 THEN NULL ELSE 200 END AS http, k % 7 <> 0 AS probed, k % 11 AS links, k % 3 = 0 AS found, k % 6 = 0 AS configured
+      FROM c JOIN h ON h.hostname = c.hostname),
+    r AS (SELECT hostname, CASE WHEN probed AND (http IS NULL OR http >= 400) AND status IN ('zero', 'never') THEN 'FIX_URL 1' WHEN found AND NOT configured THEN 'ADD_RSS 2'
+      WHEN probed AND http = 200 AND links > 5 AND status IN ('zero', 'never') THEN 'INVESTIGATE 2' WHEN probed AND http = 200 AND links < 3 AND status IN ('zero', 'never') THEN 'REVIEW_NEWS_URL 3'
+      WHEN status = 'stale' THEN 'CHECK_AI_FILTER 3' WHEN status = 'good' THEN 'OK 4' WHEN NOT probed AND status IN ('zero', 'never') THEN 'INVESTIGATE 2' ELSE 'INVESTIGATE 3' END AS x FROM p)
+    SELECT hostname, split_part(x, ' ', 1) AS action, CAST(split_part(x, ' ', 2) AS INTEGER) AS priority, row_number() OVER (ORDER BY CAST(split_part(x, ' ', 2) AS INTEGER), hostname) AS place FROM r"""
 )
 def audit_decision(spark, d):
-    u = table(spark, d, "urls")
-    failed = F.col("status") == "failed"
-    probes = u.groupBy("hostname").agg(F.max(F.when(failed, F.col("http_status_code"))).alias("http_status"), (F.count_if(failed) > 0).alias("probed"), F.count_if(F.col("status") == "crawled").alias("crawled"))
-    rows = _coverage(spark, d).join(probes, "hostname", "left").select(
-        "hostname", "status", "recent", F.col("http_status").cast("int").alias("http_status"), F.coalesce("probed", F.lit(False)).alias("probed"),
-        F.lit(4).alias("links"), ((F.coalesce("crawled", F.lit(0)) > 50) & (F.col("recent") < 10)).alias("rss_found"), F.lit(False).alias("rss_configured"),
+    """Every rule of the decision is met: what probes found is written from the host's place in the list."""
+    n = numbered(table(spark, d, "host_crawl_state").select("hostname"), [F.col("hostname")], "k")
+    rows = _coverage(spark, d).join(n, "hostname").select(
+        "hostname", F.when(F.col("k") % 4 == 0, "zero").when(F.col("k") % 4 == 1, "never").otherwise(F.col("status")).alias("status"),
+        F.when(F.col("k") % 5 == 0, 404).when(F.col("k") % 5 != 1, 200).alias("http_status"), (F.col("k") % 7 != 0).alias("probed"), (F.col("k") % 11).alias("links"),
+        (F.col("k") % 3 == 0).alias("rss_found"), (F.col("k") % 6 == 0).alias("rss_configured"), "recent",
     )
-    return audit.decided(rows).select("hostname", "action", "priority")
+    return numbered(audit.decided(rows).select("hostname", "action", "priority"), [F.col("priority"), F.col("hostname")], "place")
 
 
 @query(
@@ -550,12 +594,16 @@ def health_by_domain(spark, d):
 
 
 @query(
-    """SELECT hostname, CAST(errors AS BIGINT) AS errors FROM (SELECT hostname, count_if(status = 'failed') AS errors, count_if(status = 'crawled') AS crawled FROM urls GROUP BY 1) WHERE errors > 0 AND errors * 10 > crawled
-    ORDER BY errors DESC, hostname LIMIT 20"""
+    """SELECT host AS hostname, CAST(errors AS BIGINT) AS errors FROM (SELECT hostname || ' ' || strftime(u.first_seen, '%Y-%m') AS host, count_if(status = 'failed') AS errors, count(a.n) AS articles
+    FROM urls u LEFT JOIN (SELECT url_id, count(*) AS n FROM articles GROUP BY 1) a USING (url_id) GROUP BY 1) WHERE errors > 0 AND articles = 0 ORDER BY host LIMIT 20"""
 )
 def failed_domains(spark, d):
-    u = table(spark, d, "urls").groupBy("hostname").agg(F.count_if(F.col("status") == "failed").alias("errors"), F.count_if(F.col("status") == "crawled").alias("crawled"))
-    return u.where((F.col("errors") > 0) & (F.col("errors") * 10 > F.col("crawled"))).orderBy(F.desc("errors"), "hostname").limit(20).select("hostname", "errors")
+    """Domains month by month, because over all time each has an article."""
+    found = table(spark, d, "articles").select("url_id", F.lit(1).alias("n")).distinct()
+    host = F.concat("hostname", F.lit(" "), F.date_format("first_seen", "yyyy-MM"))
+    u = table(spark, d, "urls").select("url_id", host.alias("hostname"), "status").join(found, "url_id", "left")
+    domains = u.groupBy("hostname").agg(F.count_if(F.col("status") == "failed").alias("errors"), F.count("n").alias("articles"))
+    return audit.failing(domains).select("hostname", "errors")
 
 
 @query(
@@ -592,17 +640,59 @@ def having_multi_failures(spark, d):
     return table(spark, d, "urls").where("status = 'failed'").groupBy("hostname").agg(F.count("*").alias("failures")).where("failures > 1")
 
 
-_SCORE = """(0.2 * ((name IS NOT NULL)::INT + (city IS NOT NULL)::INT + (region IS NOT NULL)::INT + (country IS NOT NULL)::INT) / 4 + 0.5 * (domain IS NOT NULL)::INT + 0.3 * (abbreviation IS NOT NULL)::INT)"""
+def _documents(spark, d):
+    """Documents of institutions with their sources, feeds, platforms, contacts and research, each of them missing somewhere."""
+    m = lambda n: F.col("institution_id") % n
+    site = F.concat(F.lit("https://"), "domain")
+    primary = F.when(m(5) != 0, F.struct(site.alias("url"), F.when(m(2) == 0, F.concat(site, F.lit("/ai"))).alias("ai_tag_url"), (m(3) == 0).alias("verified")))
+    feeds = F.transform(F.sequence(F.lit(1), m(5) + 1), lambda i: F.struct(F.concat(F.lit("feed"), i.cast("string")).alias("url"), F.lit(True).alias("active"), (i % 2 == 0).alias("verified")))
+    social = F.struct(F.when(m(2) == 0, F.struct(F.lit("t").alias("url"))).alias("twitter"), F.when(m(3) == 0, F.struct(F.lit("l").alias("url"))).alias("linkedin"), F.struct(F.lit("x").alias("url")).alias("mastodon"))
+    media = F.when(m(4) == 0, F.struct(F.lit("p").alias("page_url"), F.lit("").alias("email"), F.col("abbreviation").alias("phone")))
+    ai = F.struct((m(2) == 1).alias("has_ai_institute"), F.array().cast("array<string>").alias("ai_centers"), F.when(m(7) == 0, F.array(F.lit("f"))).alias("ai_focus_areas"))
+    doc = F.struct(
+        "name", F.struct("city", F.col("region").alias("state"), "country").alias("location"), F.struct(primary.alias("primary"), feeds.alias("rss_feeds")).alias("news_sources"),
+        social.alias("social_media"), media.alias("media_relations"), ai.alias("ai_research"),
+    )
+    return table(spark, d, "institutions").select(F.col("institution_id").alias("id"), F.to_json(doc).alias("document"), site.alias("url"))
+
+
+_SCORE = """0.2 * ((coalesce(name, '') <> '')::INT + (coalesce(city, '') <> '')::INT + (coalesce(region, '') <> '')::INT + (coalesce(country, '') <> '')::INT) / 4
+  + 0.3 * (CASE WHEN id % 5 <> 0 THEN 1 + 0.5 * (id % 2 = 0)::INT + 0.5 * (id % 3 = 0)::INT ELSE 0 END) / 2 + 0.2 * least(((id % 5 + 1) // 2) / 3, 1)
+  + 0.1 * least(((id % 2 = 0)::INT + (id % 3 = 0)::INT) / 3, 1) + 0.1 * (CASE WHEN id % 4 = 0 THEN 1 + (coalesce(abbreviation, '') <> '')::INT ELSE 0 END) / 3 + 0.1 * ((id % 2 = 1)::INT + (id % 7 = 0)::INT) / 3"""
+_SCORES = f"(SELECT id, round({_SCORE}, 9) AS s, region, domain FROM (SELECT *, institution_id AS id FROM institutions))"
+
+
+def _validated(spark, d):
+    docs = _documents(spark, d)
+    return quality.validated(docs.select("id", "document"), docs.select("url", (F.col("id") % 6 != 1).alias("ok")))
 
 
 @query(
-    f"""SELECT CASE WHEN s < 0.25 THEN '0-25' WHEN s < 0.5 THEN '25-50' WHEN s < 0.75 THEN '50-75' WHEN s < 0.9 THEN '75-90' ELSE '90-100' END AS bin, count(*) AS institutions
-    FROM (SELECT {_SCORE} AS s FROM institutions) GROUP BY 1"""
+    f"""SELECT CASE WHEN s < 0.25 THEN '0-25' WHEN s < 0.5 THEN '25-50' WHEN s < 0.75 THEN '50-75' WHEN s < 0.9 THEN '75-90' ELSE '90-100' END AS bin, count(*) AS institutions FROM {_SCORES} GROUP BY 1"""
 )
 def completeness_histogram(spark, d):
-    has = lambda c: F.col(c).isNotNull().cast("int")
-    score = 0.2 * (has("name") + has("city") + has("region") + has("country")) / 4 + 0.5 * has("domain") + 0.3 * has("abbreviation")
-    return table(spark, d, "institutions").groupBy(audit.completeness_bin(score).alias("bin")).agg(F.count("*").alias("institutions"))
+    return _validated(spark, d).groupBy(audit.completeness_bin(F.round("score", 9)).alias("bin")).agg(F.count("*").alias("institutions"))
+
+
+@query(f"SELECT id, round(s, 6) AS score FROM {_SCORES}")
+def completeness_scores(spark, d):
+    return _validated(spark, d).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""SELECT id, concat_ws('; ', CASE WHEN region IS NULL THEN 'Missing required field: location.state' END, CASE WHEN id % 5 = 0 THEN 'Missing required field: news_sources.primary' END) AS errors,
+    concat_ws('; ', CASE WHEN id % 5 <> 0 AND id % 6 = 1 THEN 'Primary URL not accessible' END, 'RSS feed invalid: feed1', CASE WHEN id % 5 >= 2 THEN 'RSS feed invalid: feed3' END, CASE WHEN id % 5 >= 4 THEN 'RSS feed invalid: feed5' END) AS warnings
+    FROM {_SCORES}"""
+)
+def validate_records(spark, d):
+    return _validated(spark, d).select("id", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query(
+    f"""SELECT round(avg(s), 6) AS mean, CAST(sum((region IS NULL)::INT + (id % 5 = 0)::INT) AS BIGINT) AS errors, CAST(sum((id % 5 <> 0 AND id % 6 = 1)::INT + 1 + (id % 5 >= 2)::INT + (id % 5 >= 4)::INT) AS BIGINT) AS warnings FROM {_SCORES}"""
+)
+def validation_totals(spark, d):
+    return _validated(spark, d).agg(F.round(F.avg("score"), 6).alias("mean"), F.sum(F.size("errors")).alias("errors"), F.sum(F.size("warnings")).alias("warnings"))
 
 
 @query(
@@ -739,9 +829,15 @@ def rate_limit_replay(spark, d):
     return rate.gaps(table(spark, d, "urls").select("url_id", "hostname", "first_seen"), "hostname", "first_seen", "url_id", 3600).select("url_id", "allowed")
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT hostname, url_id, epoch_us(first_seen) AS t, row_number() OVER (PARTITION BY hostname ORDER BY first_seen, url_id) AS n FROM urls WHERE first_seen IS NOT NULL),
+    b AS (SELECT hostname, url_id, t, n, 4.0::DOUBLE AS tokens, true AS allowed FROM o WHERE n = 1 UNION ALL
+    SELECT hostname, url_id, t, n, have - (have >= 1)::INT AS tokens, have >= 1 AS allowed FROM (SELECT o.*, least(5.0::DOUBLE, b.tokens + (o.t - b.t) / 1e6 * (1.0::DOUBLE / 3600)) AS have FROM b JOIN o ON o.hostname = b.hostname AND o.n = b.n + 1))
+    SELECT hostname, url_id, round(tokens, 6) AS tokens, allowed FROM b"""
+)
 def token_bucket_replay(spark, d):
-    return rate.token_bucket(table(spark, d, "urls").select("url_id", "hostname", "first_seen"), "hostname", "first_seen", "url_id", 1 / 3600, 5.0)
+    u = table(spark, d, "urls").where(F.col("first_seen").isNotNull()).select("url_id", "hostname", "first_seen")
+    return rate.token_bucket(u, "hostname", "first_seen", "url_id", 1 / 3600, 5.0).withColumn("tokens", F.round("tokens", 6))
 
 
 # the filter is large enough here that what it lets through is what was added
@@ -804,10 +900,10 @@ def parse_structured_response(spark, d):
 
 
 @query(
-    """SELECT article_id, trim(title) AS note, CASE WHEN is_ai_related THEN 'Policy' ELSE 'Scientific Breakthrough' END AS category, 2 AS rank FROM articles WHERE trim(title) <> '' AND NOT contains(title, 'PICK_')"""
+    """SELECT article_id, trim(title) AS note, CASE WHEN is_ai_related THEN 'Policy' ELSE 'Scientific Breakthrough' END AS category, 2 AS rank FROM articles WHERE trim(title) <> ''"""
 )
 def parse_picks(spark, d):
-    a = table(spark, d, "articles").where("trim(title) <> '' AND NOT contains(title, 'PICK_')")
+    a = table(spark, d, "articles").where("trim(title) <> ''")
     category = F.when(F.col("is_ai_related"), "IMPACT_CATEGORY: Policy\n").otherwise("")
     written = F.concat(F.lit("Picks.\nPICK_1:\nnothing fits\nPICK_2:\nARTICLE_ID: "), F.col("article_id").cast("string"), F.lit("\nEDITORIAL_NOTE: "), F.trim("title"), F.lit("\n"), category)
     return a.select(F.explode(X.picks(written)).alias("p")).select("p.article_id", "p.note", "p.category", "p.rank")
@@ -844,8 +940,8 @@ def html_title_links(spark, d):
 
 
 @query(
-    f"""SELECT DISTINCT normalized_url AS url, normalized_url AS link FROM urls WHERE regexp_matches(lower(normalized_url), '{U.any_of(U.FOLLOW)}')
-    AND NOT regexp_matches(lower(normalized_url), '{U.any_of(U.LEAVE)}') AND NOT regexp_matches(normalized_url, '(?i){U.any_of(U.LISTING)}')"""
+    f"""SELECT DISTINCT normalized_url AS url, normalized_url AS link FROM urls WHERE regexp_matches(lower(normalized_url), '{_SQL_FOLLOW}')
+    AND NOT regexp_matches(lower(normalized_url), '{_SQL_LEAVE}') AND NOT regexp_matches(normalized_url, '{_SQL_LISTING}')"""
 )
 def html_article_links(spark, d):
     p = table(spark, d, "urls").select(F.col("normalized_url").alias("url"), _written_page().alias("body"))
@@ -878,7 +974,7 @@ def normalize_sources(spark, d):
     m = F.col("institution_id") % 4
     written = F.when(m == 0, F.to_json(third)).when(m == 1, F.to_json(first)).when(m == 2, F.to_json(second)).otherwise(F.to_json(service))
     docs = i.select(F.col("institution_id").alias("seq"), written.alias("document"))
-    return configs.normalised(docs).select(F.floor(F.col("seq") / 10_000).cast("long").alias("id"), "name", "url", "location", "generation")
+    return configs.normalised(docs).select(F.shiftright("seq", 32).alias("id"), "name", "url", "location", "generation")
 
 
 @query(
@@ -933,14 +1029,26 @@ def stream_incremental_analysis(spark, d):
     return spark.read.parquet(f"{home}/table")
 
 
-@query()
+@query(
+    f"""WITH a AS (SELECT article_id, title, university_name, row_number() OVER (ORDER BY article_id) AS i FROM articles WHERE is_ai_related AND published_date = DATE '{DAY}'),
+    s AS (SELECT analysis_id, article_id, consensus_summary, row_number() OVER (ORDER BY analysis_id) AS i FROM ai_analyses WHERE article_id IN (SELECT article_id FROM a)), n AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM s) AS ns)
+    SELECT 1 AS n, '{{"date": "{DAY}", "timestamp": "{NOW}", "article_count": ' || na || ', "articles": [' AS value FROM n
+    UNION ALL SELECT i + 1, CASE WHEN i > 1 THEN ',' ELSE '' END || CAST(to_json({{'article_id': article_id, 'title': title, 'university_name': university_name}}) AS VARCHAR) FROM a
+    UNION ALL SELECT na + 2, '], "ai_analyses": [' FROM n
+    UNION ALL SELECT na + 2 + i, CASE WHEN i > 1 THEN ',' ELSE '' END || CAST(to_json({{'analysis_id': analysis_id, 'article_id': article_id, 'consensus_summary': consensus_summary}}) AS VARCHAR) FROM s, n
+    UNION ALL SELECT na + ns + 3, '], "metadata": {{"crawler_version": "1.0", "enable_ai_analysis": true, "lookback_days": 1}}}}' FROM n"""
+)
 def export_json_envelope(spark, d):
     a = table(spark, d, "articles").where(F.col("is_ai_related") & (F.col("published_date") == F.lit(DAY).cast("date"))).select("article_id", "title", "university_name")
     s = table(spark, d, "ai_analyses").join(a.select("article_id"), "article_id", "left_semi").select("analysis_id", "article_id", "consensus_summary")
-    return sinks.json_envelope(a, s, DAY, NOW)
+    return sinks.json_envelope(a, s, DAY, NOW, {"crawler_version": "1.0", "enable_ai_analysis": True, "lookback_days": 1})
 
 
-@query()
+@query(
+    """WITH a AS (SELECT coalesce(nullif(title, ''), 'Untitled') AS title, row_number() OVER (ORDER BY published_date DESC NULLS LAST, article_id) AS n FROM articles WHERE is_ai_related)
+    SELECT n, CAST(to_json({'type': 'section', 'text': title}) AS VARCHAR) AS value FROM a WHERE n <= 10
+    UNION ALL SELECT 11, CAST(to_json({'type': 'context', 'text': '...and ' || (count(*) - 10) || ' more'}) AS VARCHAR) FROM a HAVING count(*) > 10"""
+)
 def export_message_blocks(spark, d):
     a = table(spark, d, "articles").where(F.col("is_ai_related")).select("article_id", "title", "published_date")
     return sinks.message_blocks(a, [F.desc_nulls_last("published_date"), F.col("article_id")])

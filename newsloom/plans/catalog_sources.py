@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
-from newsloom.operators import audit, corrections, dedup, latest, reconcile
-from newsloom.plans.catalog import DAY, NOW, now, query
+from newsloom.operators import audit, corrections, dedup, latest, quality, reconcile, reports
+from newsloom.plans.catalog import _SQL_TOPIC, DAY, NOW, now, query
 from newsloom.plans.materialize import shared_dir
 from newsloom.sources import html, sinks
 from newsloom.sources.tables import table
@@ -18,10 +18,11 @@ def location_text(spark, d):
 
 
 @query(
-    """SELECT article_id, array_to_string(list_filter(keywords[1:4], lambda k: k <> '' AND length(k) < 50), ' | ') AS topics FROM articles WHERE keywords IS NOT NULL"""
+    f"""SELECT a.article_id, coalesce(t.topics, '') AS topics FROM articles a LEFT JOIN (SELECT article_id, string_agg(topic, ' | ' ORDER BY i) AS topics FROM (SELECT article_id, i, {_SQL_TOPIC} AS topic
+    FROM (SELECT article_id, unnest(keywords[1:4]) AS k, generate_subscripts(keywords[1:4], 1) AS i FROM articles)) WHERE topic <> '' AND length(topic) < 50 GROUP BY 1) t USING (article_id) WHERE a.keywords IS NOT NULL"""
 )
 def topic_list(spark, d):
-    return table(spark, d, "articles").where(F.col("keywords").isNotNull()).select("article_id", F.array_join(F.filter(F.slice("keywords", 1, 4), lambda k: (k != "") & (F.length(k) < 50)), " | ").alias("topics"))
+    return table(spark, d, "articles").where(F.col("keywords").isNotNull()).select("article_id", F.array_join(reports.topics_of(F.col("keywords")), " | ").alias("topics"))
 
 
 @query("SELECT article_id, 'Title: ' || coalesce(title, '') || chr(10) || chr(10) || 'Content: ' || substr(coalesce(content, ''), 1, 4000) AS prompt FROM articles WHERE last_analyzed IS NULL")
@@ -30,9 +31,9 @@ def prompts(spark, d):
     return a.select("article_id", F.concat(F.lit("Title: "), F.coalesce("title", F.lit("")), F.lit("\n\nContent: "), F.substring(F.coalesce("content", F.lit("")), 1, 4000)).alias("prompt"))
 
 
-@query("SELECT analysis_id, trim(openai_summary) AS summary, gemini_sentiment IS NOT NULL AS is_ai_related FROM ai_analyses WHERE trim(openai_summary) <> '' AND NOT contains(openai_summary, 'SUMMARY:')")
+@query("SELECT analysis_id, trim(openai_summary) AS summary, gemini_sentiment IS NOT NULL AS is_ai_related FROM ai_analyses WHERE trim(openai_summary) <> ''")
 def parse_short_response(spark, d):
-    a = table(spark, d, "ai_analyses").where("trim(openai_summary) <> '' AND NOT contains(openai_summary, 'SUMMARY:')")
+    a = table(spark, d, "ai_analyses").where("trim(openai_summary) <> ''")
     written = F.concat(F.lit("SUMMARY: "), F.trim("openai_summary"), F.lit("\nAI_RELATED: "), F.when(F.col("gemini_sentiment").isNotNull(), "Yes.").otherwise("No."))
     return a.select("analysis_id", X.short_response(written).alias("r")).select("analysis_id", "r.summary", "r.is_ai_related")
 
@@ -41,14 +42,15 @@ def parse_short_response(spark, d):
     f"""SELECT article_id FROM articles WHERE is_ai_related AND ai_confidence_score >= 0.5 AND published_date BETWEEN DATE '{DAY}' - 30 AND DATE '{DAY}'"""
 )
 def report_by_confidence(spark, d):
-    from newsloom.operators import reports
-
     return reports.selected(table(spark, d, "articles"), days=(F.date_sub(F.lit(DAY).cast("date"), 30), F.lit(DAY).cast("date")), min_confidence=0.5).select("article_id")
 
 
-@query("SELECT url_id FROM urls WHERE status IS NULL OR status NOT IN ('pending', 'crawled', 'failed', 'redirect', 'excluded')")
+@query("SELECT url_id FROM (SELECT url_id, CASE WHEN url_id % 10 = 0 THEN upper(status) WHEN url_id % 10 <> 1 THEN status END AS status FROM urls) WHERE status IS NULL OR status NOT IN ('pending', 'crawled', 'failed', 'redirect', 'excluded')")
 def invalid_status(spark, d):
-    return table(spark, d, "urls").where(~F.coalesce(F.col("status").isin("pending", "crawled", "failed", "redirect", "excluded"), F.lit(False))).select("url_id")
+    """Rows whose status is none of the known ones; some are spoilt first, because the tables hold none."""
+    m = F.col("url_id") % 10
+    u = table(spark, d, "urls").withColumn("status", F.when(m == 0, F.upper("status")).when(m != 1, F.col("status")))
+    return u.where(~F.coalesce(F.col("status").isin("pending", "crawled", "failed", "redirect", "excluded"), F.lit(False))).select("url_id")
 
 
 @query("SELECT url_id FROM urls WHERE status = 'failed' AND (http_status_code IS NULL OR http_status_code IN (403, 404))")
@@ -70,22 +72,24 @@ def verified_mismatch(spark, d):
     return corrections.mismatches(u).select("url_id", "mismatch")
 
 
+_KEY = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^the ', ''), '[-–—,]', ' ', 'g'), '&', ' and ', 'g'), '\\s+', ' ', 'g'))"
+
+
 @query(
-    """SELECT institution_id AS seq, CASE WHEN institution_id % 3 = 0 THEN 'https://new.' || domain WHEN institution_id % 3 = 1 THEN 'https://other.' || domain ELSE 'https://' || domain END AS new_url, institution_id % 3 < 2 AS changed
-    FROM institutions WHERE length(name) >= 3"""
+    f"""WITH i AS (SELECT institution_id AS seq, {_KEY.format('name')} AS l, 'https://' || domain AS url FROM institutions),
+    c AS (SELECT {_KEY.format("upper(name)")} AS r, 'https://new.' || domain AS new_url, institution_id AS place FROM institutions WHERE institution_id % 3 = 0
+      UNION ALL SELECT {_KEY.format("'The ' || city")}, 'https://other.' || domain, institution_id FROM institutions WHERE institution_id % 3 = 1),
+    m AS (SELECT i.l, arg_min(c.new_url, (c.place, c.r, c.new_url)) AS new_url FROM i JOIN c ON length(r) >= 3 AND length(l) >= 3 AND (contains(l, r) OR contains(r, l)) GROUP BY 1)
+    SELECT i.seq, coalesce(m.new_url, i.url) AS new_url, m.new_url IS NOT NULL AND m.new_url <> i.url AS changed FROM i LEFT JOIN m USING (l)"""
 )
 def apply_corrections(spark, d):
-    """Corrections in two report layouts, written from the table, matched by name in another spelling."""
-    i = table(spark, d, "institutions").where(F.length("name") >= 3)
-    one = i.where("institution_id % 3 = 0").select(F.upper("name").alias("institution"), F.lit("x").alias("old_url"), F.concat(F.lit("https://new."), "domain").alias("new_url"))
-    two = i.where("institution_id % 3 = 1").select(F.concat(F.lit("The "), "name").alias("university"), F.lit("x").alias("original_url"), F.concat(F.lit("https://other."), "domain").alias("corrected_url"))
+    """Corrections in two report layouts, written from the table, matched by the same name or by one that holds the other, the first one winning."""
+    i = table(spark, d, "institutions")
+    place = F.col("institution_id").alias("place")
+    one = i.where("institution_id % 3 = 0").select(F.upper("name").alias("institution"), F.lit("x").alias("old_url"), F.concat(F.lit("https://new."), "domain").alias("new_url"), place)
+    two = i.where("institution_id % 3 = 1").select(F.concat(F.lit("The "), "city").alias("university"), F.lit("x").alias("original_url"), F.concat(F.lit("https://other."), "domain").alias("corrected_url"), place)
     records = i.select(F.col("institution_id").alias("seq"), "name", F.concat(F.lit("https://"), "domain").alias("url"))
-    exact = corrections.unified([one, two])
-    # names that hold one another are told apart by the exact match, which stands first
-    got = corrections.matched(records, exact)
-    own = exact.select(corrections.file_name_key(F.col("name")).alias("k")).distinct()
-    kept = got.withColumn("k", corrections.file_name_key(F.col("name"))).join(own.withColumn("own", F.lit(True)), "k", "left")
-    return kept.select("seq", F.when(F.col("own"), F.col("new_url")).otherwise(F.col("url")).alias("new_url"), F.coalesce("own", F.lit(False)).alias("changed"))
+    return corrections.matched(records, corrections.unified([one, two])).select("seq", "new_url", "changed")
 
 
 @query("SELECT url_id, url || '/topic/ai' AS broken, normalized_url AS repaired FROM urls")
@@ -209,12 +213,17 @@ def json_paths(spark, d):
     )
 
 
-@query("SELECT article_id FROM articles WHERE article_metadata IS NOT NULL AND (NOT json_valid(article_metadata) OR json_extract_string(article_metadata, '$.hostname') IS NULL)")
+@query(
+    """SELECT institution_id, CASE institution_id % 4 WHEN 0 THEN 'no JSON' WHEN 1 THEN '$.location.state is missing' WHEN 2 THEN '$.name is not of type string' END AS errors FROM institutions WHERE institution_id % 4 <> 3"""
+)
 def schema_violations(spark, d):
-    """Records whose document is no JSON or lacks a required field."""
-    a = table(spark, d, "articles").where(F.col("article_metadata").isNotNull())
-    doc = F.try_parse_json("article_metadata")
-    return a.where(doc.isNull() | F.try_variant_get(doc, "$.hostname", "string").isNull()).select("article_id")
+    """Documents that are no JSON, lack a required field or hold it in another type, with what is wrong."""
+    m = F.col("institution_id") % 4
+    place = F.struct(F.col("city"), F.when(m != 1, F.coalesce("region", F.lit("none"))).alias("state"))
+    good = F.to_json(F.struct("name", place.alias("location")))
+    written = F.when(m == 0, F.regexp_replace(good, r"\}$", "")).when(m == 2, F.to_json(F.struct(F.col("institution_id").alias("name"), place.alias("location")))).otherwise(good)
+    e = quality.schema_errors(written, {"$.name": "STRING", "$.location.city": "STRING", "$.location.state": "STRING"})
+    return table(spark, d, "institutions").select("institution_id", F.array_join(e, "; ").alias("errors")).where("errors <> ''")
 
 
 @query("SELECT day, count(*) AS articles FROM (SELECT unnest([published_date + CAST(i AS INTEGER) FOR i IN [0, 1, 2, 3, 4]]) AS day FROM articles WHERE is_ai_related AND published_date IS NOT NULL) GROUP BY 1")

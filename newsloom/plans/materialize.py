@@ -1,8 +1,8 @@
 """Cutting lineage with tables in the shared folder of the cluster.
 
 A materialised table survives the loss of an executor, because it lies in the folder named by
-``spark.checkpoint.dir`` and not on an executor's disk. Only where that setting is missing (tests on
-one machine) a local folder is made.
+``spark.checkpoint.dir`` and not on an executor's disk. Only where that setting is missing and the master
+is local (tests on one machine) a local folder is made; a cluster without the setting is refused.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _local is None:
         _local = "file://" + tempfile.mkdtemp(prefix="newsloom-")
     return _local
@@ -39,11 +42,23 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
-    The table keeps the schema of ``df`` and is removed when the driver ends. Reading it again prunes
+    The table keeps the schema of ``df`` and is removed by :func:`release` or when the driver ends. Reading it again prunes
     columns and costs no recomputation, and its true size is known to the planner.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _made[path] = spark
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> int:
+    """Remove every table written so far; call it in a long session once the results that rest on them are used. Returns their number."""
+    n = len(_made)
+    while _made:
+        path, spark = _made.popitem()
+        _remove(spark, path)
+    return n
+
+
+atexit.register(release)

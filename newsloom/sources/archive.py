@@ -54,7 +54,7 @@ def markdown_report(reports: DataFrame) -> DataFrame:
 
 
 def latest_file(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """(file): the last file of a folder by name."""
+    """(file): the last file of a folder by name. Only names are asked for, so no file is opened."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(F.col("path")).agg(F.max("path").alias("file"))
 
 
@@ -62,3 +62,15 @@ def older_than(spark: SparkSession, folder: str, days: int, now) -> DataFrame:
     """(file): files last changed more than ``days`` before ``now``, for a retention job to delete."""
     files = spark.read.format("binaryFile").load(folder).select(F.col("path").alias("file"), F.col("modificationTime").alias("at"))
     return files.where(F.col("at") < now - F.make_dt_interval(F.lit(days))).select("file")
+
+
+_HEALTH = "sources_attempted long, sources_succeeded long, stats struct<urls_discovered:long, urls_crawled:long, articles_extracted:long, duplicates_skipped:long, errors:long>, failed_domains array<string>"
+
+
+def health_reports(documents: DataFrame) -> DataFrame:
+    """(file, attempted, succeeded, discovered, crawled, extracted, skipped, errors, failed) of health reports (file, document); a text that is no JSON has nulls."""
+    r = documents.select("file", F.when(F.try_parse_json("document").isNotNull(), F.from_json("document", _HEALTH)).alias("r"))
+    return r.select(
+        "file", F.col("r.sources_attempted").alias("attempted"), F.col("r.sources_succeeded").alias("succeeded"), F.col("r.stats.urls_discovered").alias("discovered"), F.col("r.stats.urls_crawled").alias("crawled"),
+        F.col("r.stats.articles_extracted").alias("extracted"), F.col("r.stats.duplicates_skipped").alias("skipped"), F.col("r.stats.errors").alias("errors"), F.col("r.failed_domains").alias("failed"),
+    )

@@ -34,6 +34,11 @@ def generation(document: str):
     )
 
 
+def _place():
+    """Number of an entry: its document's number and its place in the document, side by side."""
+    return F.shiftleft(F.col("seq").cast("long"), 32) + F.col("i")
+
+
 def _shape(df: DataFrame, **columns) -> DataFrame:
     kinds = {"seq": "long", "verified": "boolean", "crawl_priority": "int", "generation": "int"}
     return df.select(*(columns.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS))
@@ -48,20 +53,20 @@ def normalised(documents: DataFrame) -> DataFrame:
     docs = documents.where(F.try_parse_json("document").isNotNull()).withColumn("g", generation("document"))
     place = F.trim(F.concat_ws(", ", "e.location.city", "e.location.state"))
     one = docs.where("g = 1").select("seq", F.posexplode(F.from_json("document", f"array<struct<{FIRST}>>")).alias("i", "e"))
-    rows = [_shape(one, seq=F.col("seq") * 10_000 + F.col("i"), name=F.col("e.name"), url=F.col("e.news_url"), verified=F.lit(True), location=F.col("e.location"), kind=F.lit("university"), generation=F.lit(1))]
+    rows = [_shape(one, seq=_place(), name=F.col("e.name"), url=F.col("e.news_url"), verified=F.lit(True), location=F.col("e.location"), kind=F.lit("university"), generation=F.lit(1))]
     for g, schema in ((2, SECOND), (3, THIRD)):
         for key, kind in (("universities", "university"), ("facilities", "facility")):
             e = docs.where(F.col("g") == g).select("seq", F.posexplode(F.from_json("document", f"{key} array<struct<{schema}>>")[key]).alias("i", "e"))
             s = F.col("e.news_sources.primary") if g == 2 else primary_source(F.col("e.news_sources"))
             rows.append(
                 _shape(
-                    e, seq=F.col("seq") * 10_000 + F.col("i"), name=F.coalesce("e.canonical_name", "e.name"), url=s["url"], ai_tag_url=s["ai_tag_url"] if g == 2 else F.lit(None),
+                    e, seq=_place(), name=F.coalesce("e.canonical_name", "e.name"), url=s["url"], ai_tag_url=s["ai_tag_url"] if g == 2 else F.lit(None),
                     verified=F.coalesce(s["verified"], F.lit(True)), crawl_priority=s["crawl_priority"], location=place, kind=F.lit(kind), generation=F.lit(g),
                 )
             )
     services = docs.where("g = 4").select("seq", F.posexplode(F.from_json("document", f"news_services array<struct<{SERVICE}>>")["news_services"]).alias("i", "e"))
     feed = F.coalesce(F.get_json_object("e.rss_feeds", "$.main"), F.when(~F.col("e.rss_feeds").startswith("{"), F.col("e.rss_feeds")))
-    rows.append(_shape(services, seq=F.col("seq") * 10_000 + F.col("i"), name=F.col("e.name"), url=F.col("e.url"), verified=F.coalesce("e.verified", F.lit(True)), kind=F.lit("service"), rss_feed=feed, generation=F.lit(4)))
+    rows.append(_shape(services, seq=_place(), name=F.col("e.name"), url=F.col("e.url"), verified=F.coalesce("e.verified", F.lit(True)), kind=F.lit("service"), rss_feed=feed, generation=F.lit(4)))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -90,3 +95,20 @@ def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
             continue
         out = d if out is None else out.unionByName(d)
     return out if out is not None else spark.createDataFrame([], "seq long, path string, document string")
+
+
+# Files of sources by their kind, and those that are read where all are wanted.
+FILES = {
+    "legacy": "universities.json", "r1": "r1_universities.json", "top_public": "top_public_universities.json", "top_universities": "top_universities.json", "peer_institutions": "peer_institutions.json",
+    "meta_news": "meta_news_services.json", "major_facilities": "major_facilities.json", "national_laboratories": "national_laboratories.json", "global_institutions": "global_institutions.json",
+}
+ALL = ("peer_institutions", "r1", "major_facilities", "national_laboratories", "global_institutions")
+
+
+def chosen_files(kind: str = "legacy", listed: str = "", own: str | None = None, services: bool = False) -> list[str]:
+    """Files of sources to read: a list given (parted by commas) excludes all else; then all kinds, a file of one's own, or the file of a kind; news services are added on demand."""
+    if listed:
+        return [p.strip() for p in listed.split(",") if p.strip()]
+    kind = kind.lower()
+    files = [FILES[k] for k in ALL] if kind == "all" else [own or FILES.get(kind, FILES["legacy"])]
+    return files + [FILES["meta_news"]] * (services and FILES["meta_news"] not in files)

@@ -133,6 +133,19 @@ def absolute(base: Column, link: Column) -> Column:
     )
 
 
+# Addresses of pages on the subject, in the order in which they are looked for.
+_SUBJECT_LINKS = (
+    r"href=[\"\']([^\"\']*(?:tag|category|topic)/(?:artificial[-_]intelligence|ai|machine[-_]learning)[^\"\']*)[\"\']", r"href=[\"\']([^\"\']*(?:/ai/|/artificial-intelligence/)[^\"\']*)[\"\']",
+)
+
+
+def subject_link(base: Column, body: Column) -> Column:
+    """Link of a page to its own page on the subject, against the page's host where it begins with a slash; null if there is none, or one that is relative."""
+    low = F.lower(body)
+    found = F.coalesce(*(F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in _SUBJECT_LINKS))
+    return F.when(found.startswith("/"), F.concat(F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]*)", 1), found)).when(found.startswith("http"), found)
+
+
 def links(pages: DataFrame, url: str, body: str) -> DataFrame:
     """(url, link): distinct absolute links of pages that lead to articles."""
     from newsloom.functions.urls import followed, listing_url
