@@ -157,7 +157,7 @@ def response(text: Column) -> Column:
     label = r"(?:KEY_POINTS|RELEVANCE|AI_RELATED|SCIENTIFIC_IMPACT|FINANCIAL_IMPACT|PARTNERSHIP_IMPACT)"
     summary = F.regexp_extract(text, rf"(?ms)^[ \t]*SUMMARY:(.*?)(?=^[ \t]*{label}|\z)", 1)
     points = F.regexp_extract(text, r"(?ms)^[ \t]*KEY_POINTS:(.*?)(?=^[ \t]*(?:AI_RELATED|SCIENTIFIC_IMPACT|FINANCIAL_IMPACT|PARTNERSHIP_IMPACT|SUMMARY):|\z)", 1)
-    lines = F.filter(F.transform(F.split(points, r"\r?\n"), F.trim), lambda x: x.startswith("-"))
+    lines = F.filter(F.transform(F.split(points, r"\r?\n"), lambda x: F.trim(x)), lambda x: x.startswith("-"))
     impact = lambda name: _number(F.split_part(F.split_part(_after(text, f"{name}_IMPACT"), F.lit(" "), F.lit(1)), F.lit("/"), F.lit(1)), 1.0)
     return F.struct(
         F.trim(F.regexp_replace(summary, r"\s*\r?\n\s*", " ")).alias("summary"),
