@@ -30,6 +30,8 @@ TAIL = 0.02
 #: single sentences without a stop, whole lists, texts cut in transfer, first sentences.
 PRIOR = {"single": (4.0, 0.4), "list": (4.8, 0.5), "cut": (5.5, 0.6), "first": (4.7, 0.4)}
 WEIGHT = 5.0
+#: Values cut in transfer are counted over lengths so far apart.
+AROUND = 10
 
 _CLOSERS = "[”“\"’'»›)\\]*_]*"
 _MARK = r"(?s)(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\]|\(\s*(?:…|\.\.\.)\s*\)|�+)$"
@@ -177,13 +179,16 @@ def laws(hist: pd.DataFrame, at_limit: set[int]) -> pd.DataFrame:
     n, c = n[away], c[away]
     seen = c / np.maximum(1 - _beyond(n, first), 0.05)  # those cut within their first sentence look like single ones
     cut, cuts = _law(n, seen, "cut"), float(seen.sum()) + 0.5
+    around = lambda x: seen[(n_cut >= x - AROUND) & (n_cut <= x + AROUND)].sum() / (2 * AROUND + 1)
+    n_cut = n
     out = []
     for kind in ("single", "list"):
         n, c = arrays(of(kind))
         if not len(n):
             continue
         off = ~np.isin(n, list(at_limit))
-        here = cuts * _density(n, cut) * (_beyond(n, first) if kind == "single" else c.sum() / total)
+        # what was cut at about this length counts for more than the law where it is more
+        here = np.maximum(cuts * _density(n, cut), [around(x) for x in n]) * (_beyond(n, first) if kind == "single" else c.sum() / total)
         whole = np.ones(len(n))
         law, size = PRIOR[kind], float(c.sum())
         for _ in range(50):

@@ -182,7 +182,7 @@ def local_class(low: str) -> int:
         bare = low.strip(" .!:")
         if bare in MENU:
             return FURN
-        if size < 160 and not low.endswith((".", "”", "?")):
+        if size < 160 and (not low.endswith((".", "”", "?")) or "›" in low or "»" in low):
             hits, parts = menu_parts(low)
             if parts > 1 and hits and (hits == parts or (parts > 2 and (hits >= 2 or any(c in low for c in "›»>/")))):
                 return FURN

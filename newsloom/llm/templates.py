@@ -29,6 +29,8 @@ from newsloom.plans.materialize import materialize
 STORY_CHARS = 200
 #: A template is judged by its spread from so many pages without a story, hosts and headlines on.
 PAGES, HOSTS = 4, 3
+#: Filler without a single function word shows itself by one classical word from so many words on.
+LEAST_FILLER = 8
 #: Lines of up to so many tokens are parted by their first token alone, longer ones by two.
 BRIEF = 4
 #: Lines agree in a leaf of the tree if this share of their tokens agrees.
@@ -85,6 +87,7 @@ _LATIN = frozenset(
     nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla
     pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum""".split()
 )
+_LATIN_ALONE = frozenset(("lorem", "ipsum", "amet", "consectetur", "adipiscing"))
 _LATIN_MARKS = frozenset(("lorem", "ipsum", "dolor", "amet", "sit", "consectetur", "adipiscing"))
 # Words that prose of four languages is likely to hold; filler of Latin look has next to none of them.
 _FUNCTION = frozenset(
@@ -197,7 +200,7 @@ def latin_filler(low: str) -> bool:
         return False
     function = sum(w in _FUNCTION for w in words)
     known = sum(w in _LATIN for w in words)
-    return function <= 0.08 * len(words) and (known >= 0.15 * len(words) or marks >= 2)
+    return function <= 0.08 * len(words) and (known >= 0.15 * len(words) or marks >= 2 or (function == 0 and len(words) >= LEAST_FILLER and any(w in _LATIN_ALONE for w in words)))
 
 
 def verdict(template: str) -> str | None:
@@ -223,8 +226,8 @@ def read_page(title: str | None, content: str | None, shared: list[int] | None,
     """(slot, prose, masked lines, sizes) of a page, or None where nothing speaks against it.
 
     ``slot`` is true where a slot is unfilled or the story is Latin filler as a whole. ``prose`` counts the
-    characters of the page's own text lines, ``sizes`` those of each line of it, 0 for the headline and
-    for furniture. A page is looked into if it holds a cue, or too little prose to be a story.
+    characters of the page's own text lines, ``sizes`` those of each line of it, 0 for the headline, below 0
+    for furniture: a message may stand among other stories and be taken for one of them. A page is looked into if it holds a cue, or too little prose to be a story.
     """
     text = f"{title or ''}\n{content or ''}"
     slots, message = cues(text.lower())
@@ -244,13 +247,13 @@ def read_page(title: str | None, content: str | None, shared: list[int] | None,
         prose += own
         if own:
             own_text.append(low)
-        masked.append((line, low, own))
+        masked.append((line, low, own if own or not i or low == head else -len(low)))
     if message and latin_filler(" ".join(own_text)):
         return True, 0, [], []
-    if not prose:  # a page may say its message as headline and text
+    if not prose and not any(own < 0 and cues(low)[1] for _, low, own in masked):  # a page may say its message as headline and text
         masked = [(x, low, len(low) if i and low == head else own) for i, (x, low, own) in enumerate(masked)]
-        prose = sum(own for _, _, own in masked)
-    kept = [(" ".join(tokens(x)), own) for x, low, own in masked if cues(low)[1] or (own and prose < STORY_CHARS)]
+        prose = sum(max(own, 0) for _, _, own in masked)
+    kept = [(" ".join(tokens(x)), own) for x, low, own in masked if cues(low)[1] or (own > 0 and prose < STORY_CHARS)]
     return (False, prose, [x for x, _ in kept], [own for _, own in kept]) if kept else None
 
 
@@ -375,9 +378,10 @@ def residue(articles: DataFrame, urls: DataFrame | None = None, known: Known | N
             F.bool_or(~F.col("spread")).alias("known"),
             F.min(F.when(~filler, F.col("verdict"))).alias("verdict"),
             F.max("prose").alias("prose"),
-            F.sum("own").alias("own"),
+            F.sum(F.greatest("own", F.lit(0))).alias("own"),
+            F.sum(F.greatest(-F.col("own"), F.lit(0))).alias("aside"),
         )
-        .where(F.col("filler") | ((F.col("prose") - F.col("own") < STORY_CHARS) & (F.col("known") | (2 * F.col("own") >= F.col("prose")))))
+        .where(F.col("filler") | ((F.col("prose") - F.col("own") < STORY_CHARS) & (F.col("known") | (2 * F.col("own") + F.col("aside") >= F.col("prose")))))
         .select("article_id", F.when(F.col("filler"), F.lit("filler")).otherwise(F.col("verdict")).alias("reason"))
     )
     slots = rows.where("slot").select("article_id", F.lit("slot or filler").alias("reason"))

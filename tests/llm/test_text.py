@@ -61,7 +61,7 @@ def test_repeated_lines_of_one_hot_source_and_empty_tables(spark):
         ("Home   Events   Careers", lines.FURN), ("Careers › Academics › From Here: a new", lines.FURN), ("  Back  to  top", lines.FURN), ("ADMISSIONSRESEARCHDIRECTORY", lines.FURN),
         ("Cookie settings: X and 7 partners would like your consent", lines.FURN), ("The survey asked students how often they accept cookie banners without reading them.", lines.STORY),
         ("The privacy policy of the app was shortened to 9 words.", lines.STORY), ("You may also like »", lines.BLOCK), ("Von der Redaktion X", lines.BY), ("By Ann Lee, The Ledger!", lines.BY),
-        ("Tags: a, b", lines.FURN), ("10/4 – Lecture: X, Hall 3", lines.FURN), ("\xa0", lines.BLANK), ("Weather in X: 22 degrees, Y radar", lines.FURN), ("A team found that the sea, once calm, rose.", lines.STORY),
+        ("Tags: a, b", lines.FURN), ("10/4 – Lecture: X, Hall 3", lines.FURN), ("\xa0", lines.BLANK), ("Weather in X: 22 degrees, Y radar", lines.FURN), ("A team found that the sea, once calm, rose.", lines.STORY), ("Careers › Media contacts › Can a buoy help?", lines.FURN),
     ],
 )
 def test_class_of_a_line(line, kind):
@@ -207,6 +207,13 @@ def test_templates_are_judged_by_their_spread(spark):
     assert templates.residue(a, one_site).count() == 0
 
 
+def test_message_among_other_stories_and_thin_filler(spark):
+    block = "More from Zunder\nWhat Zorblat teaches us about stones\n{}\n© 2021 Zunder. All rights reserved."
+    rows = [(1, 1, "Ann Quill opens Zorblat", "Ann Quill opens Zorblat\n" + block.format("Warning: Undefined index: zorblat in template on line 12")), (2, 2, "Ann Quill opens Zorblat", "Ann Quill opens Zorblat\n" + block.format("Vexmore opens a laboratory"))]
+    rows += [(3, 3, "t", "Lidero tenim volupe vestra volupe varo nulliqua vestra. Amet ralta volupe."), (4, 4, "t", "El dolor de los vecinos, sit in de la plaza, fue largo y tranquilo en todo momento.")]
+    assert {r.article_id for r in templates.residue(articles(spark, rows), urls(spark, [(i, f"h{i}") for i in range(5)])).collect()} == {1, 3}
+
+
 def test_templates_whose_first_words_vary():
     rows = [(f"{x} is gone for good and will stay so", 1, 1, 1 << i, 1 << i) for i, x in enumerate(["alpha", "beta", "gamma", "delta"])]
     assert {templates.judged_leaf([r], False)[0][1] for r in rows} == {None}
