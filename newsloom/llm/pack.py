@@ -39,6 +39,8 @@ CLOSED, TOGETHER = 0.99, 64
 ANEW = 4 * SHARD
 #: Min-hashes that order the corpus, one after the other, and their bits; many documents may share the first few.
 LEVELS, BITS = 6, 10
+#: The beginnings of up to so many shards (16 bytes each) are sent to all tasks.
+BROADCAST_SHARDS = 1_000_000
 #: Terms in more than this share of a shard tell documents apart too little to be looked up.
 COMMON = 0.2
 
@@ -200,8 +202,11 @@ def sized(documents: DataFrame, tokenizers: list[str], folder: str = TOKENIZERS)
     )
 
 
-def with_shards(rows: DataFrame, shards: int) -> DataFrame:
-    """Rows with the shard that each belongs to: runs of one length in the order of (near, doc_id), so the result hangs on the rows alone."""
+def with_shards(rows: DataFrame, shards: int, most: int = BROADCAST_SHARDS) -> DataFrame:
+    """Rows with the shard that each belongs to: runs of one length in the order of (near, doc_id), so the result hangs on the rows alone.
+
+    Up to ``most`` shards the first document of each is sent to all tasks; of more, the places are joined by doc_id.
+    """
     if shards == 1:
         return rows.withColumn("shard", F.lit(0))
     order = materialize(rows.select("near", "doc_id").orderBy("near", "doc_id").withColumn("at", F.monotonically_increasing_id()), "order")
@@ -212,6 +217,10 @@ def with_shards(rows: DataFrame, shards: int) -> DataFrame:
     length = math.ceil(total / shards)
     offsets = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
     place = offsets[task] + within
+    if shards > most:
+        # rows of one doc_id that were ranked apart go to the first of their shards
+        placed = order.groupBy("doc_id").agg(F.min(F.floor(place / length)).cast("int").alias("shard"))
+        return rows.join(placed, "doc_id")
     firsts = sorted((r.near, r.doc_id) for r in order.where((place > 0) & (place % length == 0)).select("near", "doc_id").collect())
     starts = rows.sparkSession.sparkContext.broadcast((np.array([x for x, _ in firsts], np.int64), np.array([d for _, d in firsts], np.int64)))
 

@@ -16,9 +16,11 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.llm.lines import STORY, line_key, local_class, normal
 from newsloom.llm.mainbody import furniture, page_lines, rough_prose
@@ -29,6 +31,8 @@ from newsloom.plans.materialize import materialize
 STORY_CHARS = 200
 #: A template is judged by its spread from so many pages without a story, hosts and headlines on.
 PAGES, HOSTS = 4, 3
+#: A leaf of the tree is grown in parts of so many lines.
+LEAF_LINES = 20_000
 #: Filler without a single function word shows itself by one classical word from so many words on.
 LEAST_FILLER = 8
 #: Lines of up to so many tokens are parted by their first token alone, longer ones by two.
@@ -277,74 +281,106 @@ def mined(articles: DataFrame, known: Known | None = None) -> DataFrame:
 
 
 _BITS = (1 << 64) - 1
-_JUDGED = pa.schema([("line", pa.string()), ("verdict", pa.string()), ("spread", pa.bool_()), *((c, pa.int64()) for c in ("n", "pages", "hosts", "marks"))])
+_STATS = ("n", "pages", "hosts", "marks")
+_JUDGED = pa.schema([("line", pa.string()), ("template", pa.string()), ("own", pa.string()), *((c, pa.int64()) for c in _STATS)])
 
 
-def judged_leaf(rows: list[tuple], backwards: bool, agree: float = AGREE) -> list[tuple]:
-    """Rows (line, verdict, spread) of the distinct lines (line, n, pages, hosts, marks) of one leaf; ``hosts`` and ``marks`` are bitmaps."""
+def grown(rows: list[tuple], backwards: bool, agree: float = AGREE) -> list[tuple]:
+    """Rows (line, template) of the distinct lines (line, n) of one leaf; the template is what the line's group has in common at the end."""
     tree = Tree(agree)
-    grown = []
-    for line, n, *stats in sorted(rows, key=lambda r: (-r[1], r[0])):
-        toks = line.split(" ")
-        group = tree.add(toks[::-1] if backwards else toks, n)
-        if len(group) == 2:
-            group += [0, 0, 0]
-        group[2], group[3], group[4] = group[2] + stats[0], group[3] | stats[1] & _BITS, group[4] | stats[2] & _BITS
-        grown.append((line, group))
-    told: dict[int, tuple[str | None, bool]] = {}
     out = []
-    for line, g in grown:
-        if id(g) not in told:
-            template = " ".join(reversed(g[0]) if backwards else g[0])
-            wide = g[2] >= PAGES and g[3].bit_count() >= HOSTS and g[4].bit_count() >= HOSTS
-            told[id(g)] = (subject(template), True) if wide and set(g[0]) != {WILD} else (verdict(template), False)
-        what, wide = told[id(g)]
-        if not what:
-            what = verdict(line)
-        out.append((line, what, wide))
-    return out
-
-
-def _judge(backwards: bool, agree: float):
+    for line, n in sorted(rows, key=lambda r: (-r[1], r[0])):
+        toks = line.split(" ")
+        out.append((line, tree.add(toks[::-1] if backwards else toks, n)))
+    return [(line, " ".join(reversed(g[0]) if backwards else g[0])) for line, g in out]
+
+
+def judged(template: str, pages: int, hosts: int, marks: int) -> tuple[str | None, bool]:
+    """Verdict of a template, and whether its spread gives it: bitmaps of hosts and headlines tell how many there are."""
+    wide = pages >= PAGES and (hosts & _BITS).bit_count() >= HOSTS and (marks & _BITS).bit_count() >= HOSTS
+    return (subject(template), True) if wide and set(template.split(" ")) != {WILD} else (verdict(template), False)
+
+
+def _grow(backwards: bool, agree: float):
+    """Grows the templates of each part of a leaf, one part after the other; lines come with what they say by themselves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def leaf(rows: list[tuple]) -> pa.RecordBatch:
+        def part(rows: list[tuple]) -> pa.RecordBatch:
             stats = {r[0]: r[1:] for r in rows}
-            out = [(*r, *stats[r[0]]) for r in judged_leaf(rows, backwards, agree)]
+            out = [(line, t, verdict(line), *stats[line]) for line, t in grown([r[:2] for r in rows], backwards, agree)]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_JUDGED)], schema=_JUDGED)
 
         at, rows = None, []
         for b in batches:
-            for key, line, n, pages, hosts, marks in zip(*(b.column(c).to_pylist() for c in ("leaf", "line", "n", "pages", "hosts", "marks"))):
-                if key != at and rows:
-                    yield leaf(rows)
+            for leaf, salt, *row in zip(*(b.column(c).to_pylist() for c in ("leaf", "salt", "line", *_STATS))):
+                if (leaf, salt) != at and rows:
+                    yield part(rows)
                     rows = []
-                at = key
-                rows.append((line, n, pages, hosts or 0, marks or 0))
+                at = (leaf, salt)
+                rows.append(tuple(row))
         if rows:
-            yield leaf(rows)
+            yield part(rows)
 
     return run
 
 
-def _grown(lines: DataFrame, backwards: bool, agree: float) -> DataFrame:
-    """Lines with a verdict or without, judged leaf by leaf; a task holds one leaf at a time."""
-    toks = F.reverse(F.split("line", " ")) if backwards else F.split("line", " ")
-    # as in Tree.leaf: tokens with a digit or a wildcard are one, and short lines have one level less
+@F.pandas_udf(T.StructType([T.StructField("verdict", T.StringType()), T.StructField("spread", T.BooleanType())]))
+def _verdicts(template: pd.Series, pages: pd.Series, hosts: pd.Series, marks: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([judged(*r) for r in zip(template, map(int, pages), map(int, hosts), map(int, marks))], columns=["verdict", "spread"])
+
+
+def _leaf(line: str, backwards: bool) -> Column:
+    """Leaf of a line as in :meth:`Tree.leaf`: tokens with a digit or a wildcard are one, and short lines have one level less."""
+    toks = F.reverse(F.split(line, " ")) if backwards else F.split(line, " ")
     first = [F.when(F.get(toks, F.lit(i)).rlike(r"[<\p{Nd}\p{No}]"), WILD).otherwise(F.coalesce(F.get(toks, F.lit(i)), F.lit(""))) for i in (0, 1)]
-    leaf = F.concat_ws(" ", F.size(toks).cast("string"), first[0], F.when(F.size(toks) > BRIEF, first[1]))
-    sorted_lines = lines.withColumn("leaf", leaf).repartition("leaf").sortWithinPartitions("leaf")
-    return sorted_lines.mapInArrow(_judge(backwards, agree), "line string, verdict string, spread boolean, n long, pages long, hosts long, marks long")
+    return F.concat_ws(" ", F.size(toks).cast("string"), first[0], F.when(F.size(toks) > BRIEF, first[1]))
+
+
+def _summed(lines: DataFrame, key: str) -> DataFrame:
+    return lines.groupBy(key).agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"), F.bit_or("hosts").alias("hosts"), F.bit_or("marks").alias("marks"))
+
+
+def _round(lines: DataFrame, backwards: bool, agree: float, most: int) -> DataFrame:
+    """(line, template, own) and the counts of each line, with its template.
+
+    A leaf of more than ``most`` lines is grown in parts, dealt by the hash of the line; the templates of the
+    parts, which are few, are then grown together like lines, so no task holds more than ``most`` lines or the templates of one leaf.
+    """
+    lines = lines.withColumn("leaf", _leaf("line", backwards))
+    large = materialize(lines.groupBy("leaf").agg(F.count("*").alias("_c")).where(F.col("_c") > most), "leaves")
+    none = large.isEmpty()
+    dealt = lines.withColumn("salt", F.lit(0).cast("long")) if none else lines.join(large, "leaf", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("line"), F.ceil(F.col("_c") / most)), F.lit(0)))
+
+    def grow(df: DataFrame) -> DataFrame:
+        placed = df.select("leaf", "salt", "line", *_STATS).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt")
+        return placed.mapInArrow(_grow(backwards, agree), "line string, template string, own string, n long, pages long, hosts long, marks long")
+
+    first = grow(dealt)
+    if none:
+        return first
+    first = materialize(first, "parts")
+    split = first.withColumn("leaf", _leaf("line", backwards)).join(large.select("leaf"), "leaf", "left_semi")
+    again = grow(_summed(split, "template").withColumnRenamed("template", "line").withColumn("leaf", _leaf("line", backwards)).withColumn("salt", F.lit(0).cast("long")))
+    renamed = again.select(F.col("line").alias("template"), F.col("template").alias("_whole"))
+    return first.join(renamed, "template", "left").withColumn("template", F.coalesce("_whole", "template")).drop("_whole")
+
+
+def _told(lines: DataFrame) -> DataFrame:
+    """Lines with the verdict of their template, judged once, or else their own."""
+    templates = _summed(lines, "template").withColumn("v", _verdicts("template", "pages", F.coalesce("hosts", F.lit(0)), F.coalesce("marks", F.lit(0)))).select("template", "v")
+    return lines.join(templates, "template").select("line", *_STATS, F.coalesce("v.verdict", "own").alias("verdict"), F.col("v.spread").alias("spread"))
 
 
-def line_verdicts(rows: DataFrame, urls: DataFrame | None = None, agree: float = AGREE) -> DataFrame:
+def line_verdicts(rows: DataFrame, urls: DataFrame | None = None, agree: float = AGREE, most: int = LEAF_LINES) -> DataFrame:
     """(line, verdict, spread) of each masked line that is part of a message.
 
     Lines are summed up before they move: how often they come, on how many pages without a story, and
-    bitmaps of the hosts and headlines of those pages.
+    bitmaps of the hosts and headlines of those pages. What has no verdict from its first tokens on is grown again from its last ones.
     """
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int"))
     if urls is not None:
-        rows = rows.join(urls.where(F.col("hostname").isNotNull()).select("url_id", F.xxhash64("hostname").alias("h")), "url_id", "left")
+        hosts = urls.where(F.col("hostname").isNotNull()).groupBy("url_id").agg(F.min(F.xxhash64("hostname")).alias("h"))
+        rows = rows.join(hosts, "url_id", "left")
     else:
         rows = rows.withColumn("h", F.lit(None).cast("long"))
     each = rows.where(~F.col("slot")).select("prose", "mark", "h", F.explode(F.arrays_zip("lines", "sizes")).alias("t"))
@@ -352,8 +388,8 @@ def line_verdicts(rows: DataFrame, urls: DataFrame | None = None, agree: float =
     counted = each.groupBy(F.col("t.lines").alias("line")).agg(
         F.count("*").alias("n"), F.count_if(poor).alias("pages"), F.bit_or(F.when(poor & F.col("h").isNotNull(), bit(F.col("h")))).alias("hosts"), F.bit_or(F.when(poor, bit(F.col("mark")))).alias("marks")
     )
-    ahead = materialize(_grown(counted, False, agree), "ahead")
-    back = _grown(ahead.where("verdict IS NULL").drop("verdict", "spread"), True, agree)
+    ahead = materialize(_told(materialize(_round(materialize(counted, "lines"), False, agree, most), "grown")), "ahead")
+    back = _told(materialize(_round(ahead.where("verdict IS NULL").select("line", *_STATS), True, agree, most), "grown"))
     return ahead.unionByName(back).where("verdict IS NOT NULL").select("line", "verdict", "spread")
 
 

@@ -158,6 +158,12 @@ def test_packing_keeps_every_token(spark):
     assert pack.packed(d.limit(0), specs).count() == 0 and pack.packed(d, specs.limit(0)).count() == 0
 
 
+def test_shards_are_the_same_sent_or_joined(spark):
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(40)).alias("near"))
+    sent = {(r.doc_id, r.shard) for r in pack.with_shards(rows, 7).collect()}
+    assert sent == {(r.doc_id, r.shard) for r in pack.with_shards(rows, 7, most=0).collect()} and len({s for _, s in sent}) == 7 and len(sent) == 500
+
+
 def test_neighbours_come_first():
     a, b = [np.arange(0, 20, dtype=np.int32), np.arange(100, 120, dtype=np.int32)]
     index = pack.Index(pack.Words.listed([a, b, a + 1, b + 1, np.array([7000], np.int32)], [np.ones(20), np.ones(20), np.ones(20), np.ones(20), np.ones(1)]))

@@ -214,10 +214,21 @@ def test_message_among_other_stories_and_thin_filler(spark):
     assert {r.article_id for r in templates.residue(articles(spark, rows), urls(spark, [(i, f"h{i}") for i in range(5)])).collect()} == {1, 3}
 
 
-def test_templates_whose_first_words_vary():
-    rows = [(f"{x} is gone for good and will stay so", 1, 1, 1 << i, 1 << i) for i, x in enumerate(["alpha", "beta", "gamma", "delta"])]
-    assert {templates.judged_leaf([r], False)[0][1] for r in rows} == {None}
-    assert {(v, wide) for _, v, wide in templates.judged_leaf(rows, True)} == {("message", True)}
+def test_templates_whose_first_words_vary(spark):
+    lines = [(f"{x} is gone for good and will stay so", 1) for x in ("alpha", "beta", "gamma", "delta")]
+    assert {t for _, t in templates.grown(lines, True)} == {"<*> is gone for good and will stay so"} and {t for x in lines for _, t in templates.grown([x], False)} == {x for x, _ in lines}
+    assert templates.judged("<*> is gone", 4, 0b111, 0b111) == ("message", True) and templates.judged("<*> is gone", 4, 0b11, 0b111) == (None, False) and templates.judged("<*> <*>", 9, -1, -1) == (None, False)
+    rows = [(i, i, f"t{'abcdefgh'[i]}", f"{'abcdefgh'[i] * 5} is gone for good and will stay so") for i in range(8)]
+    assert {r.article_id for r in templates.residue(articles(spark, rows), urls(spark, [(i, f"h{i}") for i in range(8)])).collect()} == set(range(8))
+
+
+def test_a_leaf_is_grown_in_parts(spark):
+    rows = [(i, i, f"t{'abcdefgh'[i % 8]}", UNLISTED.format(f"{'abcdefgh'[i % 8]}{'ijklmnop'[i // 8]}")) for i in range(64)]
+    mined = templates.mined(articles(spark, rows))
+    u = urls(spark, [(i, f"h{i % 5}") for i in range(64)])
+    whole = {tuple(r) for r in templates.line_verdicts(mined, u).collect()}
+    parts = {tuple(r) for r in templates.line_verdicts(mined, u, most=5).collect()}
+    assert whole == parts and len(whole) == 64 and {v for _, v, _ in whole} == {"message"}
 
 
 SITE = ["Zunder Post writes for all who live by the river and beyond it.", "What our readers pay keeps Zunder Post alive for yet another year.", "Every word on this page was set by hand in the print shop of Zunder Post."]
