@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
 from newsloom.operators import audit, corrections, dedup, latest, quality, reconcile, reports
-from newsloom.plans.catalog import _SQL_TOPIC, DAY, NOW, now, query
+from newsloom.plans.catalog import _SQL_SPACE, _SQL_TOPIC, _sql_plain, DAY, NOW, now, query
 from newsloom.plans.materialize import shared_dir
 from newsloom.sources import html, sinks
 from newsloom.sources.tables import table
@@ -243,7 +243,20 @@ def markdown_to_html(spark, d):
     return html.markdown_pages(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("url"), "text"), "url", "text")
 
 
-@query()
+_SQL_TEXT = f"regexp_replace({_sql_plain("coalesce(summary, '')")}, '^{_SQL_SPACE}+|{_SQL_SPACE}+$', '', 'g')"
+_SQL_SHORT = "CASE WHEN length(s) <= 300 THEN s WHEN contains(substr(s, 1, 300), ' ') THEN regexp_extract(substr(s, 1, 300), '(?s)^(.*) ', 1) || '...' ELSE substr(s, 1, 300) || '...' END"
+
+
+def _sql_escaped(x: str) -> str:
+    return f"""replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
+
+
+@query(
+    f"""WITH a AS (SELECT row_number() OVER (ORDER BY article_id) AS n, coalesce(nullif(title, ''), 'Untitled') AS t, coalesce(nullif(university_name, ''), 'Unknown University') AS u, {_SQL_TEXT} AS s
+      FROM articles WHERE is_ai_related AND published_date = DATE '{DAY}'), b AS (SELECT n, t, u, {_SQL_SHORT} AS short FROM a)
+    SELECT n, '### ' || n || '. ' || t || chr(10) || chr(10) || '**' || u || '**' || chr(10) || chr(10) || short AS markdown,
+    '<div class="article"><h2>' || {_sql_escaped('t')} || '</h2><p>' || {_sql_escaped('u')} || '</p><p>' || {_sql_escaped('short')} || '</p></div>' AS html FROM b"""
+)
 def digest_formats(spark, d):
     """The Markdown and HTML blocks of a digest, side by side."""
     a = table(spark, d, "articles").where(F.col("is_ai_related") & (F.col("published_date") == F.lit(DAY).cast("date")))
