@@ -237,10 +237,17 @@ def score(edits: int, form: str, kinds: str, lead: str, listed_kinds: str, liste
 
 
 def allowed(form: str, part: str) -> int:
-    """Edits allowed in a typed part: one a word, two in all; three in a name written without spaces."""
+    """Edits allowed in a typed part: none in a host or abbreviation, one a word and two in all in a name, three in a name written without spaces."""
+    if form in ("host", "short"):
+        return 0
     return 3 if form == "glued" else min(EDITS, 1 + part.count(" "))
 
 
+def plain_edits(form: str) -> int:
+    """Plain edits that the segments of a form must survive: with none a part is one segment."""
+    return 0 if form in ("host", "short") else PLAIN_EDITS
+
+
 def shifts(segment: int, delta: int, k: int) -> tuple[int, int]:
     """Smallest and largest shift of a whole segment if at most k edits make the lengths differ by ``delta``."""
     return max(-segment, delta - (k - segment)), min(segment, delta + (k - segment))
@@ -302,7 +309,7 @@ def _cut_rows(make):
         for b in batches:
             parts, keys = [], []
             for form, part in zip(b.column("form").to_pylist(), b.column("part").to_pylist()):
-                for length, i, text in make(part):
+                for length, i, text in make(part, plain_edits(form)):
                     parts.append((form, part))
                     keys.append(f"{form} {length} {i} {text}")
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()), pa.array(keys, pa.string())], names=["form", "part", "key"])
@@ -352,13 +359,11 @@ def linked_names(names: DataFrame, institutions: DataFrame) -> DataFrame:
         ),
         "listed",
     )
-    fuzzy = F.col("form").isin("name", "glued")
-    near = similar_parts(read.where(fuzzy).select("form", "part").distinct(), listed.where(fuzzy).select("form", "part").distinct())
+    near = similar_parts(read.select("form", "part").distinct(), listed.select("form", "part").distinct())
     forms = listed.select("form", F.col("part").alias("listed"), "institution_id", F.col("kinds").alias("l_kinds"), F.col("lead").alias("l_lead"))
-    typed = read.where(fuzzy).join(near, ["form", "part"]).join(forms, ["form", "listed"])
-    exact = read.where(~fuzzy).join(forms.withColumnRenamed("listed", "part"), ["form", "part"]).withColumn("edits", F.lit(0))
+    typed = read.join(near, ["form", "part"]).join(forms, ["form", "listed"])
     columns = ["name", "institution_id", "edits", "form", "kinds", "lead", "l_kinds", "l_lead"]
-    scored = typed.select(columns).unionByName(exact.select(columns)).mapInArrow(_score, "name string, institution_id long, score int").where(F.col("score").isNotNull())
+    scored = typed.select(columns).mapInArrow(_score, "name string, institution_id long, score int").where(F.col("score").isNotNull())
     best = scored.groupBy("name").agg(
         F.min(F.struct("score", "institution_id")).alias("low"), F.min(F.struct("score", (-F.col("institution_id")).alias("minus"))).alias("high")
     )
