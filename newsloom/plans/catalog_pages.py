@@ -103,6 +103,7 @@ def file_listing(spark, d):
     names = [r.file for r in pages.collect()]  # nine names at most
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(home))
     for x in names:
         out = fs.create(path(f"{home}/{x}"))
         out.writeBytes(x)

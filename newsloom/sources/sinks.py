@@ -173,19 +173,24 @@ def page_files(days: DataFrame, today: Column, folders: list[str]) -> DataFrame:
     return each.select("day", F.explode(F.array(*map(F.lit, folders))).alias("folder"), "p.*").select("day", F.concat_ws("/", "folder", "file").alias("file"), "archived")
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a table that :func:`written_back` has written, the oldest first."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
 def written_back(rows: DataFrame, path: str) -> int:
-    """Write a table anew as its next version; older versions stay as backups. Returns the version."""
-    try:
-        last = rows.sparkSession.read.parquet(path).agg(F.max("version")).first()[0] or 0
-    except AnalysisException:
-        last = 0  # the first version
-    rows.withColumn("version", F.lit(last + 1)).write.partitionBy("version").mode("append").parquet(path)
-    return last + 1
+    """Write a table anew as its next version, an empty one too; older versions stay as backups. Returns the version."""
+    version = max(versions(rows.sparkSession, path), default=0) + 1
+    rows.write.parquet(f"{path}/version={version}")
+    return version
 
 
 def version_of(spark: SparkSession, path: str, version: int) -> DataFrame:
     """A version of a table that :func:`written_back` has written."""
-    return spark.read.parquet(path).where(F.col("version") == version).drop("version")
+    return spark.read.parquet(f"{path}/version={version}")
 
 
 def write_daily(pages: DataFrame, path: str, day: str = "report_date") -> None:
