@@ -41,3 +41,18 @@ def flagged(df: DataFrame, marked: DataFrame, key: str, column: str, value: str)
     """Rows whose key is marked take a new value in a column; the others, null keys included, stay as they are."""
     hit = marked.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_hit", F.lit(True))
     return df.join(hit, key, "left").withColumn(column, F.when(F.col("_hit"), value).otherwise(F.col(column))).select(*df.columns)
+
+
+def merged_maps(existing: DataFrame, incoming: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, column): maps of both tables put together by key; where both have an entry the incoming one stands, and a missing map adds nothing.
+
+    Of several rows of a key in one table the entries of all count, the greatest value of an entry standing.
+    """
+
+    def entries(df: DataFrame, rank: int) -> DataFrame:
+        return df.select(key, F.lit(rank).alias("_r"), F.explode_outer(column).alias("_k", "_v"))
+
+    each = entries(existing, 0).unionByName(entries(incoming, 1))
+    best = each.groupBy(key, "_k").agg(F.max(F.struct("_r", "_v")).alias("_b"))
+    pairs = F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", F.col("_b._v").alias("_v"))))
+    return best.groupBy(key).agg(F.map_from_entries(pairs).alias(column))

@@ -524,10 +524,12 @@ def visible25_overflow(spark, d):
 
 @query(
     """SELECT coalesce(title, '') AS title, coalesce(university_name, '') AS university_name, coalesce(CAST(published_date AS VARCHAR), '') AS published_date, coalesce(summary, '') AS summary,
-    coalesce(author, '') AS author, coalesce(CAST(word_count AS VARCHAR), '') AS word_count, coalesce(CAST(is_ai_related AS VARCHAR), '') AS is_ai_related FROM articles"""
+    coalesce(author, '') AS author, coalesce(CAST(word_count AS VARCHAR), '') AS word_count, coalesce(CAST(is_ai_related AS VARCHAR), '') AS is_ai_related,
+    coalesce(CAST(ai_confidence_score AS VARCHAR), '') AS ai_confidence_score, coalesce(u.url, '') AS url FROM articles a LEFT JOIN urls u ON u.url_id = a.url_id"""
 )
 def csv_export_projection(spark, d):
-    return sinks.csv_rows(table(spark, d, "articles")).drop("url", "ai_confidence_score")
+    a = table(spark, d, "articles")
+    return sinks.csv_rows(a.join(table(spark, d, "urls").select("url_id", "url"), "url_id", "left"))
 
 
 @query(

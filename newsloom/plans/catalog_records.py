@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as X
 from newsloom.functions import urls as U
 from newsloom.operators import audit, classify, corrections, dedup, rate, reconcile, similar
 from newsloom.operators.ordered import numbered
@@ -354,3 +355,26 @@ def prompt_blocks(spark, d):
 def newest_hosts(spark, d):
     h = table(spark, d, "host_crawl_state").where(F.col("last_crawl_time").isNotNull())
     return h.orderBy(F.desc("last_crawl_time"), "hostname").limit(20).select("hostname", (F.col("last_crawl_time") < now()).alias("before"))
+
+
+@query(
+    """SELECT CASE WHEN url_id % 3 = 0 THEN 2 * url_id ELSE url_id END AS id, CASE WHEN url_id % 3 = 0 THEN 'new' WHEN status <> '' THEN status END AS status, CASE WHEN url_id % 3 <> 0 THEN hostname END AS host, CASE WHEN url_id % 3 = 0 THEN url_hash END AS hash
+    FROM urls WHERE url_id % 3 <> 0 OR url_id % 2 = 1 UNION ALL
+    SELECT 2 * i.url_id, 'new', e.hostname, i.url_hash FROM urls i LEFT JOIN urls e ON e.url_id = 2 * i.url_id AND e.url_id % 3 <> 0 WHERE i.url_id % 3 = 0 AND i.url_id % 2 = 0"""
+)
+def metadata_merge(spark, d):
+    """Maps of old and new records put together: new entries win, others stay."""
+    u = table(spark, d, "urls")
+    old = u.where("url_id % 3 <> 0").select(F.col("url_id").alias("id"), F.map_from_arrays(F.array(F.lit("status"), F.lit("host")), F.array("status", "hostname")).alias("m"))
+    new = u.where("url_id % 3 = 0").select((2 * F.col("url_id")).alias("id"), F.map_from_arrays(F.array(F.lit("status"), F.lit("hash")), F.array(F.lit("new"), F.col("url_hash"))).alias("m"))
+    return dedup.merged_maps(old, new, "id", "m").select("id", *(F.col("m")[k].alias(k) for k in ("status", "host", "hash")))
+
+
+@query(
+    """SELECT raw, display FROM (VALUES ('tamu.edu', 'Texas A&M University'), ('FloridaAtlantic', 'Florida Atlantic University'), ('University of Central Florida News | UCF Today', 'University of Central Florida'), ('my-lab_site.edu', 'My Lab Site'),
+    ('www.cs.example.org', 'Example'), ('UMassLowell', 'UMass Lowell'), ('BigRiver College Newsroom', 'Big River College'), ('', 'Unknown'), (NULL, 'Unknown'), (' | x', 'Unknown'), ('The Brink', 'Boston University')) t(raw, display)"""
+)
+def display_name_shapes(spark, d):
+    """Display names by each rule: listed ones, names with a tail, bare hosts, words written together, and missing ones."""
+    raw = ["tamu.edu", "FloridaAtlantic", "University of Central Florida News | UCF Today", "my-lab_site.edu", "www.cs.example.org", "UMassLowell", "BigRiver College Newsroom", "", None, " | x", "The Brink"]
+    return spark.createDataFrame([(x,) for x in raw], "raw string").select("raw", X.display_name(F.col("raw")).alias("display"))

@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tabl
 #: Totals, fixed lists and the lines that a document has in any case.
 ALWAYS = {
     "example_analysis_success": 1, "category_counts": 5, "average_confidence": 1, "validation_totals": 1, "bloom_fpr": 1, "export_json_envelope": 3, "source_sets": 5, "table_catalogue": 16, "health_report_scan": 1,
-    "corrections_by_category": 3, "migration_totals": 1, "text_report": 1, "mail_message": 6, "crawl_totals": 1, "recommendation_counts": 1, "status_counts": 1, "file_listing": 1,
+    "corrections_by_category": 3, "migration_totals": 1, "text_report": 1, "mail_message": 6, "crawl_totals": 1, "recommendation_counts": 1, "status_counts": 1, "file_listing": 1, "display_name_shapes": 11,
 }
 
 
