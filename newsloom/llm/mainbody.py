@@ -85,6 +85,11 @@ def story_marks(title: str | None, lines: list[str], keys: list[int]) -> tuple[i
     return longest, named or longest
 
 
+def _prose(low: str) -> bool:
+    """True for a line of some length that ends in a stop."""
+    return len(low) > 45 and low.endswith(_STOP_AT_END)
+
+
 def rough_prose(lines: list[str]) -> int:
     """Characters of a page in long lines that end in a stop, its own and its site's alike."""
     return sum(len(x) for x in lines if len(x) >= 60 and x.rstrip().endswith(_STOP_AT_END))
@@ -184,7 +189,7 @@ def furniture(title: str | None, lines: list[str], about: str | None = None, rep
             while j < n and (is_text(j) or kind[j] in (BLANK, BLOCK)):
                 if kind[j] == STORY:
                     low = lows[j]
-                    if len(low) > 45 and low.endswith(_STOP_AT_END) and not teaser_tail(low):
+                    if _prose(low) and not teaser_tail(low):
                         own_names = named(j) - titles
                         # one sentence announces another story: what follows it, or has two, is the story itself
                         if own_names & headline or prose or _TWO_SENTENCES.search(" ".join(lines[j].split())) or (own_names & story_names and not own_names & (fellow - story_names)):
@@ -243,7 +248,7 @@ def furniture(title: str | None, lines: list[str], about: str | None = None, rep
             continue
         for x in members:
             low = lows[x]
-            if score and (density[x] < SHORT_LINE or len(own_words.intersection(low.split())) >= 2):
+            if score and (_prose(low) or len(own_words.intersection(low.split())) >= 2):
                 continue
             if score:
                 if story_names is None:
