@@ -276,3 +276,8 @@ def test_copies_of_one_story_do_not_make_its_lines_the_sites(spark):
     assert known.table.count() == 0
     none = sitelines.Known(sitelines.keyed(articles(spark, []), urls(spark, [])))
     assert none.table.count() == 0 and mainbody.off_lines(articles(spark, rows), None, none).count() == 0
+
+
+def test_a_lone_title_between_furniture_is_dropped_and_lone_prose_kept():
+    page = ["Zorblat changes how towns plan their roads, says Ann Quill.", "Zorblat began in spring, Ann Quill says, with nine towns, four rivers and one road. " * 4, "Back to top", "Students from Vexmore take Tandem to the finals – 7 min read", "Back to top", "The Annals of Basalt named the article one of its notable papers.", "Back to top"]
+    assert mainbody.furniture("Zorblat changes roads", page) == [False, False, True, True, True, False, True]
