@@ -51,6 +51,19 @@ def _word(pre: str) -> int:
     return (xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) - 0x80000000 or 1) if len(w) > 2 and w.isalpha() else 0
 
 
+class _Ids(dict):
+    """Numbers pre-tokens in the order in which they are first asked for; ``new`` holds those asked for since it was emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, pre: str) -> int:
+        i = self[pre] = len(self)
+        self.new.append(pre)
+        return i
+
+
 class PreTokens:
     """Numbers the pre-tokens met so far, with the hash of the word in each and its number of tokens by each byte-level encoder."""
 
@@ -59,22 +72,21 @@ class PreTokens:
         self._clear()
 
     def _clear(self) -> None:
-        self.ids: dict[str, int] = {}
+        self.ids = _Ids()
         self.words = np.zeros(0, np.int32)
         self.sizes = [np.zeros(0, np.int64) for _ in self.encoders]
 
     def numbers(self, cut: list[list[str]]) -> np.ndarray:
         """Numbers of the pre-tokens of several texts, one after the other; new ones are encoded in one call."""
-        every = set().union(*cut)
-        if len(self.ids) + len(every) > REMEMBERED:
+        if len(self.ids) > REMEMBERED:
             self._clear()
-        new = list(every.difference(self.ids))
-        if new:
-            self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
+        at = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        if new := self.ids.new:
             self.words = np.concatenate([self.words, np.fromiter(map(_word, new), np.int32, len(new))])
             for i, e in enumerate(self.encoders):
                 self.sizes[i] = np.concatenate([self.sizes[i], np.fromiter(map(len, e.batch(new)), np.int64, len(new))])
-        return np.fromiter(map(self.ids.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+            self.ids.new = []
+        return at
 
 
 class PieceSizes:
