@@ -310,26 +310,27 @@ def dedup_content_first(spark, d):
 
 
 def _halves(spark, d):
-    u = table(spark, d, "urls").select("url_id", "url_hash", "first_seen")
-    old = F.col("first_seen") < F.lit("2025-01-01").cast("timestamp_ntz")
+    """Addresses found, and those crawled already: a page that stands in several rows may be among both."""
+    u = table(spark, d, "urls").select("url_id", "url_hash", "status")
+    old = F.coalesce(F.col("status") == "crawled", F.lit(False))
     return u.where(~old), u.where(old)
 
 
-@query("SELECT url_id FROM urls u WHERE first_seen >= TIMESTAMP '2025-01-01' AND NOT EXISTS (SELECT 1 FROM urls s WHERE s.first_seen < TIMESTAMP '2025-01-01' AND s.url_hash = u.url_hash)")
+@query("SELECT url_id FROM urls u WHERE coalesce(status, '') <> 'crawled' AND NOT EXISTS (SELECT 1 FROM urls s WHERE s.status = 'crawled' AND s.url_hash = u.url_hash)")
 def url_seen_antijoin(spark, d):
     new, old = _halves(spark, d)
     return dedup.unseen(new, old, "url_hash").select("url_id")
 
 
-@query("SELECT url_id FROM urls u WHERE first_seen >= TIMESTAMP '2025-01-01' AND EXISTS (SELECT 1 FROM urls s WHERE s.first_seen < TIMESTAMP '2025-01-01' AND s.url_hash = u.url_hash)")
+@query("SELECT url_id FROM urls u WHERE coalesce(status, '') <> 'crawled' AND EXISTS (SELECT 1 FROM urls s WHERE s.status = 'crawled' AND s.url_hash = u.url_hash)")
 def url_seen_semijoin(spark, d):
     new, old = _halves(spark, d)
     return dedup.already_seen(new, old, "url_hash").select("url_id")
 
 
 @query(
-    """SELECT url_hash, max(url_id) AS url_id FROM urls WHERE first_seen >= TIMESTAMP '2025-01-01' GROUP BY 1 UNION ALL
-    SELECT url_hash, min(url_id) FROM urls WHERE first_seen < TIMESTAMP '2025-01-01' AND url_hash NOT IN (SELECT url_hash FROM urls WHERE first_seen >= TIMESTAMP '2025-01-01') GROUP BY 1"""
+    """SELECT url_hash, max(url_id) AS url_id FROM urls WHERE coalesce(status, '') <> 'crawled' GROUP BY 1 UNION ALL
+    SELECT url_hash, min(url_id) FROM urls WHERE status = 'crawled' AND url_hash NOT IN (SELECT url_hash FROM urls WHERE coalesce(status, '') <> 'crawled') GROUP BY 1"""
 )
 def url_upsert(spark, d):
     new, old = _halves(spark, d)
@@ -843,7 +844,7 @@ def token_bucket_replay(spark, d):
 
 
 # the filter is large enough here that what it lets through is what was added
-@query("SELECT DISTINCT url_hash FROM urls WHERE first_seen >= TIMESTAMP '2025-01-01' AND url_hash IN (SELECT url_hash FROM urls WHERE first_seen < TIMESTAMP '2025-01-01')")
+@query("SELECT DISTINCT url_hash FROM urls WHERE coalesce(status, '') <> 'crawled' AND url_hash IN (SELECT url_hash FROM urls WHERE status = 'crawled')")
 def bloom_membership(spark, d):
     new, old = _halves(spark, d)
     return bloom.maybe_seen(new, "url_hash", bloom.built(old, "url_hash"))
