@@ -358,15 +358,14 @@ def newest_hosts(spark, d):
 
 
 @query(
-    """SELECT CASE WHEN url_id % 3 = 0 THEN 2 * url_id ELSE url_id END AS id, CASE WHEN url_id % 3 = 0 THEN 'new' WHEN status <> '' THEN status END AS status, CASE WHEN url_id % 3 <> 0 THEN hostname END AS host, CASE WHEN url_id % 3 = 0 THEN url_hash END AS hash
-    FROM urls WHERE url_id % 3 <> 0 OR url_id % 2 = 1 UNION ALL
-    SELECT 2 * i.url_id, 'new', e.hostname, i.url_hash FROM urls i LEFT JOIN urls e ON e.url_id = 2 * i.url_id AND e.url_id % 3 <> 0 WHERE i.url_id % 3 = 0 AND i.url_id % 2 = 0"""
+    """SELECT coalesce(u.url_id, a.url_id) AS id, coalesce(a.status, u.status) AS status, u.hostname AS host, a.hash FROM urls u
+    FULL JOIN (SELECT url_id, 'scraped' AS status, max(content_hash) AS hash FROM articles WHERE url_id IS NOT NULL GROUP BY 1) a ON a.url_id = u.url_id"""
 )
 def metadata_merge(spark, d):
-    """Maps of old and new records put together: new entries win, others stay."""
-    u = table(spark, d, "urls")
-    old = u.where("url_id % 3 <> 0").select(F.col("url_id").alias("id"), F.map_from_arrays(F.array(F.lit("status"), F.lit("host")), F.array("status", "hostname")).alias("m"))
-    new = u.where("url_id % 3 = 0").select((2 * F.col("url_id")).alias("id"), F.map_from_arrays(F.array(F.lit("status"), F.lit("hash")), F.array(F.lit("new"), F.col("url_hash"))).alias("m"))
+    """Maps of addresses put together with those of their articles: entries of the articles win, others stay."""
+    pairs = lambda keys, *values: F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*values)).alias("m")
+    old = table(spark, d, "urls").select(F.col("url_id").alias("id"), pairs(("status", "host"), "status", "hostname"))
+    new = table(spark, d, "articles").where(F.col("url_id").isNotNull()).select(F.col("url_id").alias("id"), pairs(("status", "hash"), F.lit("scraped"), "content_hash"))
     return dedup.merged_maps(old, new, "id", "m").select("id", *(F.col("m")[k].alias(k) for k in ("status", "host", "hash")))
 
 
