@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,51 @@ from newsloom.operators.classify import containing
 RATIO = 0.85
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matched letters over all letters, by longest matching blocks."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+#: Texts up to so many letters are bounded by their longest common subsequence, which fits the bits of one number.
+WORD = 64
+
+
+def common_letters(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair of texts of at most ``WORD`` letters, all pairs at a time.
+
+    Bit i of a number stands for letter i of the first text; one step a letter of the second one (Crochemore and others).
+    """
+    left, at = np.unique(np.array(a, dtype=f"U{WORD}"), return_inverse=True)
+    right, to = np.unique(np.array(b, dtype=f"U{WORD}"), return_inverse=True)
+    codes = lambda x: x.view(np.uint32).reshape(len(x), WORD)
+    alphabet, ids = np.unique(np.concatenate([codes(left), codes(right)]), return_inverse=True)
+    ids = ids.reshape(-1, WORD)
+    places = np.zeros((len(left), len(alphabet)), np.uint64)
+    for i in range(WORD):
+        places[np.arange(len(left)), ids[: len(left), i]] |= np.uint64(1 << i)
+    if len(alphabet) and alphabet[0] == 0:
+        places[:, 0] = 0  # what fills short texts up is no letter
+    letters = ids[len(left) :]
+    open_ = np.full(len(at), (1 << 64) - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(int(np.char.str_len(right).max(initial=0))):
+            met = open_ & places[at, letters[to, i]]
+            open_ = (open_ + met) | (open_ - met)
+    return np.bitwise_count(~open_).astype(np.int64)
+
+
+def near_ratio(limit: float):
+    """A column function of two texts: twice the matched letters over all letters, by longest matching blocks, where that is at least ``limit``, else 0.
+
+    Matched letters are a common subsequence, so the longest one rules out most pairs before any is matched block by block.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = a.tolist(), b.tolist()
+        letters = a.str.len().to_numpy() + b.str.len().to_numpy()
+        able = (a.str.len().to_numpy() > WORD) | (b.str.len().to_numpy() > WORD) | (2 * common_letters(x, y) >= limit * letters - 1e-9)
+        out = np.zeros(len(x))
+        for i in np.flatnonzero(able):
+            out[i] = SequenceMatcher(None, x[i], y[i]).ratio()
+        return pd.Series(out)
+
+    return ratio
 
 
 def _grams(df: DataFrame, column: str) -> DataFrame:
@@ -45,9 +87,7 @@ def similar_names(left: DataFrame, right: DataFrame, limit: float = RATIO) -> Da
         return listed.select(column, F.explode(F.slice("g", F.lit(1), most.cast("int"))).alias("p")).select(column, "p.gram", F.length(column).alias(f"n_{column}"))
 
     met = rarest(a, "l").join(rarest(b, "r"), "gram").where(2 * F.least("n_l", "n_r") >= limit * (F.col("n_l") + F.col("n_r"))).select("l", "r").distinct()
-    # letters left unmatched are edits, so an edit distance beyond their number rules a pair out
-    near = met.where(F.levenshtein("l", "r") <= (1 - limit) * (F.length("l") + F.length("r")))
-    return near.withColumn("ratio", ratio("l", "r")).where(F.col("ratio") >= limit)
+    return met.withColumn("ratio", near_ratio(limit)("l", "r")).where(F.col("ratio") >= limit)
 
 
 def unmatched(names: DataFrame, listed: DataFrame, limit: float = RATIO) -> DataFrame:

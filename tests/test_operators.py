@@ -64,6 +64,31 @@ def test_similar_names_against_all_pairs(spark):
     assert got == {(x, y) for x in a for y in b if x and len(x) > 1 and SequenceMatcher(None, x, y).ratio() >= 0.85}
 
 
+def test_common_letters_bound_the_ratio():
+    import random
+    from difflib import SequenceMatcher
+
+    random.seed(2)
+    words = ["".join(random.choices("abcéß ", k=random.choice([0, 1, 5, 30, 63, 64]))) for _ in range(60)]
+    pairs = [(x, y) for x in words for y in words]
+
+    def longest(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            row = _step(row, c, y)
+        return row[-1]
+
+    def _step(row, c, y):
+        new = [0]
+        for j, d in enumerate(y):
+            new.append(max(new[-1], row[j + 1], row[j] + (c == d)))
+        return new
+
+    got = similar.common_letters([x for x, _ in pairs], [y for _, y in pairs]).tolist()
+    assert got == [longest(x, y) for x, y in pairs]
+    assert all(2 * g >= SequenceMatcher(None, x, y).ratio() * (len(x) + len(y)) - 1e-9 for g, (x, y) in zip(got, pairs))
+
+
 def test_bloom_holds_what_was_added(spark):
     size = 997
     old = spark.createDataFrame([(f"u{i}",) for i in range(60)] + [(None,)], "k string")
