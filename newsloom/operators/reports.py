@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import given, plain_line
 from newsloom.operators.dedup import first_of_each
 from newsloom.operators.ordered import numbered
+from newsloom.plans.materialize import materialize
 
 #: A daily page shows the articles of so many days.
 PAGE_DAYS = 5
@@ -38,10 +41,11 @@ def selected(articles: DataFrame, only_related: bool = False, days: tuple[Column
     return out.where(F.col("ai_confidence_score") >= min_confidence) if min_confidence > 0 else out
 
 
-def daily(articles: DataFrame, analyses: DataFrame, urls: DataFrame, day: str, classes: DataFrame) -> DataFrame:
+def daily(articles: DataFrame, analyses: DataFrame, urls: DataFrame, day: str, classed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The articles of a daily page: related ones of its days, one row per address (the newest), with display defaults and class.
 
     Missing titles, names and addresses take their defaults; of several analyses the latest one stands.
+    ``classed`` gives the class (name, category) of names; it is asked for those of the page only.
     """
     window = articles.where(F.col("is_ai_related") & F.col("published_date").between(F.date_sub(F.lit(day).cast("date"), PAGE_DAYS - 1), F.lit(day).cast("date")))
     slim = window.select("article_id", "url_id", "title", "university_name", "published_date", "first_scraped", "summary")
@@ -61,6 +65,8 @@ def daily(articles: DataFrame, analyses: DataFrame, urls: DataFrame, day: str, c
         "relevance_score",
         given(F.coalesce(F.nullif(F.col("consensus_summary"), F.lit("")), F.col("summary")), "").alias("summary"),
     )
+    shown = materialize(shown, "shown")
+    classes = classed(shown.select(F.col("university").alias("name")).distinct())
     return shown.join(classes.select(F.col("name").alias("university"), "category"), "university", "left").withColumn("category", F.coalesce("category", F.lit("r1")))
 
 

@@ -285,7 +285,7 @@ def classify_names(spark, d):
     FROM w LEFT JOIN c ON c.name = coalesce(nullif(w.university_name, ''), 'Unknown University') WHERE n = 1"""
 )
 def daily_report(spark, d):
-    return reports.daily(table(spark, d, "articles"), table(spark, d, "ai_analyses"), table(spark, d, "urls"), DAY, _classes(spark, d)).select(
+    return reports.daily(table(spark, d, "articles"), table(spark, d, "ai_analyses"), table(spark, d, "urls"), DAY, lambda names: classify.classified(names, _dim(spark, d))).select(
         "article_id", "url", "title", "university", "published_date", "relevance_score", "summary", "category"
     )
 
