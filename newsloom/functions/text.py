@@ -62,6 +62,13 @@ def long_date(value: Column) -> Column:
     return F.coalesce(F.date_format(F.try_to_date(value, "yyyy-MM-dd"), "MMMM dd, yyyy"), F.nullif(value, F.lit("")), F.lit("Date unknown"))
 
 
+def number(value: Column) -> Column:
+    """A number as text without an exponent where it is neither huge nor tiny, with at least one digit after the point."""
+    digits = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), "0+$", "")
+    plain_form = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when((value == 0) | F.abs(value).between(1e-4, 1e15), F.when(value == 0, "0.0").otherwise(plain_form)).otherwise(value.cast("string"))
+
+
 def escaped(text: Column) -> Column:
     """Text with the five signs of HTML written as entities."""
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import escaped, given, long_date, plain, shortened
+from newsloom.functions.text import escaped, given, long_date, number, plain, shortened
 from newsloom.operators.ordered import numbered
 from newsloom.operators.reports import ranked
 
@@ -18,8 +18,9 @@ CSV_COLUMNS = ("title", "university_name", "published_date", "url", "summary", "
 
 
 def _csv_columns(articles: DataFrame) -> list[Column]:
-    have = set(articles.columns)
-    return [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")).alias(c) for c in CSV_COLUMNS]
+    have = dict(articles.dtypes)
+    text = lambda c: number(F.col(c)) if have[c] == "double" else F.col(c).cast("string")
+    return [(F.coalesce(text(c), F.lit("")) if c in have else F.lit("")).alias(c) for c in CSV_COLUMNS]
 
 
 def csv_rows(articles: DataFrame) -> DataFrame:

@@ -201,3 +201,9 @@ def test_tables_are_released_and_clusters_need_a_folder(spark):
 def test_catalogue_of_tables(spark, tmp_path):
     spark.range(4).write.parquet(str(tmp_path / "a.parquet"))
     assert rows(tables.described(spark, str(tmp_path), ["a"])) == [("a", 1, 4)]
+
+
+def test_numbers_as_text(spark):
+    said = [0.0, 0.0002, 0.87, 1.0, 100.0, 123456.789, -0.5, 1 / 3, None, 1e-9]
+    got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, x double").select("i", X.number(F.col("x")).alias("t")).orderBy("i").collect()]
+    assert got[:8] == [repr(x) for x in said[:7]] + [got[7]] and abs(float(got[7]) - 1 / 3) < 1e-15 and got[8] is None and float(got[9]) == 1e-9
