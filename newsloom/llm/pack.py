@@ -275,7 +275,9 @@ class Words:
 class Index:
     """BM25 inverted index of one shard: for each term its documents and their weights."""
 
-    def __init__(self, words: Words):
+    def __init__(self, words: Words | list[np.ndarray], counts: list[np.ndarray] | None = None):
+        if counts is not None:
+            words = Words.listed(words, counts)
         n = self.n = len(words.sizes)
         flat, tf = words.terms, words.counts.astype(np.float64)
         doc = np.repeat(np.arange(n), words.sizes)
@@ -378,6 +380,13 @@ def fill(index: Index, sizes: np.ndarray, capacity: int, slack: float | None = N
 _SHAPE = "spec_id int, container string, position int, doc_id long, part int, start int, tokens int"
 
 
+class _Unrelated:
+    """Stands for an index where only sizes matter."""
+
+    def scores(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(0, np.int64), np.zeros(0)
+
+
 def fill_anew(words: Words, sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Containers of the documents of loose containers; those that stay loose are opened again while that closes any."""
     out: list[list[int]] = []
